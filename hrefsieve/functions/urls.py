@@ -6,6 +6,7 @@ it run right above the scan. A malformed authority gives NULL, never an error.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 from functools import cache
@@ -61,83 +62,77 @@ def _delimiter_lookalikes() -> str:
     )
 
 
-def _bad_netloc(netloc: Column) -> Column:
-    opened, closed = F.contains(netloc, F.lit("[")), F.contains(netloc, F.lit("]"))
-    host = F.regexp_extract(netloc, r"(?s)\[([^\]]*)", 1)
-    good_host = host.rlike(rf"\A(?:{_ipv6_pattern()}|v[a-fA-F0-9]+\..+)\z")
-    return (opened != closed) | (opened & ~good_host) | netloc.rlike(f"[{_delimiter_lookalikes()}]")
+@cache
+def _good_netloc() -> str:
+    host = rf"(?:{_ipv6_pattern()}|v[a-fA-F0-9]+\.[^\]]+)"
+    return rf"(?s)\A(?!.*[{_delimiter_lookalikes()}])(?:[^\[\]]*|(?=.*\])[^\[]*\[{host}(?:\].*)?)\z"
+
+
+def _one_of(value: Column, names: tuple[str, ...]) -> Column:
+    return value.rlike(rf"\A(?:{'|'.join(re.escape(n) for n in names)})\z")
 
 
 def _cleaned(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"\A[\x00-\x20]+", ""), r"[\t\r\n]", "")
 
 
-def split_url(url: Column, default_scheme: Column | str = "") -> Column:
+def split_url(url: Column, default_scheme: Column | None = None) -> Column:
     """Struct (scheme, netloc, path, params, query, fragment), NULL if malformed."""
-    default = F.lit(default_scheme) if isinstance(default_scheme, str) else default_scheme
-
     def parts(clean: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(clean, _URL, 1))
+        def group(i: int) -> Column:
+            return F.regexp_extract(clean, _URL, i)
+
+        scheme = F.lower(group(1))
+        if default_scheme is not None:
+            scheme = F.when(scheme == "", default_scheme).otherwise(scheme)
         return F.struct(
-            F.when(scheme == "", default).otherwise(scheme).alias("scheme"),
-            F.regexp_extract(clean, _URL, 2).alias("netloc"),
-            F.regexp_extract(clean, _URL, 3).alias("path"),
-            F.regexp_extract(clean, _URL, 4).alias("query"),
-            F.regexp_extract(clean, _URL, 5).alias("fragment"),
+            scheme.alias("scheme"), group(2).alias("netloc"), group(3).alias("path"),
+            group(4).alias("query"), group(5).alias("fragment"),
         )
 
     def with_params(p: Column) -> Column:
-        has_params = p["scheme"].isin(*PARAM_SCHEMES) & F.contains(p["path"], F.lit(";"))
-        bare = F.regexp_extract(p["path"], r"(?s)\A((?:.*/)?[^/;]*)", 1)
-        params = F.regexp_extract(p["path"], r"(?s)\A(?:.*/)?[^/;]*;([^/]*)\z", 1)
+        path = p["path"]
+        has_params = F.contains(path, F.lit(";")) & _one_of(p["scheme"], PARAM_SCHEMES)
+        bare = F.regexp_extract(path, r"(?s)\A((?:.*/)?[^/;]*)", 1)
+        params = F.regexp_extract(path, r"(?s)\A(?:.*/)?[^/;]*;([^/]*)\z", 1)
         return F.when(
-            ~_bad_netloc(p["netloc"]),
+            p["netloc"].rlike(_good_netloc()),
             F.struct(
-                p["scheme"].alias("scheme"),
-                p["netloc"].alias("netloc"),
-                F.when(has_params, bare).otherwise(p["path"]).alias("path"),
-                F.when(has_params, params).otherwise("").alias("params"),
-                p["query"].alias("query"),
-                p["fragment"].alias("fragment"),
+                p["scheme"], p["netloc"], F.when(has_params, bare).otherwise(path).alias("path"),
+                F.when(has_params, params).otherwise("").alias("params"), p["query"], p["fragment"],
             ),
         )
 
     return let(let(_cleaned(url), parts), with_params)
 
 
-def join_url(scheme: Column, netloc: Column, path: Column, params: Column, query: Column, fragment: Column) -> Column:
+def join_url(p: Column, fragment: bool = True, authority: bool = True) -> Column:
     """Put the parts of a URL together again; empty parts leave no delimiter."""
-    full = F.concat(path, F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""))
-
-    def body(p: Column) -> Column:
-        rooted = F.when((p != "") & ~F.startswith(p, F.lit("/")), F.concat(F.lit("/"), p)).otherwise(p)
-        return (
-            F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
-            .when(F.startswith(p, F.lit("//")), F.concat(F.lit("//"), p))
-            .when(
-                (scheme != "") & scheme.isin(*NETLOC_SCHEMES) & ((p == "") | F.startswith(p, F.lit("/"))),
-                F.concat(F.lit("//"), p),
-            )
-            .otherwise(p)
-        )
-
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        let(full, body),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+    def led(mark: str, part: Column) -> Column:
+        return F.when(part != "", F.concat(F.lit(mark), part)).otherwise("")
+
+    path = F.concat(p["path"], led(";", p["params"]))
+    tail = [led("?", p["query"])] + ([led("#", p["fragment"])] if fragment else [])
+    double = F.startswith(p["path"], F.lit("//"))
+    if not authority:
+        return F.concat(F.when(double, "//").otherwise(""), path, *tail)
+    rooted = F.startswith(path, F.lit("/"))
+    start = (
+        F.when(p["netloc"] != "", F.concat(F.lit("//"), p["netloc"], F.when(rooted | (path == ""), "").otherwise("/")))
+        .when(double, "//")
+        .when((rooted | (path == "")) & (p["scheme"] != "") & _one_of(p["scheme"], NETLOC_SCHEMES), "//")
+        .otherwise("")
     )
+    scheme = F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise("")
+    return F.concat(scheme, start, path, *tail)
 
 
 def defragment(url: Column) -> Column:
     """The URL without its fragment; NULL if it has one and is malformed."""
-    def rebuilt(p: Column) -> Column:
-        return join_url(p["scheme"], p["netloc"], p["path"], p["params"], p["query"], F.lit(""))
-
     return (
         F.when(~F.contains(url, F.lit("#")), url)
         .when(url.rlike(_PLAIN), F.substring_index(url, "#", 1))
-        .otherwise(let(split_url(url), rebuilt))
+        .otherwise(let(split_url(url), lambda p: join_url(p, fragment=False)))
     )
 
 
@@ -171,52 +166,62 @@ def _merged_path(base_path: Column, path: Column) -> Column:
     return let(let(segments, resolved), lambda p: F.when(p == "", F.lit("/")).otherwise(p))
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of a link found on the page ``base``; NULL if either is malformed."""
+def _resolved(base: Column, href: Column, fragment: bool) -> Column:
+    """Resolution of any link, by its parts."""
     def against(pair: Column) -> Column:
-        b, u = pair["b"], pair["u"]
-        same = u["scheme"].isin(*RELATIVE_SCHEMES) & (u["scheme"] == b["scheme"])
-        keeps_netloc = u["scheme"].isin(*NETLOC_SCHEMES)
-        netloc = F.when(keeps_netloc & (u["netloc"] == ""), b["netloc"]).otherwise(u["netloc"])
-        empty_path = (u["path"] == "") & (u["params"] == "")
-        query = F.when(u["query"] == "", b["query"]).otherwise(u["query"])
-        return (
-            F.when(b.isNull() | u.isNull(), F.lit(None))
-            .when(~same, href)
-            .when(
-                keeps_netloc & (u["netloc"] != ""),
-                join_url(u["scheme"], u["netloc"], u["path"], u["params"], u["query"], u["fragment"]),
-            )
-            .when(
-                empty_path,
-                join_url(u["scheme"], netloc, b["path"], b["params"], query, u["fragment"]),
-            )
-            .otherwise(
-                join_url(
-                    u["scheme"], netloc, _merged_path(b["path"], u["path"]), u["params"], u["query"], u["fragment"]
-                )
-            )
+        b, u, scheme = pair["b"], pair["u"], pair["u"]["scheme"]
+        foreign = (scheme != b["scheme"]) | ~_one_of(scheme, RELATIVE_SCHEMES)
+        complete = _one_of(scheme, NETLOC_SCHEMES) & (u["netloc"] != "")
+        same_path = (u["path"] == "") & (u["params"] == "")
+        kept = ~complete & same_path
+        parts = F.struct(
+            scheme.alias("scheme"),
+            F.when(complete, u["netloc"]).otherwise(b["netloc"]).alias("netloc"),
+            F.when(complete, u["path"]).when(same_path, b["path"]).otherwise(_merged_path(b["path"], u["path"])).alias("path"),
+            F.when(kept, b["params"]).otherwise(u["params"]).alias("params"),
+            F.when(kept & (u["query"] == ""), b["query"]).otherwise(u["query"]).alias("query"),
+            u["fragment"].alias("fragment"),
         )
+        as_is = href if fragment else defragment(href)
+        own = let(parts, lambda p: join_url(p, fragment))
+        return F.when(b.isNotNull() & u.isNotNull(), F.when(foreign, as_is).otherwise(own))
 
-    general = let(split_url(base), lambda b: let(
+    return let(split_url(base), lambda b: let(
         F.struct(b.alias("b"), split_url(href, b["scheme"]).alias("u")), against
     ))
+
+
+def _linked(base: Column, href: Column, fragment: bool) -> Column:
     plain_base = base.rlike(_PLAIN_BASE)
     origin = F.regexp_extract(base, r"\A(https?://[A-Za-z0-9.:@_~%-]+)", 1)
-    easy = plain_base & ~F.endswith(href, F.lit("#"))
+
+    def ready(u: Column) -> Column:
+        return u if fragment else F.substring_index(u, "#", 1)
+
+    easy = plain_base & ~F.endswith(href, F.lit("#")) if fragment else plain_base
     return (
-        F.when(href == "", base)
-        .when(base == "", href)
-        .when(easy & href.rlike(_ROOTED), F.concat(origin, href))
-        .when(easy & href.rlike(_PLAIN), href)
-        .otherwise(general)
+        F.when(easy & href.rlike(_ROOTED), F.concat(origin, ready(href)))
+        .when(easy & href.rlike(_PLAIN), ready(href))
+        .when(href == "", base if fragment else defragment(base))
+        .when(base == "", href if fragment else defragment(href))
+        .otherwise(_resolved(base, href, fragment))
     )
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """Absolute form of a link found on the page ``base``; NULL if either is malformed."""
+    return _linked(base, href, fragment=True)
+
+
+def link_target(base: Column, href: Column) -> Column:
+    """The resolved link without its fragment."""
+    return _linked(base, href, fragment=False)
+
+
 def authority(url: Column) -> Column:
     """Lower-cased authority, port and user included; NULL if malformed."""
     netloc = F.regexp_extract(_cleaned(url), _URL, 2)
-    return F.when(~_bad_netloc(netloc), F.lower(netloc))
+    return F.when(netloc.rlike(_good_netloc()), F.lower(netloc))
 
 
 def path_of(url: Column) -> Column:
@@ -225,8 +230,8 @@ def path_of(url: Column) -> Column:
 
 
 def query_keys(url: Column) -> Column:
-    """Decoded names of the query parameters that have a value."""
-    pairs = F.split(F.regexp_extract(_cleaned(url), _URL, 4), "&")
+    """Decoded names of the query parameters that have a value; NULL if malformed."""
+    pairs = F.when(authority(url).isNotNull(), F.split(F.regexp_extract(_cleaned(url), _URL, 4), "&"))
     valued = F.filter(pairs, lambda kv: kv.rlike(r"(?s)\A[^=]*=."))
     return F.array_distinct(F.transform(valued, lambda kv: unquote(F.substring_index(kv, "=", 1), plus_is_space=True)))
 

