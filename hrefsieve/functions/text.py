@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that str.strip() removes, and line ends of str.splitlines().
-SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 # Fixed value: white space as JavaScript sees it.
-JS_SPACE_CLASS = r"[\t-\r\x20\xa0  -     　﻿]"
+JS_SPACE_CLASS = r"[\t-\r\x20\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def strip(c: Column, space: str = SPACE_CLASS) -> Column:

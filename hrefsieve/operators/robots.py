@@ -15,7 +15,7 @@ ALLOW_ALL, DENY_ALL, RULES = "allow_all", "deny_all", "rules"
 
 def rule_path(value: Column) -> Column:
     """Path of an allow or disallow line as it is compared with pages."""
-    return quote_path(let(split_url(value), join_url))
+    return quote_path(let(split_url(value), lambda p: join_url(p)))
 
 
 def rule_target(url: Column) -> Column:

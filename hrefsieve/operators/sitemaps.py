@@ -32,7 +32,8 @@ def document_locs(texts: DataFrame, loc_mode: str = "xml") -> DataFrame:
     if loc_mode == "regex":
         found = F.explode(F.regexp_extract_all("text", F.lit(LOC), F.lit(1)))
         start = F.regexp_like("text", F.lit(rf"\A{JS_SPACE_CLASS}*<"))
-        raw = texts.where(start).select(F.col("url").alias("parent"), strip(found, JS_SPACE_CLASS).alias("loc"))
+        raw = texts.where(start).select(F.col("url").alias("parent"), found.alias("raw"))
+        raw = raw.select("parent", strip(F.col("raw"), JS_SPACE_CLASS).alias("loc"))
         return raw.where(F.length("loc") > 0).select("parent", _kind(F.lit(False), F.col("loc")).alias("kind"), "loc")
     read = texts.where(looks_like_xml(F.col("text"))).select(F.col("url").alias("parent"), sitemap_locs("text").alias("d"))
     each = read.select("parent", "d.is_index", F.explode("d.locs").alias("loc"))
