@@ -12,7 +12,7 @@ from hrefsieve.functions.arrow import sitemap_locs
 from hrefsieve.functions.text import JS_SPACE_CLASS, looks_like_xml, strip
 from hrefsieve.functions.urls import defragment, is_sitemap_like
 from hrefsieve.operators.domains import in_scope
-from hrefsieve.session import fits, first_rows, scratch_path
+from hrefsieve.session import BROADCAST_BYTES, first_rows, scratch_path, text_bytes
 from hrefsieve.sources.landed import text_documents
 
 SITEMAP, PAGE = "sitemap", "page"
@@ -76,22 +76,27 @@ def sitemap_closure(
         level = f"{base}/seen/depth={depth}"
         first_rows(frontier, [F.col("url")], left).write.mode("overwrite").parquet(level)
         found = spark.read.schema("url string").parquet(level)
-        count = found.count()
-        if count == 0:
+        size = found.agg(F.count("*").alias("n"), text_bytes(found).alias("bytes")).first()
+        if size["n"] == 0:
             break
-        left -= count
-        wanted = F.broadcast(found) if fits(found) else found
+        left -= size["n"]
+        wanted = F.broadcast(found) if size["bytes"] <= BROADCAST_BYTES else found
         texts = text_documents(docs.join(wanted, "url", "left_semi"), not keep_broken, keep_broken)
         document_locs(texts, loc_mode).write.mode("overwrite").parquet(f"{base}/locs/depth={depth}")
 
         seen = spark.read.schema("url string, depth int").parquet(f"{base}/seen")
         locs = spark.read.schema("parent string, kind string, loc string, depth int").parquet(f"{base}/locs")
-        if max_pages is not None and discovered_pages(locs, domains).count() >= max_pages:
-            depth += 1
-            break
+        named = locs.agg(
+            F.count_if(F.col("kind") == PAGE).alias("pages"),
+            F.count_if((F.col("kind") == SITEMAP) & (F.col("depth") == depth)).alias("nested"),
+        ).first()
         nested = locs.where((F.col("depth") == depth) & (F.col("kind") == SITEMAP))
-        frontier = nested.select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti")
         depth += 1
+        if named["nested"] == 0:
+            break
+        if max_pages is not None and named["pages"] >= max_pages and discovered_pages(locs, domains).count() >= max_pages:
+            break
+        frontier = nested.select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti")
 
     if seen is None:
         empty = spark.createDataFrame([], "parent string, kind string, loc string, depth int")

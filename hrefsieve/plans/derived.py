@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hrefsieve.params import AuditParams
-from hrefsieve.sources.landed import decoded_pages, read_landed
+from hrefsieve.session import cut
+from hrefsieve.sources.landed import decoded_pages, spread_files
 
 DOMAINS = ("example.com", "example.net", "example.org")
 PAGES_PER_SITEMAP = 20
@@ -25,9 +26,10 @@ def settings(**changes) -> AuditParams:
     return AuditParams(**{"domains": DOMAINS, "link_mode": "regex", **changes})
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pages(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Page table with scheme, host, domain (last two labels) and first path part."""
-    table = read_landed(spark, f"{sf_dir}/pages.parquet", ["page_id", "url", "html"])
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    table = spread_files(table) if spread else table
     return (
         table.withColumn("scheme", F.regexp_extract("url", "^([a-z]+)://", 1))
         .withColumn("host", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1))
@@ -38,24 +40,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed pages (url, html, size_bytes), keyed as a crawl asks for them: without fragment."""
-    return decoded_pages(pages(spark, sf_dir).withColumn("url", F.substring_index("url", "#", 1)))
+    return decoded_pages(pages(spark, sf_dir, spread=True).withColumn("url", F.substring_index("url", "#", 1)))
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts, one link per host, page URLs, and each host once more as a repeat."""
-    p = pages(spark, sf_dir)
-
-    def named(keys: list[str], text: str, input_id: str) -> DataFrame:
-        return p.groupBy(*keys).agg(F.min("page_id").alias("m")).select(
-            F.expr(input_id).alias("input_id"), F.expr(text).alias("queried_url")
-        )
-
-    return (
-        named(["host"], "host", "m * 3")
-        .union(named(["scheme", "host"], "scheme || '://' || host || '/The'", "m * 3 + 1"))
-        .union(named(["url"], "url", "m * 3 + 2"))
-        .union(named(["host"], "host", "-1 - m"))
-    )
+    named = "stack(4, 0, host, 1, scheme || '://' || host || '/The', 2, url, 3, host) AS (kind, queried_url)"
+    numbered = "CASE kind WHEN 3 THEN -1 - m ELSE m * 3 + kind END AS input_id"
+    each = pages(spark, sf_dir).selectExpr("page_id", named)
+    return each.groupBy("kind", "queried_url").agg(F.min("page_id").alias("m")).selectExpr(numbered, "queried_url")
 
 
 def odd_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +159,8 @@ def sitemap_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything discovery reads."""
-    return sitemap_docs(spark, sf_dir).union(domain_robots(spark, sf_dir))
+    """Everything discovery reads, landed as a table."""
+    return cut(sitemap_docs(spark, sf_dir).union(domain_robots(spark, sf_dir)), "docs")
 
 
 @F.arrow_udf(T.BinaryType())
@@ -202,4 +195,4 @@ def edge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<a href="mailto:b@c">m</a><a href="//other.test/p">o</a><a href="http://[">b</a><a href="#top">t</a>'
         '<!-- <a href="/hidden"> --><script>"<a href=/scripted>"</script>'
     )
-    return pages(spark, sf_dir).select("url", F.concat("html", F.lit(more)).alias("html"))
+    return pages(spark, sf_dir, spread=True).select("url", F.concat("html", F.lit(more)).alias("html"))

@@ -16,7 +16,7 @@ from hrefsieve.operators.robots import domain_verdicts, with_verdict
 from hrefsieve.operators.sitemaps import discovered_pages, page_budget, sitemap_closure
 from hrefsieve.operators.variants import input_variants, pattern_set
 from hrefsieve.params import AuditParams
-from hrefsieve.session import fits
+from hrefsieve.session import cut, fits
 from hrefsieve.sinks.writers import (
     stamped_path, write_inventory, write_report, write_report_long, write_single_page, write_urls,
 )
@@ -42,9 +42,9 @@ class Audit:
 def discover(docs: DataFrame, p: AuditParams) -> Discovery:
     """Pages and sitemaps reachable from the robots.txt and /sitemap.xml of the domains."""
     spark = docs.sparkSession
-    initial = candidate_sitemaps(domain_table(spark, p.domains), docs, p.schemes)
+    initial = cut(candidate_sitemaps(domain_table(spark, p.domains), docs, p.schemes), "initial")
     walk = sitemap_closure(initial, docs, p.domains, p.max_sitemaps, p.max_pages, p.loc_mode)
-    pages = page_budget(discovered_pages(walk.locs, p.domains), p.max_pages)
+    pages = cut(page_budget(discovered_pages(walk.locs, p.domains), p.max_pages), "pages")
     return Discovery(initial, walk.sitemaps, pages)
 
 
@@ -79,6 +79,12 @@ def scan(pages: DataFrame, patterns: DataFrame, p: AuditParams, keep_empty: bool
     return find_patterns(blobs, patterns, p.match_strategy, cap=cap)
 
 
+def searched(inputs: DataFrame, p: AuditParams) -> tuple[DataFrame, DataFrame]:
+    """Variants of the inputs, written once as several stages read them, and their patterns."""
+    variants = cut(input_variants(inputs, p.encode_mode, p.min_variant_length), "variants")
+    return variants, pattern_set(variants).withColumnRenamed("variant", "pattern")
+
+
 def audit(inputs: DataFrame | None, pages: DataFrame, docs: DataFrame, p: AuditParams) -> Audit:
     """Discover, admit, scan and report. Without inputs only the inventory is made.
 
@@ -101,16 +107,14 @@ def audit(inputs: DataFrame | None, pages: DataFrame, docs: DataFrame, p: AuditP
         cap = None
     if inputs is None:
         return Audit(found, inventory, None)
-    variants = input_variants(inputs, p.encode_mode, p.min_variant_length)
-    patterns = pattern_set(variants).withColumnRenamed("variant", "pattern")
+    variants, patterns = searched(inputs, p)
     hits = select_hits(scan(candidates, patterns, p, cap=cap))
     return Audit(found, inventory, report(inputs, variants, hits, p.max_match_pages))
 
 
 def audit_pages(inputs: DataFrame, pages: DataFrame, p: AuditParams) -> DataFrame:
     """Report over all given pages, without discovery or admission."""
-    variants = input_variants(inputs, p.encode_mode, p.min_variant_length)
-    patterns = pattern_set(variants).withColumnRenamed("variant", "pattern")
+    variants, patterns = searched(inputs, p)
     hits = scan(pages, patterns, p, cap=p.max_match_pages)
     return report(inputs, variants, hits, p.max_match_pages)
 
@@ -122,8 +126,7 @@ def crawl_inventory(pages: DataFrame, docs: DataFrame, p: AuditParams) -> DataFr
 
 def check_page(inputs: DataFrame, pages: DataFrame, url: str, p: AuditParams) -> DataFrame:
     """Report over the one page ``url``; no robots, domain or discovery checks."""
-    variants = input_variants(inputs, p.encode_mode, p.min_variant_length)
-    patterns = pattern_set(variants).withColumnRenamed("variant", "pattern")
+    variants, patterns = searched(inputs, p)
     hits = scan(one_page(pages, url), patterns, p, keep_empty=True)
     return report(inputs, variants, hits, 1)
 

@@ -44,7 +44,7 @@ def _flat(report: DataFrame) -> DataFrame:
 
 
 def _html(spark: SparkSession, sf: str) -> DataFrame:
-    return d.pages(spark, sf).select("url", "html")
+    return read_landed(spark, f"{sf}/pages.parquet", ["url", "html"])
 
 
 def _seeds(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:

@@ -18,14 +18,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Only a local session without the setting gets a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="hrefsieve-")
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -35,16 +32,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise on shared storage, so a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a frame to shared storage and go on from there.
+
+    Lineage ends, a lost executor costs no recomputation, and later plans know the
+    true size of the frame.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_bytes(df: DataFrame) -> Column:
+    """Aggregate: size of the frame written as text."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 64
+    return F.coalesce(F.sum(width), F.lit(0))
 
 
 def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Is the frame, written as text, no larger than ``max_bytes``?"""
-    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 64
-    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
+    return df.agg(text_bytes(df)).first()[0] <= max_bytes
 
 
 def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "inner", spread: Column | None = None) -> DataFrame:

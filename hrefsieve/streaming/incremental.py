@@ -8,9 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hrefsieve.operators.pages_per_pattern import first_pages
 from hrefsieve.operators.report import report
-from hrefsieve.operators.variants import input_variants, pattern_set
 from hrefsieve.params import AuditParams
-from hrefsieve.plans.jobs import scan
+from hrefsieve.plans.jobs import scan, searched
 
 MATCH_SCHEMA = "url string, pattern string, batch long"
 
@@ -33,8 +32,7 @@ def scan_stream(pages: DataFrame, inputs: DataFrame, table: str, checkpoint: str
     nothing, and no seen-URL state is kept. Only the first pages of each pattern and
     batch are stored; the report's first pages are among them.
     """
-    variants = input_variants(inputs, p.encode_mode, p.min_variant_length)
-    patterns = pattern_set(variants).withColumnRenamed("variant", "pattern")
+    _, patterns = searched(inputs, p)
 
     def add_batch(batch: DataFrame, batch_id: int) -> None:
         hits = scan(batch, patterns, p, cap=p.max_match_pages)
@@ -47,5 +45,5 @@ def scan_stream(pages: DataFrame, inputs: DataFrame, table: str, checkpoint: str
 def stream_report(spark: SparkSession, table: str, inputs: DataFrame, p: AuditParams) -> DataFrame:
     """The report over everything scanned so far."""
     hits = spark.read.schema(MATCH_SCHEMA).parquet(table).select("url", "pattern")
-    variants = input_variants(inputs, p.encode_mode, p.min_variant_length)
+    variants, _ = searched(inputs, p)
     return report(inputs, variants, hits, p.max_match_pages)
