@@ -33,6 +33,7 @@ NATIVE_PATTERNS = 32
 AUTOMATON_CHARS = 4_000_000
 PREFIX = 6
 MIN_BITS, MAX_BITS = 16, 28
+PIECE = 1 << 20  # bytes of text hashed at a time
 BUCKET = 32_768  # bits per bitmap_construct_agg value
 
 # Arithmetic modulo 2**64: an odd base has an inverse, so every window of a text gets
@@ -99,25 +100,59 @@ def _pattern_slots(raw: bytes, bits: int) -> list[int]:
     return [int(_slots(sums, inverse, start, n, bits)[0]) for n in (min(PREFIX, len(raw)), len(raw))]
 
 
-def _candidates(raw: bytes, lengths: list[int], prefixes: np.ndarray, wholes: np.ndarray, bits: int) -> list[bytes]:
-    """Distinct substrings of the text whose slots are set."""
-    n = len(raw)
-    sums, inverse = _running_hash(np.frombuffer(raw, np.uint8))
-    found = set()
-
-    def is_set(bitmap, slots):
-        return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+def _set_slots(data: np.ndarray, ends: np.ndarray, lengths: list[int], prefixes: np.ndarray, wholes: np.ndarray, bits: int):
+    """(position, length) of the substrings whose slots are set. ``ends`` are the text ends."""
+    sums, inverse = _running_hash(data)
+    room = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(data))  # bytes left in the text
 
-    def starts(width):
-        at = np.arange(max(n - width + 1, 0))
-        return at[is_set(prefixes, _slots(sums, inverse, at, width, bits))]
+    def kept(bitmap: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        at = at[room[at] >= width]
+        slots = _slots(sums, inverse, at, width, bits)
+        return at[(bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1]
 
-    long_starts = starts(PREFIX)
+    everywhere = np.arange(len(data))
+    starts = kept(prefixes, everywhere, PREFIX)
     for length in lengths:
-        at = long_starts[long_starts <= n - length] if length >= PREFIX else starts(length)
-        hits = at[is_set(wholes, _slots(sums, inverse, at, length, bits))] if len(at) else at
-        found.update(raw[i:i + length] for i in hits.tolist())
-    return list(found)
+        begin = starts if length >= PREFIX else kept(prefixes, everywhere, length)
+        for at in kept(wholes, begin, length).tolist():
+            yield at, length
+
+
+def _pieces(offsets: np.ndarray, overlap: int):
+    """Cut a batch of texts into stretches of bounded size: (first byte, text ends, first row).
+
+    Short texts go together. A long text is cut with an overlap as long as any pattern.
+    """
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        low = int(offsets[row])
+        last = int(np.searchsorted(offsets, low + PIECE, "right")) - 1
+        if last > row:
+            yield low, offsets[row + 1:last + 1], row
+            row = last
+        else:
+            high = int(offsets[row + 1])
+            for start in range(low, high, PIECE):
+                yield start, np.array([min(high, start + PIECE + overlap)]), row
+            row += 1
+
+
+def _candidates(column: pa.Array, lengths: list[int], prefixes: np.ndarray, wholes: np.ndarray, bits: int) -> list[list[bytes]]:
+    """Per text of a batch, its distinct substrings whose slots are set."""
+    column = column.fill_null(b"").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    values = column.buffers()[2]
+    data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    found = [set() for _ in range(len(column))]
+    for low, ends, first_row in _pieces(offsets, lengths[-1]):
+        stretch = data[low:int(ends[-1])]
+        if not len(stretch):
+            continue
+        inner = ends - low
+        for at, length in _set_slots(stretch, inner, lengths, prefixes, wholes, bits):
+            row = first_row + int(np.searchsorted(inner, at, "right"))
+            found[row].add(stretch[at:at + length].tobytes())
+    return [list(f) for f in found]
 
 
 def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
@@ -147,12 +182,14 @@ def _windows(texts: DataFrame, patterns: DataFrame, key: str, text: str, cap: in
     slots = table.select(slot_pair("raw").alias("s"))
     prefixes = _bitmap(slots.select(F.get("s", F.lit(0)).alias("slot")), bits)
     wholes = _bitmap(slots.select(F.get("s", F.lit(1)).alias("slot")), bits)
+    # one value per distinct length, so no more than the longest pattern has bytes
     lengths = [r[0] for r in table.select(F.octet_length("raw")).distinct().collect()]
+    if not lengths:
+        return _native(texts, [], key, text)
     shared = spark.sparkContext.broadcast((sorted(lengths), prefixes, wholes, bits))
 
     def search(column: pa.Array) -> pa.Array:
-        found = [_candidates(t, *shared.value) if t else [] for t in column.to_pylist()]
-        return pa.array(found, pa.list_(pa.binary()))
+        return pa.array(_candidates(column, *shared.value), pa.list_(pa.binary()))
 
     hits = F.arrow_udf(search, T.ArrayType(T.BinaryType()))(F.col(text).cast("binary"))
     candidates = texts.select(key, F.explode(hits).alias("raw"))
