@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hrefsieve.operators.pages_per_pattern import page_sets
+from hrefsieve.session import join_lookup
 
 
 def _no_pages() -> Column:
@@ -20,7 +21,7 @@ def pages_per_input(variants: DataFrame, hits: DataFrame, n: int) -> DataFrame:
     per_variant = page_sets(hits.withColumnRenamed("pattern", "variant"), n, "variant")
     merged = F.sort_array(F.array_distinct(F.flatten(F.collect_list("pages"))))
     return (
-        variants.join(per_variant, "variant")
+        join_lookup(variants, per_variant, "variant")
         .groupBy("queried_url")
         .agg(F.slice(merged, 1, n).alias("pages"))
     )
@@ -30,7 +31,7 @@ def report(inputs: DataFrame, variants: DataFrame, hits: DataFrame, n: int = 100
     """(input_id, queried_url, found, match_count, pages) for every input, repeats included."""
     matched = pages_per_input(variants, hits, n)
     pages = F.coalesce("pages", _no_pages())
-    return inputs.join(matched, "queried_url", "left").select(
+    return join_lookup(inputs, matched, "queried_url", "left").select(
         "input_id",
         "queried_url",
         (F.size(pages) > 0).alias("found"),

@@ -11,6 +11,7 @@ from hrefsieve.functions.urls import authority
 from hrefsieve.operators.domains import first_domain, in_scope
 from hrefsieve.operators.links import page_blobs
 from hrefsieve.operators.matching import find_patterns
+from hrefsieve.operators.pages_per_pattern import first_pages
 from hrefsieve.operators.report import matched_inputs, matched_preview, report
 from hrefsieve.operators.robots import domain_verdicts, with_verdict
 from hrefsieve.operators.sitemaps import discovered_pages, page_budget, sitemap_closure
@@ -105,10 +106,13 @@ def audit(inputs: DataFrame | None, pages: DataFrame, docs: DataFrame, p: AuditP
         inventory = sizes.join(found.pages, "url", "left_semi")
         select_hits = lambda hits: hits.distinct().join(found.pages, "url", "left_semi")
         cap = None
+    inventory = cut(inventory, "inventory")
     if inputs is None:
         return Audit(found, inventory, None)
     variants, patterns = searched(inputs, p)
     hits = select_hits(scan(candidates, patterns, p, cap=cap))
+    # The scan is the costly part; everything after it reads its small result.
+    hits = cut(first_pages(hits, p.max_match_pages), "matches")
     return Audit(found, inventory, report(inputs, variants, hits, p.max_match_pages))
 
 

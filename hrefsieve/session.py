@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 MIB = 1 << 20
 BROADCAST_BYTES = 64 * MIB
 SALTS = 64
+HOT_ROWS = 1_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -57,10 +58,11 @@ def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
 def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "inner", spread: Column | None = None) -> DataFrame:
     """Join with a side that is usually small, without shuffling the big one.
 
-    The small side is measured first and broadcast only if it fits. Otherwise both
-    sides shuffle on the key and a salt, so one hot key spreads over many tasks.
+    The small side is written once, measured, and broadcast only if it fits. Otherwise
+    both sides shuffle on the key and a salt, so one hot key spreads over many tasks.
     ``spread`` is what the salt is taken from; rows with the same value stay together.
     """
+    small = cut(small, "small")
     if fits(small):
         return big.join(F.broadcast(small), on, how)
     salt = F.pmod(F.xxhash64(spread if spread is not None else F.struct(*big.columns)), F.lit(SALTS))
@@ -69,6 +71,24 @@ def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "inner", sp
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
+def join_lookup(rows: DataFrame, lookup: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join with a lookup of one row per key, when a key may fill many of the rows.
+
+    Keys with over ``HOT_ROWS`` rows are found first; at most one in ``HOT_ROWS`` rows
+    can be such a key, so their list is broadcast. Only their lookup rows are repeated,
+    one for each task the key is spread over.
+    """
+    counts = rows.groupBy(on).count().where(F.col("count") > HOT_ROWS)
+    hot = F.broadcast(counts.select(on, F.ceil(F.col("count") / HOT_ROWS).cast("long").alias("_copies")))
+    spread = rows.join(hot, on, "left").withColumn(
+        "_copy", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_copies", F.lit(1).cast("long")))
+    )
+    repeated = lookup.join(hot, on, "left").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_copies", F.lit(1).cast("long")) - 1))
+    )
+    return spread.drop("_copies").join(repeated.drop("_copies"), [on, "_copy"], how).drop("_copy")
+
+
 def with_row_index(df: DataFrame, order: list[Column], name: str = "row_index") -> DataFrame:
     """Number rows 0, 1, ... in the given order, each range of rows in its own task."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)

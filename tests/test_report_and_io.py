@@ -100,6 +100,13 @@ def test_report_invariants(small):
         assert sum(r[f"match_page_{i}"] != "" for i in range(1, 6)) == r["match_count"] and r["found"] == (r["match_count"] > 0)
 
 
+def test_hot_keys_spread_without_changing_the_report(small, monkeypatch):
+    inputs, variants, hits = small
+    want = sorted(map(str, report(inputs, variants, hits).collect()))
+    monkeypatch.setattr("hrefsieve.session.HOT_ROWS", 1)
+    assert sorted(map(str, report(inputs, variants, hits).collect())) == want
+
+
 def read_csv(path):
     out = []
     for part in sorted(glob.glob(f"{path}/part-*")):
