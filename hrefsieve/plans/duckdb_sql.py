@@ -149,7 +149,7 @@ ORACLES = {
     + ", ".join(f"coalesce(ps[{i}], '') AS match_page_{i}" for i in range(1, 11)) + " FROM report",
     "audit_links_only": _audit(body=False) + _FLAT,
     "incremental_scan": _audit() + _FLAT,
-    "input_variants_quote": _with(
+    "input_variants": _with(
         _P, _INPUTS, _ODD,
         "sources AS (SELECT queried_url FROM inputs UNION SELECT queried_url FROM odd)",
         "texts AS (SELECT queried_url, replace(queried_url, '&amp;', '&') AS u FROM sources)",
@@ -164,11 +164,11 @@ ORACLES = {
              FROM (SELECT *, regexp_replace(queried_url, '#.*$', '') AS cut FROM odd))""",
     ) + f"""SELECT DISTINCT queried_url, variant FROM (
               SELECT queried_url, v AS variant FROM forms UNION ALL SELECT queried_url, {_encoded('v', _URI_KEEPS)} FROM forms)""",
-    "pattern_list": _with(_P, _INPUTS, _VARIANTS) + "SELECT DISTINCT variant FROM variants",
-    "clean_input_lines": "SELECT page_id AS input_id, url AS queried_url FROM pages WHERE page_id % 5 IN (0, 1, 3)",
+    "pattern_set": _with(_P, _INPUTS, _VARIANTS) + "SELECT DISTINCT variant FROM variants",
+    "clean_inputs": "SELECT page_id AS input_id, url AS queried_url FROM pages WHERE page_id % 5 IN (0, 1, 3)",
     "unescaped_inputs": _with(_P) + """SELECT host || '/?a=1&amp;b=' || page_id || '&lt;&eacute;&#10;' AS queried_url,
               host || '/?a=1&b=' || page_id || '<é' || chr(10) AS unescaped FROM p""",
-    "page_links_regex": _LINK_ROWS + "SELECT * FROM links",
+    "page_links": _LINK_ROWS + "SELECT * FROM links",
     "page_links_dom": _LINK_ROWS + "SELECT * FROM links",
     "page_link_counts": _LINK_ROWS + "SELECT href, count(*) AS links, count(DISTINCT url) AS linking_pages FROM links GROUP BY href",
     "edge_links": _with(
@@ -196,7 +196,7 @@ ORACLES = {
               AS link, page_id % 7 IN (0, 1, 3, 5) AS is_binary FROM p""",
     "sitemap_like": _with(_P) + """SELECT origin || '/' || page_id || '/' || ['feed.xml', 'feed.xml?p=1', '?s%69temap=1', 'My-Sitemap/', '?s%69temap=', 'p.XML.gz', 'page'][page_id % 7 + 1]
               AS link, page_id % 7 IN (0, 2, 3, 5) AS is_sitemap FROM p""",
-    "robots_rule_rows": _with(_P, _HOST_DOCS, _ROBOT_BLOCKS) + """SELECT r.domain, r.block_id, l.value AS agent, rule_no, allow, path
+    "robots_rules": _with(_P, _HOST_DOCS, _ROBOT_BLOCKS) + """SELECT r.domain, r.block_id, l.value AS agent, rule_no, allow, path
               FROM rules r JOIN live l ON l.domain = r.domain AND l.block_id = r.block_id AND l.kind = 'agent'""",
     "robots_admission": _with(
         _P, _HOST_DOCS, _ROBOT_BLOCKS,
@@ -215,34 +215,42 @@ ORACLES = {
             AND (path = '*' OR starts_with(target, path)) GROUP BY url)""",
     ) + """SELECT t.url, t.host AS domain, CASE status WHEN 403 THEN false WHEN 404 THEN true ELSE coalesce(allow, true) END AS allowed
            FROM targets t JOIN hr ON hr.domain = t.host LEFT JOIN first_hit f ON f.url = t.url""",
-    "robots_sitemap_lines": _with(_P, _HOST_DOCS) + """SELECT DISTINCT robots_url, url FROM (
+    "robots_sitemaps": _with(_P, _HOST_DOCS) + """SELECT DISTINCT robots_url, url FROM (
               SELECT robots_url, trim(regexp_extract(raw, '^[^:]*:(.*)$', 1)) AS url
               FROM (SELECT robots_url, unnest(string_split(text, chr(10))) AS raw FROM hr WHERE status = 200)
               WHERE lower(raw) LIKE 'sitemap:%') WHERE url <> ''""",
-    "first_sitemaps": _with(_P, _HOST_DOCS) + """SELECT trim(regexp_extract(raw, '^[^:]*:(.*)$', 1)) AS url
+    "candidate_sitemaps": _with(_P, _HOST_DOCS) + """SELECT trim(regexp_extract(raw, '^[^:]*:(.*)$', 1)) AS url
               FROM (SELECT unnest(string_split(text, chr(10))) AS raw FROM hr WHERE status = 200)
               WHERE regexp_matches(raw, '(?i)^sitemap: *[^ ]')
               UNION SELECT s || '://' || domain || '/sitemap.xml' FROM hr, (VALUES ('https'), ('http')) t(s)""",
-    "sitemap_loc_rows": _with(_P, _LOCS) + "SELECT parent, kind, loc FROM locs",
-    "sitemap_loc_rows_regex": _with(_P, _LOCS) + """SELECT parent, CASE WHEN contains(loc, 'sitemap') THEN 'sitemap' ELSE 'page' END AS kind,
+    "sitemap_locs": _with(_P, _LOCS) + "SELECT parent, kind, loc FROM locs",
+    "sitemap_locs_regex": _with(_P, _LOCS) + """SELECT parent, CASE WHEN contains(loc, 'sitemap') THEN 'sitemap' ELSE 'page' END AS kind,
               replace(loc, '&', '&amp;') AS loc FROM marked WHERE NOT prefixed""",
-    "sitemap_closure_rows": _CLOSURE + "SELECT url, depth FROM sitemaps",
+    "edge_locs": _with(_P, _LOCS) + """SELECT parent, count(*) FILTER (kind = 'page') AS pages, count(*) FILTER (kind = 'sitemap') AS sitemaps,
+              count(*) FILTER (loc = '') AS blank FROM locs GROUP BY parent""",
+    "sitemap_closure": _CLOSURE + "SELECT url, depth FROM sitemaps",
     "sitemap_closure_sql": _CLOSURE + "SELECT url FROM sitemaps",
     "sitemap_budget": _CLOSURE + "SELECT url FROM sitemaps ORDER BY depth, url LIMIT 12",
-    "pages_discovered": _CLOSURE + "SELECT url FROM found",
-    "pages_in_budget": _CLOSURE + "SELECT url FROM found ORDER BY depth, url LIMIT 45",
+    "discovered_pages": _CLOSURE + "SELECT url FROM found",
+    "page_budget": _CLOSURE + "SELECT url FROM found ORDER BY depth, url LIMIT 45",
     "page_inventory": _with(_P) + "SELECT url, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM p WHERE domain = 'example.net'",
-    "crawl_only": _with(_P, _LOCS, _SEEDS, _WALK, _ALLOWED, recursive=True)
+    "crawl_inventory": _with(_P, _LOCS, _SEEDS, _WALK, _ALLOWED, recursive=True)
     + "SELECT plain AS url, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM scanned",
     "full_audit": _with(
         _P, _LOCS, _SEEDS, _WALK, _ALLOWED, _INPUTS, _VARIANTS, _blobs("scanned", "plain"), _HITS, _report(), recursive=True
     ) + _FLAT,
+    "run_summary": _with(
+        _P, _LOCS, _SEEDS, _WALK, _ALLOWED, _INPUTS, _VARIANTS, _blobs("scanned", "plain"), _HITS, _report(), recursive=True
+    ) + """SELECT (SELECT count(*) FROM seeds) AS candidate_sitemaps, (SELECT count(*) FROM sitemaps) AS sitemaps_processed,
+              (SELECT count(*) FROM found) AS pages_collected, (SELECT count(*) FROM scanned) AS pages_scanned,
+              (SELECT count(DISTINCT queried_url) FROM report WHERE found) AS inputs_matched,
+              (SELECT array_to_string(list_sort(list_distinct(list(queried_url) FILTER (found)))[1:10], chr(10)) FROM report) AS matched_preview""",
     "single_page_check": _with(
         _P, "one AS (SELECT * FROM p WHERE url = (SELECT min(url) FROM pages))", _INPUTS, _VARIANTS, _blobs("one"), _HITS, _report(1)
     ) + _FLAT,
-    "run_summary_row": _audit() + """SELECT count(*) AS inputs, count(DISTINCT queried_url) AS distinct_inputs,
+    "report_summary": _audit() + """SELECT count(*) AS inputs, count(DISTINCT queried_url) AS distinct_inputs,
               count(DISTINCT CASE WHEN found THEN queried_url END) AS inputs_matched, CAST(sum(match_count) AS BIGINT) AS pages_listed FROM report""",
-    "matched_inputs_preview": _audit() + "SELECT DISTINCT queried_url FROM report WHERE found ORDER BY queried_url LIMIT 10",
+    "matched_preview": _audit() + "SELECT DISTINCT queried_url FROM report WHERE found ORDER BY queried_url LIMIT 10",
     "pattern_page_sets": _with(_P, _INPUTS, _VARIANTS, _blobs(), _HITS) + """SELECT variant AS pattern, CAST(len(ps) AS BIGINT) AS n_pages,
               array_to_string(ps, chr(10)) AS pages FROM (SELECT variant, list_sort(list(url))[1:20] AS ps FROM hits GROUP BY variant)""",
     "passage_containment": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)",

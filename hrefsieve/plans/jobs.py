@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,19 +138,22 @@ def check_page(inputs: DataFrame, pages: DataFrame, url: str, p: AuditParams) ->
 
 def run_summary(result: Audit) -> DataFrame:
     """One row of counts over a whole run."""
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias(name))
-
-    row = (
-        counted(result.discovery.initial, "candidate_sitemaps")
-        .crossJoin(counted(result.discovery.sitemaps, "sitemaps_processed"))  # one row each
-        .crossJoin(counted(result.discovery.pages, "pages_collected"))
-        .crossJoin(counted(result.inventory, "pages_scanned"))
-    )
+    frames = {
+        "candidate_sitemaps": result.discovery.initial,
+        "sitemaps_processed": result.discovery.sitemaps,
+        "pages_collected": result.discovery.pages,
+        "pages_scanned": result.inventory,
+    }
     if result.report is not None:
-        preview = matched_preview(result.report).agg(F.sort_array(F.collect_list("queried_url")).alias("matched_preview"))
-        row = row.crossJoin(counted(matched_inputs(result.report), "inputs_matched")).crossJoin(preview)
-    return row
+        frames["inputs_matched"] = matched_inputs(result.report)
+    nothing = F.array().cast("array<string>")
+    parts = [df.agg(F.lit(name).alias("metric"), F.count("*").alias("n"), nothing.alias("texts")) for name, df in frames.items()]
+    columns = [F.max(F.when(F.col("metric") == name, F.col("n"))).alias(name) for name in frames]
+    if result.report is not None:
+        preview = F.sort_array(F.collect_list("queried_url"))
+        parts.append(matched_preview(result.report).agg(F.lit("preview").alias("metric"), F.lit(0).cast("long").alias("n"), preview.alias("texts")))
+        columns.append(F.max(F.when(F.col("metric") == "preview", F.col("texts"))).alias("matched_preview"))
+    return reduce(DataFrame.union, parts).agg(*columns)
 
 
 def write_audit(result: Audit, folder: str, stamp: str, p: AuditParams, report_name: str = names.REPORT_NAME) -> None:

@@ -19,7 +19,7 @@ from hrefsieve.operators.robots import domain_verdicts, robots_rules, with_verdi
 from hrefsieve.operators.sitemaps import discovered_pages, document_locs, page_budget, sitemap_closure
 from hrefsieve.operators.variants import input_variants, pattern_set
 from hrefsieve.plans import derived as d
-from hrefsieve.plans.jobs import audit, audit_pages, check_page, crawl_inventory, discover
+from hrefsieve.plans.jobs import audit, audit_pages, check_page, crawl_inventory, discover, run_summary
 from hrefsieve.session import scratch_path
 from hrefsieve.sinks.writers import sorted_urls
 from hrefsieve.sources.inputs import clean_inputs
@@ -31,9 +31,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(name: str) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        QUERIES[name] = fn
+        return fn
+
+    return register
 
 
 def _flat(report: DataFrame) -> DataFrame:
@@ -51,178 +54,187 @@ def _seeds(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
     return candidate_sitemaps(domain_table(spark, d.DOMAINS), docs, ["https"])
 
 
-@query
-def audit_report(spark: SparkSession, sf: str) -> DataFrame:
+@query("audit_report")
+def _audit_report(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(audit_pages(d.inputs(spark, sf), _html(spark, sf), d.settings()))
 
 
-@query
-def audit_report_dom(spark: SparkSession, sf: str) -> DataFrame:
+@query("audit_report_dom")
+def _audit_report_dom(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(audit_pages(d.inputs(spark, sf), _html(spark, sf), d.settings(link_mode="dom")))
 
 
-@query
-def audit_report_windows(spark: SparkSession, sf: str) -> DataFrame:
+@query("audit_report_windows")
+def _audit_report_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(audit_pages(d.inputs(spark, sf), _html(spark, sf), d.settings(match_strategy="windows")))
 
 
-@query
-def audit_report_capped(spark: SparkSession, sf: str) -> DataFrame:
+@query("audit_report_capped")
+def _audit_report_capped(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(audit_pages(d.inputs(spark, sf), _html(spark, sf), d.settings(max_match_pages=5)))
 
 
-@query
-def audit_wide(spark: SparkSession, sf: str) -> DataFrame:
+@query("audit_wide")
+def _audit_wide(spark: SparkSession, sf: str) -> DataFrame:
     report = audit_pages(d.inputs(spark, sf), _html(spark, sf), d.settings(max_match_pages=10))
     return wide(report, 10).withColumn("match_count", F.col("match_count").cast("bigint"))
 
 
-@query
-def audit_links_only(spark: SparkSession, sf: str) -> DataFrame:
+@query("audit_links_only")
+def _audit_links_only(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(audit_pages(d.inputs(spark, sf), _html(spark, sf), d.settings(scan_body=False)))
 
 
-@query
-def input_variants_quote(spark: SparkSession, sf: str) -> DataFrame:
+@query("input_variants")
+def _input_variants_quote(spark: SparkSession, sf: str) -> DataFrame:
     return input_variants(d.inputs(spark, sf).union(d.odd_inputs(spark, sf)))
 
 
-@query
-def encode_uri_variants(spark: SparkSession, sf: str) -> DataFrame:
+@query("encode_uri_variants")
+def _encode_uri_variants(spark: SparkSession, sf: str) -> DataFrame:
     return input_variants(d.odd_inputs(spark, sf), "uri")
 
 
-@query
-def pattern_list(spark: SparkSession, sf: str) -> DataFrame:
+@query("pattern_set")
+def _pattern_list(spark: SparkSession, sf: str) -> DataFrame:
     return pattern_set(input_variants(d.inputs(spark, sf)))
 
 
-@query
-def clean_input_lines(spark: SparkSession, sf: str) -> DataFrame:
+@query("clean_inputs")
+def _clean_input_lines(spark: SparkSession, sf: str) -> DataFrame:
     return clean_inputs(d.input_lines(spark, sf))
 
 
-@query
-def unescaped_inputs(spark: SparkSession, sf: str) -> DataFrame:
+@query("unescaped_inputs")
+def _unescaped_inputs(spark: SparkSession, sf: str) -> DataFrame:
     escaped = d.pages(spark, sf).select(F.expr("host || '/?a=1&amp;b=' || page_id || '&lt;&eacute;&#10;'").alias("queried_url"))
     return escaped.select("queried_url", unescape(F.col("queried_url")).alias("unescaped"))
 
 
-@query
-def page_links_regex(spark: SparkSession, sf: str) -> DataFrame:
+@query("page_links")
+def _page_links_regex(spark: SparkSession, sf: str) -> DataFrame:
     return page_links(_html(spark, sf), "regex").select("url", F.col("pos").cast("bigint").alias("pos"), "href")
 
 
-@query
-def page_links_dom(spark: SparkSession, sf: str) -> DataFrame:
+@query("page_links_dom")
+def _page_links_dom(spark: SparkSession, sf: str) -> DataFrame:
     return page_links(_html(spark, sf), "dom").select("url", F.col("pos").cast("bigint").alias("pos"), "href")
 
 
-@query
-def page_link_counts(spark: SparkSession, sf: str) -> DataFrame:
+@query("page_link_counts")
+def _page_link_counts(spark: SparkSession, sf: str) -> DataFrame:
     return page_links(_html(spark, sf), "regex").groupBy("href").agg(
         F.count("*").alias("links"), F.count_distinct("url").alias("linking_pages")
     )
 
 
-@query
-def edge_links(spark: SparkSession, sf: str) -> DataFrame:
+@query("edge_links")
+def _edge_links(spark: SparkSession, sf: str) -> DataFrame:
     return page_links(d.edge_pages(spark, sf), "dom").select("url", F.col("pos").cast("bigint").alias("pos"), "href")
 
 
-@query
-def resolved_links(spark: SparkSession, sf: str) -> DataFrame:
+@query("resolved_links")
+def _resolved_links(spark: SparkSession, sf: str) -> DataFrame:
     hrefs = F.explode(F.array(*[F.lit(h) for h in ("the,", "../up/./x?q=1", "?q=2", "//other.test/p", "mailto:b@c", "http://[", "#f")]))
     each = d.pages(spark, sf).select("url", hrefs.alias("href"))
     return each.select("url", "href", urls.link_target(F.col("url"), F.col("href")).alias("target"))
 
 
-@query
-def domain_pages(spark: SparkSession, sf: str) -> DataFrame:
+@query("domain_pages")
+def _domain_pages(spark: SparkSession, sf: str) -> DataFrame:
     table = read_landed(spark, f"{sf}/pages.parquet", ["url"])
     return table.where(urls.same_domain(F.col("url"), ["example.com", "thther.example.org"]))
 
 
-@query
-def domain_of_page(spark: SparkSession, sf: str) -> DataFrame:
+@query("domain_of_page")
+def _domain_of_page(spark: SparkSession, sf: str) -> DataFrame:
     return with_domain(d.pages(spark, sf).select("url"), d.parent_domains(spark, sf)).select("url", "host", "domain")
 
 
-@query
-def binary_filter(spark: SparkSession, sf: str) -> DataFrame:
+@query("binary_filter")
+def _binary_filter(spark: SparkSession, sf: str) -> DataFrame:
     ending = "element_at(array('.PDF?v=1', '.pdf;v=1', '?f=b.pdf', '.jpeg#x', '.html', '.woff2', '/pdf'), cast(page_id % 7 + 1 as int))"
     links = d.pages(spark, sf).select(F.expr(f"scheme || '://' || host || '/f' || page_id || {ending}").alias("link"))
     return links.select("link", urls.is_binary(F.col("link")).alias("is_binary"))
 
 
-@query
-def sitemap_like(spark: SparkSession, sf: str) -> DataFrame:
+@query("sitemap_like")
+def _sitemap_like(spark: SparkSession, sf: str) -> DataFrame:
     ending = "element_at(array('feed.xml', 'feed.xml?p=1', '?s%69temap=1', 'My-Sitemap/', '?s%69temap=', 'p.XML.gz', 'page'), cast(page_id % 7 + 1 as int))"
     links = d.pages(spark, sf).select(F.expr(f"scheme || '://' || host || '/' || page_id || '/' || {ending}").alias("link"))
     return links.select("link", urls.is_sitemap_like(F.col("link")).alias("is_sitemap"))
 
 
-@query
-def robots_rule_rows(spark: SparkSession, sf: str) -> DataFrame:
+@query("robots_rules")
+def _robots_rule_rows(spark: SparkSession, sf: str) -> DataFrame:
     robots = d.host_robots(spark, sf).where("status = 200").select("domain", F.col("body").cast("string").alias("text"))
     return robots_rules(robots).select(
         "domain", "block_id", "agent", F.col("rule_no").cast("bigint").alias("rule_no"), "allow", "path"
     )
 
 
-@query
-def robots_admission(spark: SparkSession, sf: str) -> DataFrame:
+@query("robots_admission")
+def _robots_admission(spark: SparkSession, sf: str) -> DataFrame:
     verdicts = domain_verdicts(d.host_robots(spark, sf), d.settings().agent_token)
     hosted = d.pages(spark, sf).select("url", F.col("host").alias("domain"))
     return with_verdict(hosted, verdicts).select("url", "domain", "allowed")
 
 
-@query
-def robots_sitemap_lines(spark: SparkSession, sf: str) -> DataFrame:
+@query("robots_sitemaps")
+def _robots_sitemap_lines(spark: SparkSession, sf: str) -> DataFrame:
     return robots_sitemaps(text_documents(d.host_robots(spark, sf)))
 
 
-@query
-def first_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
+@query("candidate_sitemaps")
+def _first_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
     return candidate_sitemaps(d.host_domains(spark, sf), d.host_robots(spark, sf), ["https", "http"])
 
 
-@query
-def sitemap_loc_rows(spark: SparkSession, sf: str) -> DataFrame:
+@query("sitemap_locs")
+def _sitemap_loc_rows(spark: SparkSession, sf: str) -> DataFrame:
     return document_locs(text_documents(d.sitemap_docs(spark, sf)), "xml")
 
 
-@query
-def sitemap_loc_rows_regex(spark: SparkSession, sf: str) -> DataFrame:
+@query("sitemap_locs_regex")
+def _sitemap_loc_rows_regex(spark: SparkSession, sf: str) -> DataFrame:
     return document_locs(text_documents(d.sitemap_docs(spark, sf), drop_invalid=False), "regex")
 
 
-@query
-def sitemap_closure_rows(spark: SparkSession, sf: str) -> DataFrame:
+@query("edge_locs")
+def _edge_locs(spark: SparkSession, sf: str) -> DataFrame:
+    return document_locs(text_documents(d.sitemap_docs(spark, sf))).groupBy("parent").agg(
+        F.count_if(F.col("kind") == "page").alias("pages"),
+        F.count_if(F.col("kind") == "sitemap").alias("sitemaps"),
+        F.count_if(F.length("loc") == 0).alias("blank"),
+    )
+
+
+@query("sitemap_closure")
+def _sitemap_closure_rows(spark: SparkSession, sf: str) -> DataFrame:
     docs = d.all_docs(spark, sf)
     return sitemap_closure(_seeds(spark, sf, docs), docs, d.DOMAINS).sitemaps.select("url", F.col("depth").cast("bigint").alias("depth"))
 
 
-@query
-def sitemap_budget(spark: SparkSession, sf: str) -> DataFrame:
+@query("sitemap_budget")
+def _sitemap_budget(spark: SparkSession, sf: str) -> DataFrame:
     docs = d.all_docs(spark, sf)
     return sitemap_closure(_seeds(spark, sf, docs), docs, d.DOMAINS, max_sitemaps=12).sitemaps.select("url")
 
 
-@query
-def pages_discovered(spark: SparkSession, sf: str) -> DataFrame:
+@query("discovered_pages")
+def _pages_discovered(spark: SparkSession, sf: str) -> DataFrame:
     return discover(d.all_docs(spark, sf), d.settings(max_pages=1_000_000)).pages
 
 
-@query
-def pages_in_budget(spark: SparkSession, sf: str) -> DataFrame:
+@query("page_budget")
+def _pages_in_budget(spark: SparkSession, sf: str) -> DataFrame:
     docs = d.all_docs(spark, sf)
     walk = sitemap_closure(_seeds(spark, sf, docs), docs, d.DOMAINS, max_pages=45)
     return page_budget(discovered_pages(walk.locs, d.DOMAINS), 45)
 
 
-@query
-def sitemap_closure_sql(spark: SparkSession, sf: str) -> DataFrame:
+@query("sitemap_closure_sql")
+def _sitemap_closure_sql(spark: SparkSession, sf: str) -> DataFrame:
     """The closure as one recursive statement, for trees without shared children."""
     docs = d.all_docs(spark, sf)
     seeds = _seeds(spark, sf, docs)
@@ -243,73 +255,79 @@ def sitemap_closure_sql(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def page_inventory(spark: SparkSession, sf: str) -> DataFrame:
+@query("page_inventory")
+def _page_inventory(spark: SparkSession, sf: str) -> DataFrame:
     table = read_landed(spark, f"{sf}/pages.parquet", ["url", "html"])
     scoped = table.where(urls.same_domain(F.col("url"), ["example.net"]) & ~urls.is_binary(F.col("url")))
     return decoded_pages(scoped).select("url", "size_bytes")
 
 
-@query
-def crawl_only(spark: SparkSession, sf: str) -> DataFrame:
+@query("crawl_inventory")
+def _crawl_only(spark: SparkSession, sf: str) -> DataFrame:
     return crawl_inventory(d.page_docs(spark, sf), d.all_docs(spark, sf), d.settings())
 
 
-@query
-def full_audit(spark: SparkSession, sf: str) -> DataFrame:
+@query("full_audit")
+def _full_audit(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(audit(d.inputs(spark, sf), d.page_docs(spark, sf), d.all_docs(spark, sf), d.settings()).report)
 
 
-@query
-def single_page_check(spark: SparkSession, sf: str) -> DataFrame:
+@query("single_page_check")
+def _single_page_check(spark: SparkSession, sf: str) -> DataFrame:
     url = read_landed(spark, f"{sf}/pages.parquet", ["url"]).agg(F.min("url")).first()[0]
     return _flat(check_page(d.inputs(spark, sf), _html(spark, sf), url, d.settings()))
 
 
-@query
-def run_summary_row(spark: SparkSession, sf: str) -> DataFrame:
+@query("report_summary")
+def _run_summary_row(spark: SparkSession, sf: str) -> DataFrame:
     return summary(audit_pages(d.inputs(spark, sf), _html(spark, sf), d.settings()))
 
 
-@query
-def matched_inputs_preview(spark: SparkSession, sf: str) -> DataFrame:
+@query("run_summary")
+def _run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    result = audit(d.inputs(spark, sf), d.page_docs(spark, sf), d.all_docs(spark, sf), d.settings())
+    return run_summary(result).withColumn("matched_preview", F.array_join("matched_preview", "\n"))
+
+
+@query("matched_preview")
+def _matched_inputs_preview(spark: SparkSession, sf: str) -> DataFrame:
     return matched_preview(audit_pages(d.inputs(spark, sf), _html(spark, sf), d.settings()), 10)
 
 
-@query
-def pattern_page_sets(spark: SparkSession, sf: str) -> DataFrame:
+@query("pattern_page_sets")
+def _pattern_page_sets(spark: SparkSession, sf: str) -> DataFrame:
     patterns = pattern_set(input_variants(d.inputs(spark, sf))).withColumnRenamed("variant", "pattern")
     sets = page_sets(find_patterns(page_blobs(_html(spark, sf), "regex"), patterns), 20)
     return sets.select("pattern", F.size("pages").cast("bigint").alias("n_pages"), F.array_join("pages", "\n").alias("pages"))
 
 
-@query
-def passage_containment(spark: SparkSession, sf: str) -> DataFrame:
+@query("passage_containment")
+def _passage_containment(spark: SparkSession, sf: str) -> DataFrame:
     documents = read_landed(spark, f"{sf}/documents.parquet", ["doc_id", "text"])
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.col("text").alias("pattern"))
     hits = find_patterns(documents, items.select("pattern").where("pattern <> ''").distinct(), key="doc_id", text="text")
     return hits.join(items, "pattern").select("doc_id", "item_id")
 
 
-@query
-def bytes_to_text(spark: SparkSession, sf: str) -> DataFrame:
+@query("bytes_to_text")
+def _bytes_to_text(spark: SparkSession, sf: str) -> DataFrame:
     texts = text_documents(d.byte_docs(spark, sf))
     return texts.select("url", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query
-def header_types(spark: SparkSession, sf: str) -> DataFrame:
+@query("header_types")
+def _header_types(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.coalesce(F.element_at(lower_keys(F.col("headers")), "content-type"), F.lit(""))
     return d.byte_docs(spark, sf).groupBy(kind.alias("content_type"), F.col("status").cast("bigint").alias("status")).agg(F.count("*").alias("docs"))
 
 
-@query
-def sorted_url_list(spark: SparkSession, sf: str) -> DataFrame:
+@query("sorted_url_list")
+def _sorted_url_list(spark: SparkSession, sf: str) -> DataFrame:
     return sorted_urls(d.page_docs(spark, sf))
 
 
-@query
-def incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
+@query("incremental_scan")
+def _incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "incremental")
     schema = spark.read.parquet(f"{sf}/pages.parquet").schema
     stream = stream_pages(spark, sf, schema, "pages.parquet")
