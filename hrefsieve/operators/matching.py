@@ -14,9 +14,11 @@ Three strategies give the same rows:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,20 +45,27 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+Matcher = Callable[[DataFrame, str, str], DataFrame]
+
+
 def _collected(patterns: DataFrame) -> list[str]:
     return sorted(r[0] for r in patterns.select("pattern").distinct().collect())
 
 
-def _native(texts: DataFrame, patterns: list[str], key: str, text: str) -> DataFrame:
-    if not patterns:
-        return texts.select(key, F.lit("").alias("pattern")).limit(0)
-    listed = F.array(*[F.lit(p) for p in patterns])
-    hits = F.filter(listed, lambda p: F.contains(F.col(text), p))
-    return texts.select(key, F.explode(hits).alias("pattern"))
+def _native(patterns: list[str]) -> Matcher:
+    def match(texts: DataFrame, key: str, text: str) -> DataFrame:
+        if not patterns:
+            return texts.select(key, F.lit("").alias("pattern")).limit(0)
+        hits = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(F.col(text), p))
+        return texts.select(key, F.explode(hits).alias("pattern"))
 
+    return match
 
-def _automaton(texts: DataFrame, patterns: list[str], key: str, text: str) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast({"patterns": patterns})
+
+def _automaton(spark: SparkSession, patterns: list[str]) -> Matcher:
+    if not patterns:
+        return _native(patterns)
+    shared = spark.sparkContext.broadcast({"patterns": patterns})
 
     def search(column: pa.Array) -> pa.Array:
         state = shared.value
@@ -70,10 +79,11 @@ def _automaton(texts: DataFrame, patterns: list[str], key: str, text: str) -> Da
         found = [list({p for _, p in walk(t)}) if t else [] for t in column.to_pylist()]
         return pa.array(found, pa.list_(pa.string()))
 
-    if not patterns:
-        return _native(texts, patterns, key, text)
-    hits = F.arrow_udf(search, STRINGS)(F.col(text))
-    return texts.select(key, F.explode(hits).alias("pattern"))
+    def match(texts: DataFrame, key: str, text: str) -> DataFrame:
+        hits = F.arrow_udf(search, STRINGS)(F.col(text))
+        return texts.select(key, F.explode(hits).alias("pattern"))
+
+    return match
 
 
 def _running_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +104,15 @@ def _slots(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, length: int, b
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _pattern_slots(raw: bytes, bits: int) -> list[int]:
-    sums, inverse = _running_hash(np.frombuffer(raw, np.uint8))
-    start = np.zeros(1, np.int64)
-    return [int(_slots(sums, inverse, start, n, bits)[0]) for n in (min(PREFIX, len(raw)), len(raw))]
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _pattern_slots(column: pa.Array) -> pa.Array:
+    """Slots of the prefix and of the whole of each pattern, in the largest bitmap."""
+    def slots(raw: bytes) -> list[int]:
+        sums, inverse = _running_hash(np.frombuffer(raw, np.uint8))
+        start = np.zeros(1, np.int64)
+        return [int(_slots(sums, inverse, start, n, MAX_BITS)[0]) for n in (min(PREFIX, len(raw)), len(raw))]
+
+    return pa.array([slots(r) for r in column.to_pylist()], pa.list_(pa.int64()))
 
 
 def _set_slots(data: np.ndarray, ends: np.ndarray, lengths: list[int], prefixes: np.ndarray, wholes: np.ndarray, bits: int):
@@ -155,64 +170,56 @@ def _candidates(column: pa.Array, lengths: list[int], prefixes: np.ndarray, whol
     return [list(f) for f in found]
 
 
-def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of all values of column ``slot``; 2**bits bits, whatever the rows."""
+def _bitmaps(table: DataFrame, bits: int) -> list[np.ndarray]:
+    """Two bitmaps of 2**bits bits, whatever the rows: slots of prefixes and of wholes."""
+    slot = F.shiftright("slot", MAX_BITS - bits)
     parts = (
-        slots.groupBy((F.col("slot") / BUCKET).cast("long").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.col("slot") % BUCKET).alias("bitmap"))
+        table.select(F.posexplode("slots").alias("which", "slot"))
+        .groupBy("which", (slot / BUCKET).cast("long").alias("bucket"))
+        .agg(F.bitmap_construct_agg(slot % BUCKET).alias("bitmap"))
     )
-    out = np.zeros((1 << bits) // 8, np.uint8)
+    out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
     for row in parts.collect():
         at = row["bucket"] * (BUCKET // 8)
-        part = np.frombuffer(bytes(row["bitmap"]), np.uint8)[: len(out) - at]
-        out[at:at + len(part)] = part
+        whole = out[row["which"]]
+        part = np.frombuffer(bytes(row["bitmap"]), np.uint8)[: len(whole) - at]
+        whole[at:at + len(part)] = part
     return out
 
 
-def _windows(texts: DataFrame, patterns: DataFrame, key: str, text: str, cap: int | None, bits: int | None) -> DataFrame:
-    spark = texts.sparkSession
-    table = cut(patterns.select("pattern", F.col("pattern").cast("binary").alias("raw")).distinct())
+def _windows(patterns: DataFrame, cap: int | None, bits: int | None) -> Matcher:
+    raw = F.col("pattern").cast("binary")
+    table = cut(patterns.select("pattern").distinct().select("pattern", raw.alias("raw"), _pattern_slots(raw).alias("slots")), "patterns")
+    # one value per distinct length: never more than the longest pattern has bytes
+    size = table.agg(F.count("*").alias("n"), F.collect_set(F.octet_length("raw")).alias("lengths")).first()
+    if size["n"] == 0:
+        return _native([])
     if bits is None:
         # 16 bits per pattern while that stays within the largest bitmap
-        bits = min(MAX_BITS, max(MIN_BITS, (16 * table.count()).bit_length()))
-    slot_pair = F.arrow_udf(
-        lambda raw: pa.array([_pattern_slots(r, bits) for r in raw.to_pylist()], pa.list_(pa.int64())),
-        T.ArrayType(T.LongType()),
-    )
-    slots = table.select(slot_pair("raw").alias("s"))
-    prefixes = _bitmap(slots.select(F.get("s", F.lit(0)).alias("slot")), bits)
-    wholes = _bitmap(slots.select(F.get("s", F.lit(1)).alias("slot")), bits)
-    # one value per distinct length, so no more than the longest pattern has bytes
-    lengths = [r[0] for r in table.select(F.octet_length("raw")).distinct().collect()]
-    if not lengths:
-        return _native(texts, [], key, text)
-    shared = spark.sparkContext.broadcast((sorted(lengths), prefixes, wholes, bits))
+        bits = min(MAX_BITS, max(MIN_BITS, (16 * size["n"]).bit_length()))
+    prefixes, wholes = _bitmaps(table, bits)
+    shared = patterns.sparkSession.sparkContext.broadcast((sorted(size["lengths"]), prefixes, wholes, bits))
 
     def search(column: pa.Array) -> pa.Array:
         return pa.array(_candidates(column, *shared.value), pa.list_(pa.binary()))
 
-    hits = F.arrow_udf(search, T.ArrayType(T.BinaryType()))(F.col(text).cast("binary"))
-    candidates = texts.select(key, F.explode(hits).alias("raw"))
-    if cap is not None:
-        # every substring is all pattern or none, so the cap may precede the join
-        candidates = first_pages(candidates, cap, "raw", key)
-    return candidates.join(table, "raw").select(key, "pattern")
+    def match(texts: DataFrame, key: str, text: str) -> DataFrame:
+        hits = F.arrow_udf(search, T.ArrayType(T.BinaryType()))(F.col(text).cast("binary"))
+        candidates = texts.select(key, F.explode(hits).alias("raw"))
+        if cap is not None:
+            # every substring is all pattern or none, so the cap may precede the join
+            candidates = first_pages(candidates, cap, "raw", key)
+        return candidates.join(table.select("raw", "pattern"), "raw").select(key, "pattern")
 
+    return match
 
-def find_patterns(
-    texts: DataFrame,
-    patterns: DataFrame,
-    strategy: str = "auto",
-    key: str = "url",
-    text: str = "blob",
-    cap: int | None = None,
-    bits: int | None = None,
-) -> DataFrame:
-    """(key, pattern) for every pattern contained in a text, case-sensitive.
 
-    ``patterns`` has one column ``pattern`` of non-empty strings. A pattern counts
-    once per row of ``texts``. With ``cap``, only the smallest ``cap`` keys of each
-    pattern need to be right; pass it when the result is capped anyway.
+def matcher(patterns: DataFrame, strategy: str = "auto", cap: int | None = None, bits: int | None = None) -> Matcher:
+    """Prepare a pattern list once, for one or many sets of texts.
+
+    ``patterns`` has one column ``pattern`` of non-empty strings. With ``cap``, only
+    the smallest ``cap`` keys of each pattern need to be right; pass it when the result
+    is capped anyway.
     """
     if strategy not in ("auto", "native", "automaton", "windows"):
         raise ValueError(f"unknown match strategy: {strategy}")
@@ -225,8 +232,23 @@ def find_patterns(
         elif strategy == "auto":
             few = size["n"] <= NATIVE_PATTERNS
             strategy = "native" if few else "windows" if ahocorasick is None else "automaton"
-    if strategy == "native":
-        return _native(texts, _collected(patterns), key, text)
-    if strategy == "automaton":
-        return _automaton(texts, _collected(patterns), key, text)
-    return _windows(texts, patterns, key, text, cap, bits)
+    if strategy == "windows":
+        return _windows(patterns, cap, bits)
+    listed = _collected(patterns)
+    return _native(listed) if strategy == "native" else _automaton(patterns.sparkSession, listed)
+
+
+def find_patterns(
+    texts: DataFrame,
+    patterns: DataFrame,
+    strategy: str = "auto",
+    key: str = "url",
+    text: str = "blob",
+    cap: int | None = None,
+    bits: int | None = None,
+) -> DataFrame:
+    """(key, pattern) for every pattern contained in a text, case-sensitive.
+
+    A pattern counts once per row of ``texts``.
+    """
+    return matcher(patterns, strategy, cap, bits)(texts, key, text)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hrefsieve.functions.urls import authority
 from hrefsieve.operators.domains import first_domain, in_scope
 from hrefsieve.operators.links import page_blobs
-from hrefsieve.operators.matching import find_patterns
+from hrefsieve.operators.matching import Matcher, matcher
 from hrefsieve.operators.pages_per_pattern import first_pages
 from hrefsieve.operators.report import matched_inputs, matched_preview, report
 from hrefsieve.operators.robots import domain_verdicts, with_verdict
@@ -53,11 +53,12 @@ def discover(docs: DataFrame, p: AuditParams) -> Discovery:
 def robots_of_domains(docs: DataFrame, p: AuditParams) -> DataFrame:
     """Landed robots.txt of each domain, that of the first scheme: (domain, status, body).
 
-    A document that did not land has status 0.
+    A document that did not land has status 0. Of several landings the one with the
+    lowest status counts, so each domain has one row.
     """
     bases = robots_urls(base_urls(domain_table(docs.sparkSession, p.domains), p.schemes[:1]))
-    landed = docs.where(F.col("url").endswith("/robots.txt")).select("url", "status", "body")
-    return bases.join(landed, "url", "left").select("domain", F.coalesce("status", F.lit(0)).alias("status"), "body")
+    landed = docs.where(F.col("url").endswith("/robots.txt")).groupBy("url").agg(F.min(F.struct("status", "body")).alias("doc"))
+    return bases.join(landed, "url", "left").select("domain", F.coalesce("doc.status", F.lit(0)).alias("status"), "doc.body")
 
 
 def admitted(pages: DataFrame, docs: DataFrame | None, p: AuditParams) -> DataFrame:
@@ -75,10 +76,9 @@ def admitted(pages: DataFrame, docs: DataFrame | None, p: AuditParams) -> DataFr
     return judged.where("allowed").select(*pages.columns)
 
 
-def scan(pages: DataFrame, patterns: DataFrame, p: AuditParams, keep_empty: bool = False, cap: int | None = None) -> DataFrame:
-    """(url, pattern): which patterns occur on which pages."""
-    blobs = page_blobs(pages, p.link_mode, p.scan_body, keep_empty)
-    return find_patterns(blobs, patterns, p.match_strategy, cap=cap)
+def scan(pages: DataFrame, match: Matcher, p: AuditParams, keep_empty: bool = False) -> DataFrame:
+    """(url, pattern): which patterns of a prepared matcher occur on which pages."""
+    return match(page_blobs(pages, p.link_mode, p.scan_body, keep_empty), "url", "blob")
 
 
 def searched(inputs: DataFrame, p: AuditParams) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +107,12 @@ def audit(inputs: DataFrame | None, pages: DataFrame, docs: DataFrame, p: AuditP
         inventory = sizes.join(found.pages, "url", "left_semi")
         select_hits = lambda hits: hits.distinct().join(found.pages, "url", "left_semi")
         cap = None
-    inventory = cut(inventory, "inventory")
+    # one row per URL, however often it landed
+    inventory = cut(inventory.groupBy("url").agg(F.max("size_bytes").alias("size_bytes")), "inventory")
     if inputs is None:
         return Audit(found, inventory, None)
     variants, patterns = searched(inputs, p)
-    hits = select_hits(scan(candidates, patterns, p, cap=cap))
+    hits = select_hits(scan(candidates, matcher(patterns, p.match_strategy, cap), p))
     # The scan is the costly part; everything after it reads its small result.
     hits = cut(first_pages(hits, p.max_match_pages), "matches")
     return Audit(found, inventory, report(inputs, variants, hits, p.max_match_pages))
@@ -120,7 +121,7 @@ def audit(inputs: DataFrame | None, pages: DataFrame, docs: DataFrame, p: AuditP
 def audit_pages(inputs: DataFrame, pages: DataFrame, p: AuditParams) -> DataFrame:
     """Report over all given pages, without discovery or admission."""
     variants, patterns = searched(inputs, p)
-    hits = scan(pages, patterns, p, cap=p.max_match_pages)
+    hits = scan(pages, matcher(patterns, p.match_strategy, p.max_match_pages), p)
     return report(inputs, variants, hits, p.max_match_pages)
 
 
@@ -132,7 +133,7 @@ def crawl_inventory(pages: DataFrame, docs: DataFrame, p: AuditParams) -> DataFr
 def check_page(inputs: DataFrame, pages: DataFrame, url: str, p: AuditParams) -> DataFrame:
     """Report over the one page ``url``; no robots, domain or discovery checks."""
     variants, patterns = searched(inputs, p)
-    hits = scan(one_page(pages, url), patterns, p, keep_empty=True)
+    hits = scan(one_page(pages, url), matcher(patterns, p.match_strategy), p, keep_empty=True)
     return report(inputs, variants, hits, 1)
 
 

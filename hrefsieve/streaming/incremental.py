@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from hrefsieve.operators.matching import matcher
 from hrefsieve.operators.pages_per_pattern import first_pages
 from hrefsieve.operators.report import report
 from hrefsieve.params import AuditParams
@@ -34,8 +35,10 @@ def scan_stream(pages: DataFrame, inputs: DataFrame, table: str, checkpoint: str
     """
     _, patterns = searched(inputs, p)
 
+    match = matcher(patterns, p.match_strategy, p.max_match_pages)  # once, not per batch
+
     def add_batch(batch: DataFrame, batch_id: int) -> None:
-        hits = scan(batch, patterns, p, cap=p.max_match_pages)
+        hits = scan(batch, match, p)
         first_pages(hits, p.max_match_pages).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     writer = pages.writeStream.foreachBatch(add_batch).option("checkpointLocation", checkpoint)

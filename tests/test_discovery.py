@@ -140,6 +140,14 @@ def test_full_audit(spark, site, pages, monkeypatch):
     assert urls(again.inventory) == three
 
 
+def test_copies_count_once(spark, site, pages):
+    inputs = spark.createDataFrame(list(enumerate(INPUTS)), "input_id bigint, queried_url string")
+    p = AuditParams(domains=("h.com",))
+    once, thrice = audit(inputs, pages, site, p), audit(inputs, pages.union(pages).union(pages), site.union(site), p)
+    assert sorted(map(str, thrice.report.collect())) == sorted(map(str, once.report.collect()))
+    assert sorted(map(str, thrice.inventory.collect())) == sorted(map(str, once.inventory.collect()))
+
+
 def test_robots_can_be_ignored_and_missing_robots_deny(spark, site, pages):
     p = AuditParams(domains=("h.com",), respect_robots=False)
     assert "https://h.com/private/x" in urls(crawl_inventory(pages, site, p))
