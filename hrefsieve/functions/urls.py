@@ -34,6 +34,7 @@ PARAM_SCHEMES = (
 )
 
 _URL = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+_START = r"\A(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?"
 # A URL that splitting and joining again leaves as it is, up to its fragment.
 _PLAIN = r"\Ahttps?://[A-Za-z0-9.:@_~%-]+(?:/[^?#;\t\r\n]*)?(?:\?[^#\t\r\n]+)?(?:#|\z)"
 # A root-relative link without dot segments, params or empty query, up to its fragment.
@@ -106,6 +107,17 @@ def split_url(url: Column, default_scheme: Column | None = None) -> Column:
     return let(let(_cleaned(url), parts), with_params)
 
 
+def scheme_and_netloc(url: Column) -> Column:
+    """Struct (scheme, netloc), NULL if malformed."""
+    def parts(clean: Column) -> Column:
+        netloc = F.regexp_extract(clean, _START, 2)
+        return F.when(netloc.rlike(_good_netloc()), F.struct(
+            F.lower(F.regexp_extract(clean, _START, 1)).alias("scheme"), netloc.alias("netloc")
+        ))
+
+    return let(_cleaned(url), parts)
+
+
 def join_url(p: Column, fragment: bool = True, authority: bool = True) -> Column:
     """Put the parts of a URL together again; empty parts leave no delimiter."""
     def led(mark: str, part: Column) -> Column:
@@ -220,7 +232,7 @@ def link_target(base: Column, href: Column) -> Column:
 
 def authority(url: Column) -> Column:
     """Lower-cased authority, port and user included; NULL if malformed."""
-    netloc = F.regexp_extract(_cleaned(url), _URL, 2)
+    netloc = F.regexp_extract(_cleaned(url), _START, 2)
     return F.when(netloc.rlike(_good_netloc()), F.lower(netloc))
 
 

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hrefsieve.functions.arrow import STRINGS
-from hrefsieve.operators.pages_per_pattern import first_pages
 from hrefsieve.session import cut
 
 try:
@@ -32,10 +31,10 @@ except ImportError:  # the window strategy needs no library
     ahocorasick = None
 
 NATIVE_PATTERNS = 32
-AUTOMATON_CHARS = 4_000_000
+AUTOMATON_CHARS = 8_000_000  # at most some 400 MB per Python worker
 PREFIX = 6
 MIN_BITS, MAX_BITS = 16, 28
-PIECE = 1 << 20  # bytes of text hashed at a time
+PIECE = 1 << 17  # bytes of text hashed at a time; the arrays for it stay in the cache
 BUCKET = 32_768  # bits per bitmap_construct_agg value
 
 # Arithmetic modulo 2**64: an odd base has an inverse, so every window of a text gets
@@ -86,38 +85,51 @@ def _automaton(spark: SparkSession, patterns: list[str]) -> Matcher:
     return match
 
 
-def _running_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums and the factors that move each window to the origin."""
-    n = len(data)
-    powers, inverse = np.full(n, _BASE), np.full(n + 1, _BASE_INVERSE)
-    powers[:1], inverse[:1] = 1, 1
-    powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-    return sums, inverse
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of each byte, and those that move a window to the origin."""
+    powers, inverse = np.full(n + 1, _BASE), np.full(n + 1, _BASE_INVERSE)
+    powers[0] = inverse[0] = 1
+    return np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
 
 
-def _slots(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, length: int, bits: int) -> np.ndarray:
-    """Bitmap slots of the windows of one length that start at ``at``."""
+def _running_sums(data: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:len(data)], out=sums[1:])
+    return sums
+
+
+def _slots(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, length: int | np.ndarray, bits: int) -> np.ndarray:
+    """Bitmap slots of the windows that start at ``at``."""
     window = (sums[at + length] - sums[at]) * inverse[at]
-    mixed = (window ^ (window >> np.uint64(29)) ^ np.uint64(length)) * _MIX
+    mixed = (window ^ (window >> np.uint64(29)) ^ np.asarray(length, np.uint64)) * _MIX
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values in a row and where each value starts, plus the end."""
+    column = column.fill_null(b"").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    values = column.buffers()[2]
+    return np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8), offsets
+
+
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _pattern_slots(column: pa.Array) -> pa.Array:
     """Slots of the prefix and of the whole of each pattern, in the largest bitmap."""
-    def slots(raw: bytes) -> list[int]:
-        sums, inverse = _running_hash(np.frombuffer(raw, np.uint8))
-        start = np.zeros(1, np.int64)
-        return [int(_slots(sums, inverse, start, n, MAX_BITS)[0]) for n in (min(PREFIX, len(raw)), len(raw))]
-
-    return pa.array([slots(r) for r in column.to_pylist()], pa.list_(pa.int64()))
+    data, offsets = _bytes_of(column)
+    data = data[offsets[0]:offsets[-1]]
+    powers, inverse = _powers(len(data))
+    sums = _running_sums(data, powers)
+    at, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+    prefix = _slots(sums, inverse, at, np.minimum(lengths, PREFIX), MAX_BITS)
+    whole = _slots(sums, inverse, at, lengths, MAX_BITS)
+    return pa.array(np.stack([prefix, whole], axis=1).tolist(), pa.list_(pa.int64()))
 
 
-def _set_slots(data: np.ndarray, ends: np.ndarray, lengths: list[int], prefixes: np.ndarray, wholes: np.ndarray, bits: int):
+def _set_slots(data: np.ndarray, ends: np.ndarray, factors, lengths: list[int], prefixes: np.ndarray, wholes: np.ndarray, bits: int):
     """(position, length) of the substrings whose slots are set. ``ends`` are the text ends."""
-    sums, inverse = _running_hash(data)
+    powers, inverse = factors
+    sums = _running_sums(data, powers)
     room = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(data))  # bytes left in the text
 
     def kept(bitmap: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -154,17 +166,15 @@ def _pieces(offsets: np.ndarray, overlap: int):
 
 def _candidates(column: pa.Array, lengths: list[int], prefixes: np.ndarray, wholes: np.ndarray, bits: int) -> list[list[bytes]]:
     """Per text of a batch, its distinct substrings whose slots are set."""
-    column = column.fill_null(b"").cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    values = column.buffers()[2]
-    data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    data, offsets = _bytes_of(column)
     found = [set() for _ in range(len(column))]
+    factors = _powers(min(len(data), PIECE + lengths[-1]))
     for low, ends, first_row in _pieces(offsets, lengths[-1]):
         stretch = data[low:int(ends[-1])]
         if not len(stretch):
             continue
         inner = ends - low
-        for at, length in _set_slots(stretch, inner, lengths, prefixes, wholes, bits):
+        for at, length in _set_slots(stretch, inner, factors, lengths, prefixes, wholes, bits):
             row = first_row + int(np.searchsorted(inner, at, "right"))
             found[row].add(stretch[at:at + length].tobytes())
     return [list(f) for f in found]
@@ -187,7 +197,7 @@ def _bitmaps(table: DataFrame, bits: int) -> list[np.ndarray]:
     return out
 
 
-def _windows(patterns: DataFrame, cap: int | None, bits: int | None) -> Matcher:
+def _windows(patterns: DataFrame, bits: int | None) -> Matcher:
     raw = F.col("pattern").cast("binary")
     table = cut(patterns.select("pattern").distinct().select("pattern", raw.alias("raw"), _pattern_slots(raw).alias("slots")), "patterns")
     # one value per distinct length: never more than the longest pattern has bytes
@@ -206,20 +216,16 @@ def _windows(patterns: DataFrame, cap: int | None, bits: int | None) -> Matcher:
     def match(texts: DataFrame, key: str, text: str) -> DataFrame:
         hits = F.arrow_udf(search, T.ArrayType(T.BinaryType()))(F.col(text).cast("binary"))
         candidates = texts.select(key, F.explode(hits).alias("raw"))
-        if cap is not None:
-            # every substring is all pattern or none, so the cap may precede the join
-            candidates = first_pages(candidates, cap, "raw", key)
+        # plain scans on both sides, so adaptive execution can split a pattern found everywhere
         return candidates.join(table.select("raw", "pattern"), "raw").select(key, "pattern")
 
     return match
 
 
-def matcher(patterns: DataFrame, strategy: str = "auto", cap: int | None = None, bits: int | None = None) -> Matcher:
+def matcher(patterns: DataFrame, strategy: str = "auto", bits: int | None = None) -> Matcher:
     """Prepare a pattern list once, for one or many sets of texts.
 
-    ``patterns`` has one column ``pattern`` of non-empty strings. With ``cap``, only
-    the smallest ``cap`` keys of each pattern need to be right; pass it when the result
-    is capped anyway.
+    ``patterns`` has one column ``pattern`` of non-empty strings.
     """
     if strategy not in ("auto", "native", "automaton", "windows"):
         raise ValueError(f"unknown match strategy: {strategy}")
@@ -233,7 +239,7 @@ def matcher(patterns: DataFrame, strategy: str = "auto", cap: int | None = None,
             few = size["n"] <= NATIVE_PATTERNS
             strategy = "native" if few else "windows" if ahocorasick is None else "automaton"
     if strategy == "windows":
-        return _windows(patterns, cap, bits)
+        return _windows(patterns, bits)
     listed = _collected(patterns)
     return _native(listed) if strategy == "native" else _automaton(patterns.sparkSession, listed)
 
@@ -244,11 +250,10 @@ def find_patterns(
     strategy: str = "auto",
     key: str = "url",
     text: str = "blob",
-    cap: int | None = None,
     bits: int | None = None,
 ) -> DataFrame:
     """(key, pattern) for every pattern contained in a text, case-sensitive.
 
     A pattern counts once per row of ``texts``.
     """
-    return matcher(patterns, strategy, cap, bits)(texts, key, text)
+    return matcher(patterns, strategy, bits)(texts, key, text)

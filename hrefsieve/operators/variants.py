@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hrefsieve.functions.arrow import unescape
 from hrefsieve.functions.encoding import encode_uri, quote_url
 from hrefsieve.functions.text import JS_SPACE_CLASS, let, replace_first, strip
-from hrefsieve.functions.urls import defragment, split_url
+from hrefsieve.functions.urls import defragment, scheme_and_netloc
 
 
 def _without_scheme(url: Column, scheme: Column) -> Column:
@@ -18,32 +18,30 @@ def _without_scheme(url: Column, scheme: Column) -> Column:
 def _shortened(url: Column, host: Column, scheme: Column) -> Column:
     """The URL, it without scheme, without ``www.``, and without either; NULL where not apt."""
     bare = F.when(F.startswith(host, F.lit("www.")), replace_first(url, host, F.substr(host, F.lit(5))))
-    return F.array(url, _without_scheme(url, scheme), bare, _without_scheme(bare, scheme))
+    both = let(bare, lambda b: F.when(b.isNotNull(), F.array(b, _without_scheme(b, scheme))))
+    plain = F.array(url, _without_scheme(url, scheme))
+    return F.coalesce(F.concat(plain, both), plain)
 
 
 def _quote_forms(text: Column, unescaped: Column) -> Column:
-    cut = F.coalesce(defragment(unescaped), unescaped)
+    def forms(url: Column) -> Column:
+        return let(scheme_and_netloc(url), lambda p: F.when(
+            F.coalesce(p["netloc"] != "", F.lit(False)), _shortened(url, p["netloc"], p["scheme"])
+        ).otherwise(F.array(url)))
 
-    def forms(s: Column) -> Column:
-        p = s["parts"]
-        named = F.coalesce(p["netloc"] != "", F.lit(False))
-        return F.when(named, _shortened(s["url"], p["netloc"], p["scheme"])).otherwise(F.array(s["url"]))
-
-    short = let(cut, lambda u: let(F.struct(u.alias("url"), split_url(u).alias("parts")), forms))
-    return F.concat(F.array(text, unescaped), short)
+    return F.concat(F.array(text, unescaped), let(F.coalesce(defragment(unescaped), unescaped), forms))
 
 
 def _uri_forms(text: Column) -> Column:
-    cut = F.substring_index(text, "#", 1)
+    def forms(url: Column) -> Column:
+        def by_host(p: Column) -> Column:
+            host = F.lower(F.regexp_replace(p["netloc"], r"^.*@|:\d*\z", ""))
+            named = F.coalesce((p["scheme"] != "") & (p["netloc"] != ""), F.lit(False))
+            return F.when(named, let(host, lambda h: _shortened(url, h, p["scheme"]))).otherwise(F.array(url))
 
-    def forms(s: Column) -> Column:
-        p = s["parts"]
-        host = F.lower(F.regexp_replace(F.regexp_replace(p["netloc"], "^.*@", ""), r":\d*\z", ""))
-        named = F.coalesce((p["scheme"] != "") & (p["netloc"] != ""), F.lit(False))
-        return F.when(named, _shortened(s["url"], host, p["scheme"])).otherwise(F.array(s["url"]))
+        return let(scheme_and_netloc(url), by_host)
 
-    short = let(cut, lambda u: let(F.struct(u.alias("url"), split_url(u).alias("parts")), forms))
-    return F.concat(F.array(text), short)
+    return F.concat(F.array(text), let(F.substring_index(text, "#", 1), forms))
 
 
 def variants_of(text: Column, encode_mode: str = "quote", min_length: int = 6, unescaped: Column | None = None) -> Column:
@@ -55,17 +53,18 @@ def variants_of(text: Column, encode_mode: str = "quote", min_length: int = 6, u
     else:
         trimmed, encode, length = strip(text), quote_url, F.length
         base = _quote_forms(trimmed, unescaped if unescaped is not None else unescape(trimmed))
-    forms = F.array_distinct(F.array_compact(base))
-    both = F.array_union(forms, F.transform(forms, encode))
+    both = let(F.array_distinct(F.array_compact(base)), lambda forms: F.array_union(forms, F.transform(forms, encode)))
     return F.filter(both, lambda v: length(v) >= min_length)
 
 
 def input_variants(inputs: DataFrame, encode_mode: str = "quote", min_length: int = 6) -> DataFrame:
     """(queried_url, variant) for each distinct searched string.
 
-    Repeated inputs are expanded once; the report joins them back.
+    Repeated inputs are expanded once; the report joins them back. Expanding costs far
+    more than the few bytes of an input suggest, so every core gets a share.
     """
-    once = inputs.select("queried_url").distinct()
+    cores = inputs.sparkSession.sparkContext.defaultParallelism
+    once = inputs.select("queried_url").distinct().repartition(cores)
     if encode_mode == "quote":
         once = once.withColumn("unescaped", unescape(strip(F.col("queried_url"))))
         forms = variants_of(F.col("queried_url"), encode_mode, min_length, F.col("unescaped"))

@@ -102,17 +102,15 @@ def audit(inputs: DataFrame | None, pages: DataFrame, docs: DataFrame, p: AuditP
         candidates = candidates.join(wanted, "url", "left_semi")
         inventory = sizes.join(wanted, "url", "left_semi")
         select_hits = lambda hits: hits
-        cap = p.max_match_pages
     else:
         inventory = sizes.join(found.pages, "url", "left_semi")
         select_hits = lambda hits: hits.distinct().join(found.pages, "url", "left_semi")
-        cap = None
     # one row per URL, however often it landed
     inventory = cut(inventory.groupBy("url").agg(F.max("size_bytes").alias("size_bytes")), "inventory")
     if inputs is None:
         return Audit(found, inventory, None)
     variants, patterns = searched(inputs, p)
-    hits = select_hits(scan(candidates, matcher(patterns, p.match_strategy, cap), p))
+    hits = select_hits(scan(candidates, matcher(patterns, p.match_strategy), p))
     # The scan is the costly part; everything after it reads its small result.
     hits = cut(first_pages(hits, p.max_match_pages), "matches")
     return Audit(found, inventory, report(inputs, variants, hits, p.max_match_pages))
@@ -121,7 +119,7 @@ def audit(inputs: DataFrame | None, pages: DataFrame, docs: DataFrame, p: AuditP
 def audit_pages(inputs: DataFrame, pages: DataFrame, p: AuditParams) -> DataFrame:
     """Report over all given pages, without discovery or admission."""
     variants, patterns = searched(inputs, p)
-    hits = scan(pages, matcher(patterns, p.match_strategy, p.max_match_pages), p)
+    hits = scan(pages, matcher(patterns, p.match_strategy), p)
     return report(inputs, variants, hits, p.max_match_pages)
 
 

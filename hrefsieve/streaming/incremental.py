@@ -35,7 +35,7 @@ def scan_stream(pages: DataFrame, inputs: DataFrame, table: str, checkpoint: str
     """
     _, patterns = searched(inputs, p)
 
-    match = matcher(patterns, p.match_strategy, p.max_match_pages)  # once, not per batch
+    match = matcher(patterns, p.match_strategy)  # once, not per batch
 
     def add_batch(batch: DataFrame, batch_id: int) -> None:
         hits = scan(batch, match, p)
