@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hrefsieve.functions.text import let
 from hrefsieve.functions.urls import authority, host_in, host_suffixes, is_binary, same_domain
 from hrefsieve.session import join_small
 
@@ -18,7 +19,7 @@ def in_scope(url: Column, domains: Sequence[str]) -> Column:
 
 def first_domain(host: Column, domains: Sequence[str]) -> Column:
     """The first domain of a list the host belongs to; NULL if none."""
-    return F.coalesce(*[F.when(host_in(host, [d]), F.lit(d)) for d in domains], F.lit(None).cast("string"))
+    return let(host, lambda h: F.coalesce(*[F.when(host_in(h, [d]), F.lit(d)) for d in domains], F.lit(None).cast("string")))
 
 
 def domain_of_hosts(hosts: DataFrame, domains: DataFrame) -> DataFrame:

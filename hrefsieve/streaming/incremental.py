@@ -35,6 +35,8 @@ def scan_stream(pages: DataFrame, inputs: DataFrame, table: str, checkpoint: str
     """
     _, patterns = searched(inputs, p)
 
+    # an empty batch, so that the table can be read before any page has landed
+    inputs.sparkSession.createDataFrame([], "url string, pattern string").write.mode("overwrite").parquet(f"{table}/batch=-1")
     match = matcher(patterns, p.match_strategy)  # once, not per batch
 
     def add_batch(batch: DataFrame, batch_id: int) -> None:

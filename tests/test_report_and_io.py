@@ -12,6 +12,7 @@ from hrefsieve.params import AuditParams
 from hrefsieve.plans.jobs import audit_pages, check_page
 from hrefsieve.sinks import writers
 from hrefsieve.sources.inputs import no_inputs, read_inputs
+from hrefsieve.sources.landed import read_landed
 from hrefsieve.streaming.incremental import scan_stream, stream_pages, stream_report
 
 GOLDEN = {
@@ -164,6 +165,9 @@ def test_incremental_equals_batch(spark, tmp_path):
     inputs = spark.createDataFrame([(0, "common0"), (1, "https://h.com/l3"), (2, "common"), (3, "absent")], "input_id bigint, queried_url string")
     p = AuditParams(max_match_pages=7)
     landed, table, offsets = (str(tmp_path / n) for n in ("landed", "matches", "offsets"))
+    pages.limit(0).write.parquet(landed)
+    scan_stream(stream_pages(spark, landed, pages.schema), inputs, table, offsets, p).awaitTermination()
+    assert not stream_report(spark, table, inputs, p).where("found").count()
     for part in (pages.where("crc32(url) % 2 = 0"), pages.where("crc32(url) % 2 = 1").union(pages.limit(5))):
         part.coalesce(2).write.mode("append").parquet(landed)
         stream = stream_pages(spark, landed, pages.schema, per_batch=1)
@@ -177,3 +181,36 @@ def test_partitioning_and_order_do_not_matter(spark, small):
     want = sorted(map(str, report(inputs, variants, hits).collect()))
     got = report(inputs.orderBy(F.rand(1)), variants.repartition(3), hits.repartition(5).orderBy(F.rand(2)))
     assert sorted(map(str, got.collect())) == want
+
+
+def exchanged_columns(df):
+    """Columns of every shuffle of a plan."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    blocks = plan.split("\n\n")
+    return [b for b in blocks if " Exchange" in b.split("\n")[0] or ") Exchange" in b]
+
+
+def test_page_text_never_shuffles(spark, tmp_path):
+    rows = [(f"https://h.com/{i}", f"<a href='/l{i % 4}'>common{i % 2}</a>") for i in range(64)]
+    spark.createDataFrame(rows, "url string, html string").repartition(16).write.parquet(str(tmp_path / "p"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))  # one split per file, as in a large table
+    try:
+        pages = read_landed(spark, str(tmp_path / "p"))
+        inputs = spark.createDataFrame([(i, f"common{i}") for i in range(40)], "input_id bigint, queried_url string")
+        for strategy in ("automaton", "windows"):
+            for mode in ("dom", "regex"):
+                df = audit_pages(inputs, pages, AuditParams(match_strategy=strategy, link_mode=mode))
+                shuffles = exchanged_columns(df)
+                assert shuffles and not [b for b in shuffles if "html#" in b or "blob#" in b]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_scans_read_only_what_they_need(spark):
+    from hrefsieve.plans.registered import QUERIES
+
+    def plan(name):
+        return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+    assert "html" not in plan("domain_of_page") and "html" not in plan("domain_pages") and "html" not in plan("input_variants")
+    assert "lang" not in plan("passage_containment")
