@@ -16,6 +16,7 @@ from hrefsieve.session import BROADCAST_BYTES, first_rows, scratch_path, text_by
 from hrefsieve.sources.landed import text_documents
 
 SITEMAP, PAGE = "sitemap", "page"
+# Fixed value: the location pattern of the regex mode.
 LOC = r"(?i)<loc>([^<]+)</loc>"
 
 

@@ -235,14 +235,14 @@ ORACLES = {
     "page_budget": _CLOSURE + "SELECT url FROM found ORDER BY depth, url LIMIT 45",
     "page_inventory": _with(_P) + "SELECT url, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM p WHERE domain = 'example.net'",
     "crawl_inventory": _with(_P, _LOCS, _SEEDS, _WALK, _ALLOWED, recursive=True)
-    + "SELECT plain AS url, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM scanned",
+    + "SELECT plain AS url, CAST(max(octet_length(encode(html))) AS BIGINT) AS size_bytes FROM scanned GROUP BY plain",
     "full_audit": _with(
         _P, _LOCS, _SEEDS, _WALK, _ALLOWED, _INPUTS, _VARIANTS, _blobs("scanned", "plain"), _HITS, _report(), recursive=True
     ) + _FLAT,
     "run_summary": _with(
         _P, _LOCS, _SEEDS, _WALK, _ALLOWED, _INPUTS, _VARIANTS, _blobs("scanned", "plain"), _HITS, _report(), recursive=True
     ) + """SELECT (SELECT count(*) FROM seeds) AS candidate_sitemaps, (SELECT count(*) FROM sitemaps) AS sitemaps_processed,
-              (SELECT count(*) FROM found) AS pages_collected, (SELECT count(*) FROM scanned) AS pages_scanned,
+              (SELECT count(*) FROM found) AS pages_collected, (SELECT count(DISTINCT plain) FROM scanned) AS pages_scanned,
               (SELECT count(DISTINCT queried_url) FROM report WHERE found) AS inputs_matched,
               (SELECT array_to_string(list_sort(list_distinct(list(queried_url) FILTER (found)))[1:10], chr(10)) FROM report) AS matched_preview""",
     "single_page_check": _with(

@@ -62,12 +62,10 @@ def robots_of_domains(docs: DataFrame, p: AuditParams) -> DataFrame:
 
 
 def admitted(pages: DataFrame, docs: DataFrame | None, p: AuditParams) -> DataFrame:
-    """Pages in scope that the robots rules of their domain allow.
+    """Rows whose ``url`` is in scope and allowed by the robots rules of its domain.
 
-    Scope is a plain filter above the scan; rules arrive by a small join.
+    Scope is a plain filter; rules arrive by a small join.
     """
-    if not p.domains:
-        return pages.where(F.lit(False))
     scoped = pages.where(in_scope(F.col("url"), p.domains))
     if not p.respect_robots or docs is None:
         return scoped
@@ -90,27 +88,28 @@ def searched(inputs: DataFrame, p: AuditParams) -> tuple[DataFrame, DataFrame]:
 def audit(inputs: DataFrame | None, pages: DataFrame, docs: DataFrame, p: AuditParams) -> Audit:
     """Discover, admit, scan and report. Without inputs only the inventory is made.
 
-    ``pages`` are landed pages (url, html, size_bytes). Only discovered ones count.
-    While their URLs fit a broadcast they select pages before the scan. Beyond that
-    the scan runs first and its small result is selected, so no HTML ever shuffles.
+    ``pages`` are landed pages (url, html, size_bytes). Only discovered and admitted
+    ones count, which is settled on the list of URLs. While that list fits a broadcast
+    it selects pages before the scan. Beyond that all pages in scope are scanned and the
+    small result is selected, so no HTML ever shuffles.
     """
     found = discover(docs, p)
-    candidates = admitted(pages, docs, p)
-    sizes = candidates.select("url", "size_bytes")
-    if fits(found.pages):
-        wanted = F.broadcast(found.pages)
-        candidates = candidates.join(wanted, "url", "left_semi")
-        inventory = sizes.join(wanted, "url", "left_semi")
-        select_hits = lambda hits: hits
-    else:
-        inventory = sizes.join(found.pages, "url", "left_semi")
-        select_hits = lambda hits: hits.distinct().join(found.pages, "url", "left_semi")
+    wanted = cut(admitted(found.pages, docs, p), "admitted")
+    scoped = pages.where(in_scope(F.col("url"), p.domains))
+    sizes = scoped.select("url", "size_bytes")
+    first = fits(wanted)
+    if first:
+        wanted = F.broadcast(wanted)
+        scoped = scoped.join(wanted, "url", "left_semi")
+    inventory = sizes.join(wanted, "url", "left_semi")
     # one row per URL, however often it landed
     inventory = cut(inventory.groupBy("url").agg(F.max("size_bytes").alias("size_bytes")), "inventory")
     if inputs is None:
         return Audit(found, inventory, None)
     variants, patterns = searched(inputs, p)
-    hits = select_hits(scan(candidates, matcher(patterns, p.match_strategy), p))
+    hits = scan(scoped, matcher(patterns, p.match_strategy), p)
+    if not first:
+        hits = hits.distinct().join(wanted, "url", "left_semi")
     # The scan is the costly part; everything after it reads its small result.
     hits = cut(first_pages(hits, p.max_match_pages), "matches")
     return Audit(found, inventory, report(inputs, variants, hits, p.max_match_pages))
