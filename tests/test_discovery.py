@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hrefsieve.operators.sitemaps import discovered_pages, document_locs, page_budget, sitemap_closure
 from hrefsieve.plans.jobs import audit, crawl_inventory, discover, robots_of_domains, run_summary
 from hrefsieve.params import AuditParams
-from hrefsieve.session import first_rows, with_row_index
+from hrefsieve.session import checkpoint_dir, first_rows, with_row_index
 from hrefsieve.sources.landed import landed_pages, text_documents
 from hrefsieve.sources.seeds import base_urls, candidate_sitemaps, domain_table
 
@@ -164,3 +164,20 @@ def test_row_index_and_first_rows(spark):
     order = [F.col("v"), F.col("id")]
     for n in (0, 1, 777, 9_999):
         assert sorted(r["id"] for r in first_rows(frame, order, n, small=0).collect()) == sorted(w[1] for w in want[:n])
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs:///shared"}
+    assert checkpoint_dir(Session()) == "hdfs:///shared"
