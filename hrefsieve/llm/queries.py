@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefsieve.llm import sharding
+from hrefsieve.llm import near_dedup, sharding
 from hrefsieve.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_byte_shards,)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on two-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_byte_shards, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
