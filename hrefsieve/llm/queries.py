@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefsieve.llm import near_dedup, sharding
+from hrefsieve.llm import bpe, near_dedup, sharding
 from hrefsieve.llm.tables import table
 
+#: the tokenizer file of the encoding query
+TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal bytes."""
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents")).select(
@@ -25,6 +34,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_byte_shards, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_bpe_speculate_verify, op6_byte_shards, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
