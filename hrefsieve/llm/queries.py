@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefsieve.llm import bpe, near_dedup, sharding
+from hrefsieve.llm import bpe, near_dedup, sharding, toxicity
 from hrefsieve.llm.tables import table
 
 #: the tokenizer file of the encoding query
@@ -22,6 +22,11 @@ def op4_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by its nearest labelled examples."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal bytes."""
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents")).select(
@@ -34,6 +39,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_bpe_speculate_verify, op6_byte_shards, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
