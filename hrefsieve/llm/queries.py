@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefsieve.llm import bpe, near_dedup, sharding, toxicity
+from hrefsieve.llm import bpe, line_dedup, near_dedup, sharding, toxicity
 from hrefsieve.llm.tables import table
 
 #: the tokenizer file of the encoding query
@@ -34,11 +34,16 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_alignment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines they share with earlier ones."""
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op7_line_alignment_dedup, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
