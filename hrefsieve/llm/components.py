@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrefsieve.llm.tables import cut
+from hrefsieve.llm.tables import cut, small
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -16,8 +16,8 @@ def _is_stars(edges: DataFrame) -> bool:
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """The smallest neighbour of each u. Written, so that joins on a hub can be split."""
-    return cut(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    """The smallest neighbour of each u. Written, so that joins on a hub are broadcast or can be split."""
+    return small(cut(edges.groupBy("u").agg(F.min("v").alias("m")), "least"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,7 +34,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = cut(large.distinct(), "large")
         least = _least(large)
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = cut(small.where("u > v").distinct(), "small")
+        pointed = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = cut(pointed.where("u > v").distinct(), "small")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return cut(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")

@@ -21,20 +21,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrefsieve.llm.components import components
-from hrefsieve.llm.tables import cut, fits, slices
+from hrefsieve.llm.tables import cut, slices, small
 
 INDEXED, CHUNKS, ERRORS = 64, 15, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: further symbols, only to turn candidates away: mean and five deviations at similarity 0.8
+#: further symbols, only to turn candidates away: mean and four deviations at similarity 0.8
 CHECKED = 64
-ALL_DISTANCE = 48
-#: members of a key compared with each other in one piece of work
-BLOCK = 1024
+ALL_DISTANCE = 44
+#: keys of at least so many members are compared on their sets at once, in pieces of so many rows
+HEAVY, BLOCK = 64, 512
 #: rounds of comparing a key's members with one of them, before all that is left
-MASKS = (0, -1, 0x5555555555555555, 0x3333333333333333)
+MASKS = (0, -1)
 MEMO = 200_000
 
 
+_BOUNDS = np.linspace(0, INDEXED, CHUNKS + 1).round().astype(int).tolist()
+#: the symbols of each key: every chunk with every choice of left-out ones (at most 256 keys)
+PROBES = [
+    [i for i in range(lo, hi) if i not in out]
+    for lo, hi in zip(_BOUNDS, _BOUNDS[1:], strict=False)
+    for out in combinations(range(lo, hi), ERRORS)
+]
+
+
 class _Hashes(dict):
     """64-bit hashes of words, forgotten when there are too many."""
 
@@ -115,21 +124,16 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every chunk with every choice of left-out symbols, as one number."""
-    bounds = np.linspace(0, INDEXED, CHUNKS + 1).round().astype(int)
-    probes = [
-        (chunk * 64 + k, [i for i in range(lo, hi) if i not in out])
-        for chunk, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))
-        for k, out in enumerate(combinations(range(lo, hi), ERRORS))
-    ]
+    """The keys of each signature; the lowest byte of a key tells which of ``PROBES`` it is."""
     for whole in batches:
         for start in range(0, whole.num_rows, 4096):
             batch = whole.slice(start, 4096)
             symbols, rep = _signatures(batch.column("sig")).astype(np.uint64), batch.column("rep")
-            for probe, kept in probes:
+            for probe, kept in enumerate(PROBES):
                 h = np.full(len(symbols), probe + 1, np.uint64)
                 for i in kept:
                     h = _mix((h << np.uint64(16)) + (h >> np.uint64(48)) + symbols[:, i])
+                h = (h & ~np.uint64(0xFF)) | np.uint64(probe)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), rep], names=["key", "rep"])
 
 
@@ -206,60 +210,110 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _within_keys(percent: int) -> Callable:
-    """Close pairs of different components among the members of a key, block by block."""
+def _first_probe(differ: np.ndarray) -> np.ndarray:
+    """The first key that two signatures share, from where their indexed symbols differ."""
+    first = np.full(len(differ), len(PROBES))
+    for k in reversed(range(len(PROBES))):
+        first[~differ[:, PROBES[k]].any(axis=1)] = k
+    return first
+
+
+def _candidates(r: int, others: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, probe: int, percent: int) -> np.ndarray:
+    """Which other rows of a key may be linked with row r? A pair is left to the first key that it shares."""
+    others = others[(comp[others] != comp[r]) & (100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r]))]
+    if len(others):
+        others = others[_close(sig[others], sig[r][None, :])]
+    if len(others):
+        others = others[_first_probe(sig[others] != sig[r][None, :]) == probe]
+    return others
+
+
+def _light_keys(percent: int) -> Callable:
+    """Close pairs of different components among the members of a key with few members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["key", "i", "j"]):
-            rep, comp, n, block = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
-            sig = _signatures(t.column("sig").combine_chunks())
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            rows = range(len(rep)) if i == j else np.flatnonzero(block == i)
-            found_a, found_b = [], []
-            for r in rows:
-                others = np.arange(r + 1, len(rep)) if i == j else np.flatnonzero(block == j)
-                others = others[(comp[others] != comp[r]) & (100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r]))]
+        for t in _runs(batches, ["key"]):
+            rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
+            sig, probe = _signatures(t.column("sig").combine_chunks()), t.column("key")[0].as_py() & 0xFF
+            for r in range(len(rep) - 1):
+                others = _candidates(r, np.arange(r + 1, len(rep)), comp, n, sig, probe, percent)
                 if len(others):
-                    others = others[_close(sig[others], sig[r][None, :])]
-                    found_a.append(np.minimum(rep[others], rep[r]))
-                    found_b.append(np.maximum(rep[others], rep[r]))
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_a, found_b)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(f(rep[others], rep[r])) for f in (np.minimum, np.maximum)], names=["a", "b"])
+
+    return run
+
+
+def _heavy_keys(percent: int) -> Callable:
+    """Links between components among the members of a key, confirmed on the sets.
+
+    Shingles are numbered within a piece; marking those of one row and adding up the
+    marks gives its overlap with all rows of the piece at once. Rows of the largest
+    component need no turn of their own: every other row takes one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["key", "i", "j"]):
+            rep, comp = (t.column(c).to_numpy().copy() for c in ("rep", "comp"))
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in sets])
+            numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            starts = np.concatenate([[0], np.cumsum(n)])
+            names, counts = np.unique(comp, return_counts=True)
+            found: list[tuple[int, int]] = []
+            mark = np.zeros(int(numbers.max()) + 1, np.int32)
+            for r in np.flatnonzero(comp != names[np.argmax(counts)]):
+                mine = numbers[starts[r] : starts[r + 1]]
+                mark[mine] = 1
+                both = np.add.reduceat(mark[numbers], starts[:-1])
+                mark[mine] = 0
+                for k in np.flatnonzero(100 * both >= percent * (n + n[r] - both)):
+                    if comp[k] != comp[r]:
+                        comp[comp == comp[k]] = comp[r]
+                        found.append((int(min(rep[k], rep[r])), int(max(rep[k], rep[r]))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
 
 class _Links:
-    """Classes, their signatures and texts, and the links confirmed so far."""
+    """Classes, their signatures and texts, the pairs tested, and the components that links make."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, first: DataFrame):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
-        self.links, self.tested = first, None
+        self.tested: DataFrame | None = None
         self.labels = components(first)
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds those of some pairs (a < b) that are links. Pairs seen before are left out."""
+        """Joins components by those of some pairs (a < b) that are links. Pairs seen before are left out."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
+        pairs = small(cut(pairs, "pairs"))
         if pairs.isEmpty():
             return
         side = lambda x: self.classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        near = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(self.percent), "a long, b long").distinct(), "near")
+        near = small(cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(self.percent), "a long, b long").distinct(), "near"))
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         if near.isEmpty():
             return
-        ids = cut(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ids")
-        ids = F.broadcast(ids) if fits(ids) else ids
+        ids = small(cut(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ids"))
         texts = cut(self.docs.join(ids, "doc_id", "left_semi"), "texts")
         side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
         links = near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(self.width, self.percent), "a long, b long")
-        self.links = cut(self.links.unionByName(links).distinct(), "links")
-        self.labels = components(self.links)
+        self.add(cut(links, "links"))
+
+    def add(self, links: DataFrame) -> None:
+        """Joins components by confirmed links."""
+        joined = components(self.label(self.label(links, "a", "ca"), "b", "cb"), "ca", "cb")
+        joined = small(joined.select(F.col("node").alias("component"), F.col("component").alias("joined")))
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        ends = ends.join(self.labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+        labels = self.labels.unionByName(ends).join(joined, "component", "left")
+        self.labels = small(cut(labels.select("node", F.coalesce("joined", "component").alias("component")), "labels"))
 
     def label(self, rows: DataFrame, node: str, name: str) -> DataFrame:
         """Rows with the component of a node."""
-        found = self.labels.select(F.col("node").alias(node), F.col("component").alias(name))
+        found = small(self.labels).select(F.col("node").alias(node), F.col("component").alias(name))
         return rows.join(found, node, "left").withColumn(name, F.coalesce(name, node))
 
 
@@ -268,11 +322,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     1. One scan makes the set hash, size and signature of each text. Equal sets become
        one class, found by a map-side aggregate whatever the number of copies.
-    2. Members of a key are compared with one of them, a few times with another one, so
-       a large group of near copies costs a pair per member and round, not per pair.
-    3. What still is in several components within a key is compared in full, in blocks of
-       bounded size; only close pairs leave a block. So no link between components is
-       missed that the signature distance covers.
+    2. Members of a key are compared with one of them, then with another one, so a large
+       group of near copies costs a pair per member and round, not per pair.
+    3. What still is in several components within a key is compared in full: keys of many
+       members on their sets, in blocks of bounded size that give only new links; keys of
+       few members by their close pairs. So no link between components is missed that
+       the signature distance covers.
 
     Rows without a word are linked with nothing, nor are rows without doc_id. Rows that
     share a doc_id count as one document: what one is linked with, the others are too.
@@ -292,21 +347,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     keys = cut(classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long"), "keys")
     shared = cut(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"), "shared")
-    keys = cut(keys.join(shared, "key", "left_semi"), "keys")
+    keys = cut(keys.join(small(shared), "key", "left_semi"), "keys")
     for turn, mask in enumerate(MASKS):
         mixed = F.col("rep").bitwiseXOR(F.lit(mask).cast("long"))
         members = keys
         if turn:
             members = cut(state.label(keys, "rep", "comp"), "members")
             mixed_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            members = cut(members.join(cut(mixed_keys, "mixed"), "key", "left_semi"), "members")
+            members = cut(members.join(small(cut(mixed_keys, "mixed")), "key", "left_semi"), "members")
         heads = cut(members.groupBy("key").agg(F.min(mixed).bitwiseXOR(F.lit(mask).cast("long")).alias("head")), "heads")
-        pairs = members.join(heads, "key").where("rep != head")
+        pairs = members.join(small(heads), "key").where("rep != head")
         pairs = pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
         if turn:
             pairs = state.label(state.label(pairs, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
         state.confirm(pairs)
-    state.confirm(_rest(state, keys))
+    state.add(cut(_heavy(state, keys), "links"))
+    state.confirm(_light(state, keys))
 
     found = state.label(classes.select("c1", "c2", "rep"), "rep", "component_id").select("c1", "c2", "component_id")
     rows = sketches.select("doc_id", "n_shingles", "c1", "c2").join(cut(found, "found"), ["c1", "c2"], "left")
@@ -315,14 +371,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _rest(state: _Links, keys: DataFrame) -> DataFrame:
-    """Close pairs of different components that share a key."""
+def _with_sets(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Hashes()
+        for batch in slices(batches):
+            sets = [shingle_set(text.as_py(), width, memo).tobytes() for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    return run
+
+
+def _mixed(state: _Links, keys: DataFrame, of: str) -> DataFrame:
+    """Members of the keys of a kind that several components share, with the key's size."""
     members = cut(state.label(keys, "rep", "comp"), "members")
     sizes = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-    sizes = cut(sizes.where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sizes")
-    rows = members.join(sizes, "key").join(state.classes.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "n", "sig")
+    sizes = small(cut(sizes.where("lo < hi").where(of).select("key", "size"), "sizes"))
+    return cut(members.join(sizes, "key"), "mixed")
+
+
+def _classes(state: _Links) -> DataFrame:
+    return state.classes.select("rep", F.col("n_shingles").alias("n"), "sig")
+
+
+def _light(state: _Links, keys: DataFrame) -> DataFrame:
+    """Close pairs of different components that share a key of few members."""
+    rows = small(_mixed(state, keys, f"size < {HEAVY}")).join(_classes(state), "rep")
+    return rows.drop("size").repartition("key").sortWithinPartitions("key").mapInArrow(_light_keys(state.percent), "a long, b long").distinct()
+
+
+def _heavy(state: _Links, keys: DataFrame) -> DataFrame:
+    """Links between components that share a key of many members: every block with every block."""
+    members = small(_mixed(state, keys, f"size >= {HEAVY}"))
+    nodes = small(cut(members.select(F.col("rep").alias("doc_id")).distinct(), "nodes"))
+    sets = cut(state.docs.join(nodes, "doc_id", "left_semi").mapInArrow(_with_sets(state.width), "rep long, shingles binary"), "sets")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cells = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
+    rows = small(cut(cells, "cells")).join(sets, "rep")
     by = ["key", "i", "j"]
-    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(_within_keys(state.percent), "a long, b long").distinct()
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_heavy_keys(state.percent), "a long, b long").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hrefsieve.session import checkpoint_dir, cut, fits, scratch_path
 
-__all__ = ["checkpoint_dir", "cut", "fits", "scratch_path", "table", "words_of", "GAP", "slices", "free_name"]
+__all__ = ["checkpoint_dir", "cut", "fits", "scratch_path", "table", "words_of", "GAP", "slices", "free_name", "small"]
 
 #: what separates words: space, tab, line feed, vertical tab, form feed, carriage return
 GAP = " \t\n\x0b\f\r"
@@ -43,6 +43,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(start)
 
 
+#: files of at most so many bytes are broadcast; unpacked they stay well below an executor's memory
+SMALL_FILES = 8 << 20
+
+
+def small(written: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its files are small; otherwise as it is.
+
+    The size is that of the files, which Spark knows without a job.
+    """
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(written) if size <= SMALL_FILES else written
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}
