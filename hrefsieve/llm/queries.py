@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefsieve.llm import bpe, line_dedup, near_dedup, outliers, sharding, toxicity
+from hrefsieve.llm import bpe, line_dedup, mixing, near_dedup, outliers, sharding, toxicity
 from hrefsieve.llm.tables import table
 
 #: the tokenizer file of the encoding query
@@ -44,11 +44,21 @@ def op7_line_alignment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+#: shares of all tokens that the mix aims at
+MIX = {"good": 0.92, "low": 0.05, "toxic": 0.03}
+
+
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents for the target shares of good, low and toxic text."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mixing.mix(docs, labels, mixing.by_quality_and_toxicity(), MIX).drop("version")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mcd_outliers, op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op7_line_alignment_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mcd_outliers, op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op7_line_alignment_dedup, op9_soft_mixing, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
