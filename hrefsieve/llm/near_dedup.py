@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrefsieve.llm.components import components
-from hrefsieve.llm.tables import cut, slices, small
+from hrefsieve.llm.tables import cut, runs, slices, small
 
 INDEXED, CHUNKS, ERRORS = 64, 15, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
@@ -185,31 +185,6 @@ def _confirm(width: int, percent: int) -> Callable:
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Rows sorted by some columns, as one table for each of their values."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(c).to_numpy() for c in by]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        change[0] = last is not None and tuple(c[0] for c in columns) != last
-        last = tuple(c[-1] for c in columns)
-        start = 0
-        for at in np.flatnonzero(change):
-            if at > start:
-                held.append(batch.slice(start, at - start))
-            if held:
-                yield pa.Table.from_batches(held)
-            held, start = [], at
-        held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _first_probe(differ: np.ndarray) -> np.ndarray:
     """The first key that two signatures share, from where their indexed symbols differ."""
     first = np.full(len(differ), len(PROBES))
@@ -232,7 +207,7 @@ def _light_keys(percent: int) -> Callable:
     """Close pairs of different components among the members of a key with few members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["key"]):
+        for t in runs(batches, ["key"]):
             rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
             sig, probe = _signatures(t.column("sig").combine_chunks()), t.column("key")[0].as_py() & 0xFF
             for r in range(len(rep) - 1):
@@ -252,7 +227,7 @@ def _heavy_keys(percent: int) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["key", "i", "j"]):
+        for t in runs(batches, ["key", "i", "j"]):
             rep, comp = (t.column(c).to_numpy().copy() for c in ("rep", "comp"))
             sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
             n = np.array([len(x) for x in sets])

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrefsieve.session import checkpoint_dir, cut, fits, scratch_path
 
-__all__ = ["checkpoint_dir", "cut", "fits", "scratch_path", "table", "words_of", "GAP", "slices", "free_name", "small"]
+__all__ = ["checkpoint_dir", "cut", "fits", "scratch_path", "table", "words_of", "GAP", "slices", "free_name", "small", "runs"]
 
 #: what separates words: space, tab, line feed, vertical tab, form feed, carriage return
 GAP = " \t\n\x0b\f\r"
@@ -43,6 +44,31 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(start)
 
 
+def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Rows sorted by some columns, as one table for each of their values."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in by]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is not None and tuple(c[0] for c in columns) != last
+        last = tuple(c[-1] for c in columns)
+        start = 0
+        for at in np.flatnonzero(change):
+            if at > start:
+                held.append(batch.slice(start, at - start))
+            if held:
+                yield pa.Table.from_batches(held)
+            held, start = [], at
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 #: files of at most so many bytes are broadcast; unpacked they stay well below an executor's memory
 SMALL_FILES = 8 << 20
 
