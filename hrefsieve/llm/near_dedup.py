@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hrefsieve.llm.components import components
-from hrefsieve.llm.tables import cut, runs, slices, small
+from hrefsieve.llm.tables import cut, free_name, runs, slices, small
 
 INDEXED, CHUNKS, ERRORS = 64, 15, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
@@ -346,6 +346,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    Of several rows under one doc_id one stays, whatever their texts: the one with the
+    smallest text. Rows without doc_id stay. Texts don't shuffle while the ids that go
+    are small, but for rows that share their id.
+    """
+    found = cut(near_duplicates(docs, width, percent).select("doc_id", "kept"), "verdicts").where("doc_id is not null")
+    gone = cut(found.where("not kept").select("doc_id").distinct(), "gone")
+    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    left = docs.join(small(gone), "doc_id", "left_anti")
+    once = left.join(small(again), "doc_id", "left_anti")
+    if again.isEmpty():
+        return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = free_name(docs, "place")
+    by = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    first = left.join(small(again), "doc_id", "left_semi").withColumn(place, F.row_number().over(by)).where(F.col(place) == 1)
+    return once.unionByName(first.drop(place)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _with_sets(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()

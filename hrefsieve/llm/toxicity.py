@@ -38,9 +38,11 @@ class Limits:
     rows: int = 2000
     #: terms that tell the labels apart
     terms: int = 512
-    #: a term must be so many times as frequent under one label, with so large a G statistic
+    #: a term must be so many times as frequent under one label, with a G statistic of
+    #: ``g`` and ``g_row`` for each example, since copies among them lift it
     lift: float = 3.0
-    g: float = 30.0
+    g: float = 12.0
+    g_row: float = 0.0045
     #: examples in a block of the index
     block: int = 64
 
@@ -229,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     lift = F.greatest(rate1 / rate0, rate0 / rate1)
     chosen = []
     if n0 and n1:
-        chosen = seen.withColumn("g", g).where((F.col("g") >= limits.g) & (lift >= limits.lift)).orderBy(F.desc("g"), "term").limit(limits.terms).collect()
+        chosen = seen.withColumn("g", g).where((F.col("g") >= limits.g + limits.g_row * (n0 + n1)) & (lift >= limits.lift)).orderBy(F.desc("g"), "term").limit(limits.terms).collect()
     vocabulary = {w: k for k, w in enumerate(sorted(r["term"] for r in chosen))}
 
     frequencies = docs.select("text").mapInArrow(_counted(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
