@@ -28,8 +28,9 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: further symbols, only to turn candidates away: mean and four deviations at similarity 0.8
 CHECKED = 64
 ALL_DISTANCE = 44
-#: keys of at least so many members are compared on their sets at once, in pieces of so many rows
-HEAVY, BLOCK = 64, 512
+#: keys of at least so many members are compared on their sets at once, in blocks of at
+#: most about so many rows and shingles
+HEAVY, BLOCK, BLOCK_SHINGLES = 64, 1024, 1 << 20
 #: rounds of comparing a key's members with one of them, before all that is left
 MASKS = (0, -1)
 MEMO = 200_000
@@ -399,7 +400,9 @@ def _heavy(state: _Links, keys: DataFrame) -> DataFrame:
     members = small(_mixed(state, keys, f"size >= {HEAVY}"))
     nodes = small(cut(members.select(F.col("rep").alias("doc_id")).distinct(), "nodes"))
     sets = cut(state.docs.join(nodes, "doc_id", "left_semi").mapInArrow(_with_sets(state.width), "rep long, shingles binary"), "sets")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    sized = members.join(_classes(state).select("rep", "n"), "rep").groupBy("key").agg(F.sum("n").alias("shingles"))
+    members = members.join(small(cut(sized, "sized")), "key")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     cells = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
