@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefsieve.llm import bpe, line_dedup, mixing, near_dedup, neighbours, outliers, sharding, toxicity
+from hrefsieve.llm import bpe, line_dedup, mixing, near_dedup, neighbours, oracle, outliers, sharding, tool_calls, toxicity
 from hrefsieve.llm.tables import table
 
 #: the tokenizer file of the encoding query
@@ -49,6 +49,12 @@ def op7_line_alignment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls and results that all conversations stand for, linked and serialised."""
+    calls, results = tool_calls.from_conversations(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.SCHEMAS)
+
+
 #: shares of all tokens that the mix aims at
 MIX = {"good": 0.92, "low": 0.05, "toxic": 0.03}
 
@@ -64,6 +70,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mcd_outliers, op2_learned_partitions, op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op7_line_alignment_dedup, op9_soft_mixing, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mcd_outliers, op2_learned_partitions, op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op7_line_alignment_dedup, op8_tool_calls, op9_soft_mixing, op10_minhash_near_dedup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_tool_calls": oracle.TOOL_CALLS}
