@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefsieve.llm import bpe, line_dedup, mixing, near_dedup, neighbours, oracle, outliers, sharding, tool_calls, toxicity
+from hrefsieve.llm import bpe, licences, line_dedup, mixing, near_dedup, neighbours, oracle, outliers, sharding, tool_calls, toxicity
 from hrefsieve.llm.tables import table
 
 #: the tokenizer file of the encoding query
@@ -27,6 +27,11 @@ def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_patience_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts in all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -70,6 +75,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mcd_outliers, op2_learned_partitions, op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op7_line_alignment_dedup, op8_tool_calls, op9_soft_mixing, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mcd_outliers, op2_learned_partitions, op3_patience_licences, op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op7_line_alignment_dedup, op8_tool_calls, op9_soft_mixing, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {"op8_tool_calls": oracle.TOOL_CALLS}
