@@ -362,7 +362,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     if again.isEmpty():
         return once.select(*[F.col(f"`{c}`") for c in docs.columns])
     place = free_name(docs, "place")
-    by = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    by = Window.partitionBy("doc_id").orderBy("text", *[F.col(f"`{c}`") for c, kind in docs.dtypes if "<" not in kind])
     first = left.join(small(again), "doc_id", "left_semi").withColumn(place, F.row_number().over(by)).where(F.col(place) == 1)
     return once.unionByName(first.drop(place)).select(*[F.col(f"`{c}`") for c in docs.columns])
 

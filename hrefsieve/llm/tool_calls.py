@@ -74,7 +74,7 @@ def _serialised(schemas: dict[str, dict]) -> Callable:
                         value, wrong = arguments, ["$: not JSON"]
                     if not wrong:
                         wrong = violations(value, schemas[tool]) if tool in schemas else [f"$: unknown tool {tool}"]
-                    message = {"id": call_id, "tool": tool, "arguments": value, "depends_on": sorted(needs or [])}
+                    message = {"id": call_id, "tool": tool, "arguments": value, "depends_on": sorted({x for x in needs or [] if x is not None})}
                     texts.append(canonical(message | ({"result": result} if has_result else {})))
                     problems.append("; ".join(wrong) or None)
                 kept = [batch.column(c) for c in ("conv_id", "turn", "call_id", "tool", "has_result", "level")]
