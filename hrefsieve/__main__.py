@@ -9,7 +9,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from hrefsieve.params import REPORT_NAME, AuditParams
+from hrefsieve.params import CLI_MAX_PAGES, CLI_MAX_SITEMAPS, INPUT_NAME, REPORT_NAME, AuditParams
 from hrefsieve.plans.jobs import audit, check_page, write_audit, write_check
 from hrefsieve.sinks.writers import run_folder, run_stamp
 from hrefsieve.sources.inputs import read_inputs
@@ -22,12 +22,19 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="hrefsieve", description="Find on which pages of your sites each string of a list occurs.")
     p.add_argument("--pages", required=True, help="Parquet table of landed pages (url, status, headers, body)")
     p.add_argument("--docs", help="Parquet table of landed robots.txt and sitemap documents; default: the pages table")
-    p.add_argument("--input", default="domains_and_subdomains_to_search_for.csv", help="list of searched strings, one per line")
+    p.add_argument("--input", default=INPUT_NAME, help="list of searched strings, one per line")
     p.add_argument("--output", default=REPORT_NAME, help="report path; outputs go to a stamped folder next to it")
     p.add_argument("--test-url", help="check this one page only")
     p.add_argument("--no-body", action="store_true", help="search links only, not the HTML")
     p.add_argument("--ignore-inputs", action="store_true", help="only list the pages a crawl would scan")
-    p.add_argument("--max-pages", type=int, default=AuditParams.max_pages)
+    p.add_argument("--max-pages", type=int, default=CLI_MAX_PAGES, help="pages to scan at most (default %(default)s); 0 for all")
+    p.add_argument("--max-sitemaps", type=int, default=CLI_MAX_SITEMAPS, help="sitemaps to look up at most (default %(default)s); 0 for all")
+    p.add_argument("--schemes", nargs="*", default=list(AuditParams.schemes), choices=["https", "http"])
+    p.add_argument("--link-mode", default=AuditParams.link_mode, choices=["dom", "regex"])
+    p.add_argument("--loc-mode", default=AuditParams.loc_mode, choices=["xml", "regex"])
+    p.add_argument("--encode-mode", default=AuditParams.encode_mode, choices=["quote", "uri"])
+    p.add_argument("--no-robots", action="store_true", help="scan pages that robots.txt disallows too")
+    p.add_argument("--longest-robots-match", action="store_true", help="the longest matching robots rule wins, not the first")
     p.add_argument("--domains", nargs="*", default=list(AuditParams.domains))
     p.add_argument("--concurrency", type=int, help="accepted and unused: pages are fetched elsewhere")
     return p
@@ -36,7 +43,11 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, argv: list[str] | None = None, stamp: str | None = None) -> str:
     """Run one job; returns the folder of its outputs."""
     args = parser().parse_args(argv)
-    p = AuditParams(domains=tuple(args.domains), max_pages=args.max_pages, scan_body=not args.no_body)
+    p = AuditParams(
+        domains=tuple(args.domains), schemes=tuple(args.schemes), max_pages=args.max_pages or None, max_sitemaps=args.max_sitemaps or None,
+        scan_body=not args.no_body, respect_robots=not args.no_robots, longest_robots_match=args.longest_robots_match,
+        link_mode=args.link_mode, loc_mode=args.loc_mode, encode_mode=args.encode_mode,
+    )
     stamp = stamp or run_stamp()
     folder = run_folder(args.output, stamp)
     pages = read_landed(spark, args.pages, RAW)

@@ -44,7 +44,8 @@ def inflated(body: Column, flagged: Column, keep_broken: bool = False) -> Column
     NULL, or with ``keep_broken`` the bytes as landed.
     """
     gzipped = flagged & (F.hex(F.substring(body, 1, 2)) == "1F8B")
-    out = _gunzip(F.when(gzipped, body))
+    # marked non-deterministic so that a filter on the result doesn't run it again
+    out = _gunzip.asNondeterministic()(F.when(gzipped, body))
     broken = body if keep_broken else F.lit(None).cast("binary")
     return F.when(out.isNull(), body).when(out["ok"], out["body"]).otherwise(broken)
 

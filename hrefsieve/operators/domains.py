@@ -26,11 +26,11 @@ def domain_of_hosts(hosts: DataFrame, domains: DataFrame) -> DataFrame:
     """(host, domain) from distinct hosts and a table (pos, domain) of any size.
 
     Each host is looked up by its own suffixes, so the match is a plain equi-join. A
-    suffix such as ``com`` is common to most hosts, hence the salt if domains are many.
+    suffix such as ``com`` is common to most hosts; if domains are many it is spread.
     """
     suffixed = hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("domain"))
     return (
-        join_small(suffixed, domains, "domain", spread=F.col("host"))
+        join_small(suffixed, domains, "domain")
         .groupBy("host")
         .agg(F.min_by("domain", "pos").alias("domain"))
     )

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def first_pages(hits: DataFrame, n: int, pattern: str = "pattern", key: str = "url") -> DataFrame:
     """Distinct (pattern, key) pairs, the ``n`` smallest keys of each pattern.
 
-    Duplicates go first, spread over all tasks by pair. The rank filter is then
-    applied within each of those tasks before the pairs of one pattern come together,
-    so a pattern found everywhere sends ``n`` rows per task and no more.
+    The rank filter comes first and is applied within each task before anything
+    shuffles, so a pattern found everywhere sends ``n`` keys per task and no more. Pairs
+    found more than once rank alike and become one among the few that are left.
     """
-    pairs = hits.select(pattern, key).distinct()
-    rank = F.row_number().over(Window.partitionBy(pattern).orderBy(key))
-    return pairs.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    rank = F.dense_rank().over(Window.partitionBy(pattern).orderBy(key))
+    pairs = hits.select(pattern, key).withColumn("_rank", rank).where(F.col("_rank") <= n)
+    return pairs.select(pattern, key).distinct()
 
 
 def page_sets(hits: DataFrame, n: int, pattern: str = "pattern", key: str = "url") -> DataFrame:

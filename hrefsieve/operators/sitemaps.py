@@ -12,7 +12,7 @@ from hrefsieve.functions.arrow import sitemap_locs
 from hrefsieve.functions.text import JS_SPACE_CLASS, looks_like_xml, strip
 from hrefsieve.functions.urls import defragment, is_sitemap_like
 from hrefsieve.operators.domains import in_scope
-from hrefsieve.session import BROADCAST_BYTES, first_rows, scratch_path, text_bytes
+from hrefsieve.session import BROADCAST_BYTES, cut, first_rows, scratch_path, text_bytes
 from hrefsieve.sources.landed import text_documents
 
 SITEMAP, PAGE = "sitemap", "page"
@@ -50,54 +50,66 @@ class Closure:
     depth: int
 
 
+# Whatever names a location has this in its text.
+NAMES_LOCATIONS = r"(?i)[<:]loc[\s>/]"
+
+
+def sitemap_edges(docs: DataFrame, loc_mode: str = "xml") -> DataFrame:
+    """All locations that landed documents name, from one pass over them: (parent, kind, loc)."""
+    keep_broken = loc_mode == "regex"
+    texts = text_documents(docs, not keep_broken, keep_broken)
+    return document_locs(texts.where(F.regexp_like("text", F.lit(NAMES_LOCATIONS))), loc_mode)
+
+
 def sitemap_closure(
     seeds: DataFrame,
     docs: DataFrame,
     domains: Sequence[str],
-    max_sitemaps: int = 5_000,
+    max_sitemaps: int | None = None,
     max_pages: int | None = None,
     loc_mode: str = "xml",
 ) -> Closure:
     """Follow sitemaps from ``seeds`` (url) through landed documents, level by level.
 
-    Each level is written below the checkpoint folder before the next starts, so no
-    plan grows with depth and a lost executor repeats one level at most. Only the
-    URLs of a level meet the documents; while they fit they are broadcast. Missing
-    documents count towards ``max_sitemaps``; of a level that exceeds it the smallest
-    URLs are kept. The walk stops after the level that reaches ``max_pages``.
+    Documents are read once, whatever the depth: what they name is written as an edge
+    table, and levels read only that. Each level is written below the checkpoint folder
+    before the next starts, so no plan grows with depth and a lost executor repeats one
+    level at most. The URLs of a level are broadcast while they fit. Missing documents
+    count towards ``max_sitemaps``; of a level that exceeds it the smallest URLs are
+    kept. The walk stops after the level that reaches ``max_pages``. Without budgets it
+    ends where nothing new is named.
     """
     spark = seeds.sparkSession
     base = scratch_path(spark, "closure")
-    keep_broken = loc_mode == "regex"
+    edges = cut(sitemap_edges(docs, loc_mode), "edges")
     seen = None
     frontier = seeds.select("url").distinct()
-    left, depth = max_sitemaps, 0
+    left, depth, pages = max_sitemaps, 0, 0
 
-    while left > 0:
+    while left is None or left > 0:
         level = f"{base}/seen/depth={depth}"
-        first_rows(frontier, [F.col("url")], left).write.mode("overwrite").parquet(level)
+        taken = frontier if left is None else first_rows(frontier, [F.col("url")], left)
+        taken.write.mode("overwrite").parquet(level)
         found = spark.read.schema("url string").parquet(level)
         size = found.agg(F.count("*").alias("n"), text_bytes(found).alias("bytes")).first()
         if size["n"] == 0:
             break
-        left -= size["n"]
+        left = None if left is None else left - size["n"]
         wanted = F.broadcast(found) if size["bytes"] <= BROADCAST_BYTES else found
-        texts = text_documents(docs.join(wanted, "url", "left_semi"), not keep_broken, keep_broken)
-        document_locs(texts, loc_mode).write.mode("overwrite").parquet(f"{base}/locs/depth={depth}")
+        named_here = edges.join(wanted.withColumnRenamed("url", "parent"), "parent", "left_semi")
+        named_here.write.mode("overwrite").parquet(f"{base}/locs/depth={depth}")
 
         seen = spark.read.schema("url string, depth int").parquet(f"{base}/seen")
         locs = spark.read.schema("parent string, kind string, loc string, depth int").parquet(f"{base}/locs")
-        named = locs.agg(
-            F.count_if(F.col("kind") == PAGE).alias("pages"),
-            F.count_if((F.col("kind") == SITEMAP) & (F.col("depth") == depth)).alias("nested"),
-        ).first()
-        nested = locs.where((F.col("depth") == depth) & (F.col("kind") == SITEMAP))
+        here = spark.read.schema("parent string, kind string, loc string").parquet(f"{base}/locs/depth={depth}")
+        named = here.agg(F.count_if(F.col("kind") == PAGE).alias("pages"), F.count_if(F.col("kind") == SITEMAP).alias("nested")).first()
+        pages += named["pages"]
         depth += 1
         if named["nested"] == 0:
             break
-        if max_pages is not None and named["pages"] >= max_pages and discovered_pages(locs, domains).count() >= max_pages:
+        if max_pages is not None and pages >= max_pages and discovered_pages(locs, domains).count() >= max_pages:
             break
-        frontier = nested.select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti")
+        frontier = here.where(F.col("kind") == SITEMAP).select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti")
 
     if seen is None:
         empty = spark.createDataFrame([], "parent string, kind string, loc string, depth int")

@@ -21,6 +21,12 @@ SINGLE_PAGE_NAME = "test_results.csv"
 INITIAL_SITEMAPS_NAME = "discovered_sitemaps_initial.txt"
 ALL_SITEMAPS_NAME = "discovered_sitemaps_all.txt"
 PAGES_NAME = "discovered_pages.txt"
+INPUT_NAME = "domains_and_subdomains_to_search_for.csv"
+SUMMARY_NAME = "run_summary.json"
+
+# The budgets of a run from the command line.
+CLI_MAX_PAGES = 20_000
+CLI_MAX_SITEMAPS = 5_000
 
 
 @dataclass(frozen=True)
@@ -31,12 +37,13 @@ class AuditParams:
     ``loc_mode``    ``xml``: parse sitemap documents; ``regex``: match ``<loc>`` tags.
     ``encode_mode`` ``quote``: leave ``%`` alone, unescape entities first;
                     ``uri``: encode ``%`` and brackets too, no unescaping.
+    ``max_pages``, ``max_sitemaps``  budgets of a crawl; ``None`` for all there are.
     """
 
     domains: tuple[str, ...] = ("example.com",)
     schemes: tuple[str, ...] = ("https",)
-    max_pages: int = 20_000
-    max_sitemaps: int = 5_000
+    max_pages: int | None = None
+    max_sitemaps: int | None = None
     max_match_pages: int = 100
     min_variant_length: int = 6
     scan_body: bool = True

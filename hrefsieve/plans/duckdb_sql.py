@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from hrefsieve.plans.derived import DOMAINS, HOST_ROBOTS, HOST_STATUS
 
-_P = """p AS (
+_P = """p AS MATERIALIZED (
   SELECT page_id, url, html, scheme, host, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS domain,
          regexp_extract(url, '^[a-z]+://[^/?#]*/([a-z]+)', 1) AS lang,
          regexp_replace(url, '#.*$', '') AS plain, scheme || '://' || host AS origin
@@ -38,7 +38,7 @@ def _encoded(value: str, keep: str) -> str:
 _QUOTE_KEEPS = ":/?#[]@!$&'()*+,;=%"
 _URI_KEEPS = ";,/?:@&=+$!*'()#"
 
-_VARIANTS = f"""variants AS (
+_VARIANTS = f"""variants AS MATERIALIZED (
   SELECT DISTINCT queried_url, variant FROM (
     SELECT queried_url, unnest(list_concat([queried_url], {_short('cut')})) AS variant
     FROM (SELECT queried_url, regexp_replace(queried_url, '#.*$', '') AS cut FROM inputs))
@@ -49,10 +49,22 @@ _ANCHOR = """(?i)<a\\s+[^>]*href=["'']?([^"'' >]+)["'']?[^>]*>"""
 
 def _blobs(source: str = "p", key: str = "url", body: bool = True) -> str:
     links = f"array_to_string(list_transform(regexp_extract_all(html, '{_ANCHOR}', 1), lambda h: origin || h), chr(10))"
-    return f"blobs AS (SELECT {key} AS url, {links}{' || chr(10) || html' if body else ''} AS blob FROM {source})"
+    return f"blobs AS MATERIALIZED (SELECT {key} AS url, {links}{' || chr(10) || html' if body else ''} AS blob FROM {source})"
 
 
-_HITS = "hits AS (SELECT DISTINCT variant, url FROM blobs JOIN (SELECT DISTINCT variant FROM variants) v ON contains(blob, variant))"
+# A variant has no spaces or quotes, so it lies within one run of other characters, and it
+# names a host: so six characters from where the host starts meet it by an equi-join.
+_HITS = """runs AS MATERIALIZED (
+  SELECT DISTINCT url, run FROM (SELECT url, unnest(string_split_regex(blob, '[ \\s"''<>]+')) AS run FROM blobs)
+  WHERE regexp_matches(run, '[^.][.][^.]')),
+grams AS MATERIALIZED (
+  SELECT url, run, pos, substr(run, pos, 6) AS gram FROM (SELECT url, run, unnest(range(1, length(run) + 1)) AS pos FROM runs)),
+cores AS MATERIALIZED (
+  SELECT variant, length(lead) AS cut, substr(variant, length(lead) + 1, 6) AS gram FROM (
+    SELECT DISTINCT variant, regexp_extract(variant, '^([a-z]+://)?(www[.])?', 0) AS lead FROM variants)),
+hits AS MATERIALIZED (
+  SELECT DISTINCT variant, url FROM grams JOIN cores USING (gram)
+  WHERE pos > cut AND starts_with(substr(run, pos - cut), variant))"""
 
 
 def _report(n: int = 100) -> str:
@@ -128,10 +140,11 @@ locs AS (
   SELECT parent, CASE WHEN contains(loc, 'sitemap') THEN 'sitemap' ELSE 'page' END AS kind, loc FROM marked WHERE well)"""
 _SEEDS = """seeds AS (
   SELECT DISTINCT 'https://' || domain || '/sitemap.xml' AS url FROM p UNION SELECT 'https://example.com/sitemap-1.xml')"""
-_WALK = """walk(url, depth) AS (
+_WALK = """walk(url, depth) USING KEY (url) AS (
   SELECT url, 0 FROM seeds
-  UNION SELECT loc, depth + 1 FROM walk JOIN locs ON parent = url AND kind = 'sitemap' WHERE depth < 14),
-sitemaps AS (SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY url),
+  UNION SELECT loc, w.depth + 1 FROM walk w JOIN locs ON parent = w.url AND kind = 'sitemap'
+  WHERE NOT EXISTS (FROM recurring.walk r WHERE r.url = loc)),
+sitemaps AS MATERIALIZED (SELECT url, CAST(depth AS BIGINT) AS depth FROM walk),
 found AS (
   SELECT regexp_replace(loc, '#.*$', '') AS url, min(depth) AS depth FROM locs JOIN sitemaps s ON parent = s.url
   WHERE kind = 'page' AND NOT contains(loc, 'elsewhere.test') AND loc NOT LIKE '%.pdf' GROUP BY 1)"""
@@ -233,7 +246,7 @@ ORACLES = {
     "sitemap_budget": _CLOSURE + "SELECT url FROM sitemaps ORDER BY depth, url LIMIT 12",
     "discovered_pages": _CLOSURE + "SELECT url FROM found",
     "page_budget": _CLOSURE + "SELECT url FROM found ORDER BY depth, url LIMIT 45",
-    "page_inventory": _with(_P) + "SELECT url, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM p WHERE domain = 'example.net'",
+    "page_inventory": _with(_P) + "SELECT url, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM p",
     "crawl_inventory": _with(_P, _LOCS, _SEEDS, _WALK, _ALLOWED, recursive=True)
     + "SELECT plain AS url, CAST(max(octet_length(encode(html))) AS BIGINT) AS size_bytes FROM scanned GROUP BY plain",
     "full_audit": _with(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -154,6 +154,21 @@ def run_summary(result: Audit) -> DataFrame:
     return reduce(DataFrame.union, parts).agg(*columns)
 
 
+def budget_flags(result: Audit, p: AuditParams) -> dict[str, bool]:
+    """Which budgets the run used up, so that there may be more than it shows."""
+    full = lambda df, most: most is not None and df.count() >= most
+    return {
+        "sitemap_budget_reached": full(result.discovery.sitemaps, p.max_sitemaps),
+        "page_budget_reached": full(result.discovery.pages, p.max_pages),
+    }
+
+
+def write_summary(result: Audit, path: str, p: AuditParams) -> None:
+    """Counts of a run, a preview of the matches, and whether a budget ended it, as one JSON row."""
+    flags = budget_flags(result, p)
+    run_summary(result).select("*", *[F.lit(v).alias(k) for k, v in flags.items()]).coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_audit(result: Audit, folder: str, stamp: str, p: AuditParams, report_name: str = names.REPORT_NAME) -> None:
     """Write all outputs of a run below ``folder``."""
     write_urls(result.discovery.initial, stamped_path(names.INITIAL_SITEMAPS_NAME, folder, stamp))
@@ -165,13 +180,9 @@ def write_audit(result: Audit, folder: str, stamp: str, p: AuditParams, report_n
         write_report_long(result.report, long_path)
         written = result.report.sparkSession.read.parquet(long_path)
         write_report(written, stamped_path(report_name, folder, stamp), p.max_match_pages)
+    write_summary(result, stamped_path(names.SUMMARY_NAME, folder, stamp), p)
 
 
 def write_check(result: DataFrame, folder: str, stamp: str) -> None:
     """Write a single-page check below ``folder``."""
     write_single_page(result, stamped_path(names.SINGLE_PAGE_NAME, folder, stamp))
-
-
-def with_domains(p: AuditParams, *domains: str) -> AuditParams:
-    """The same settings for other domains."""
-    return replace(p, domains=tuple(domains))

@@ -20,7 +20,7 @@ from hrefsieve.operators.sitemaps import discovered_pages, document_locs, page_b
 from hrefsieve.operators.variants import input_variants, pattern_set
 from hrefsieve.plans import derived as d
 from hrefsieve.plans.jobs import audit, audit_pages, check_page, crawl_inventory, discover, run_summary
-from hrefsieve.session import scratch_path
+from hrefsieve.session import cut, scratch_path
 from hrefsieve.sinks.writers import sorted_urls
 from hrefsieve.sources.inputs import clean_inputs
 from hrefsieve.sources.landed import decoded_pages, read_landed, text_documents
@@ -47,7 +47,7 @@ def _flat(report: DataFrame) -> DataFrame:
 
 
 def _html(spark: SparkSession, sf: str) -> DataFrame:
-    return read_landed(spark, f"{sf}/pages.parquet", ["url", "html"])
+    return decoded_pages(read_landed(spark, f"{sf}/pages.parquet", ["url", "html"]))
 
 
 def _seeds(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _sitemap_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("discovered_pages")
 def _pages_discovered(spark: SparkSession, sf: str) -> DataFrame:
-    return discover(d.all_docs(spark, sf), d.settings(max_pages=1_000_000)).pages
+    return discover(d.all_docs(spark, sf), d.settings()).pages
 
 
 @query("page_budget")
@@ -240,14 +240,14 @@ def _sitemap_closure_sql(spark: SparkSession, sf: str) -> DataFrame:
     seeds = _seeds(spark, sf, docs)
     locs = document_locs(text_documents(docs))
     edges = locs.where("kind = 'sitemap'").select("parent", F.col("loc").alias("url")).distinct()
-    # Links back to a seed would only repeat it.
-    onward = edges.join(seeds, "url", "left_anti")
+    # Links back to a seed would only repeat it. Written, as each step of the recursion reads them.
+    onward = cut(edges.join(seeds, "url", "left_anti"), "edges")
     return spark.sql(
         """
-        WITH RECURSIVE walk(url, depth) AS (
-          SELECT url, 0 FROM {seeds}
+        WITH RECURSIVE walk(url, path) AS (
+          SELECT url, array(url) FROM {seeds}
           UNION ALL
-          SELECT e.url, w.depth + 1 FROM walk w JOIN {edges} e ON e.parent = w.url WHERE w.depth < 20
+          SELECT e.url, w.path || array(e.url) FROM walk w JOIN {edges} e ON e.parent = w.url AND NOT array_contains(w.path, e.url)
         )
         SELECT DISTINCT url FROM walk
         """,
@@ -258,8 +258,7 @@ def _sitemap_closure_sql(spark: SparkSession, sf: str) -> DataFrame:
 @query("page_inventory")
 def _page_inventory(spark: SparkSession, sf: str) -> DataFrame:
     table = read_landed(spark, f"{sf}/pages.parquet", ["url", "html"])
-    scoped = table.where(urls.same_domain(F.col("url"), ["example.net"]) & ~urls.is_binary(F.col("url")))
-    return decoded_pages(scoped).select("url", "size_bytes")
+    return decoded_pages(table.where(~urls.is_binary(F.col("url")))).select("url", "size_bytes")
 
 
 @query("crawl_inventory")

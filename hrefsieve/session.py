@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 MIB = 1 << 20
 BROADCAST_BYTES = 64 * MIB
-SALTS = 64
 HOT_ROWS = 1_000_000
 
 
@@ -55,20 +54,14 @@ def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return df.agg(text_bytes(df)).first()[0] <= max_bytes
 
 
-def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "inner", spread: Column | None = None) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join with a side that is usually small, without shuffling the big one.
 
     The small side is written once, measured, and broadcast only if it fits. Otherwise
-    both sides shuffle on the key and a salt, so one hot key spreads over many tasks.
-    ``spread`` is what the salt is taken from; rows with the same value stay together.
+    both sides shuffle on the key, and only keys that fill many rows are spread.
     """
     small = cut(small, "small")
-    if fits(small):
-        return big.join(F.broadcast(small), on, how)
-    salt = F.pmod(F.xxhash64(spread if spread is not None else F.struct(*big.columns)), F.lit(SALTS))
-    salted = big.withColumn("_salt", salt)
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+    return big.join(F.broadcast(small), on, how) if fits(small) else join_lookup(big, small, on, how)
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, on: str, how: str = "inner") -> DataFrame:

@@ -13,13 +13,19 @@ from hrefsieve.functions.arrow import inflated
 from hrefsieve.functions.text import decode_utf8, header
 
 
+#: tables of at most so many bytes are dealt out to the cores
+SPREAD_BYTES = 64 << 20
+
+
 def spread_files(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has too few splits for that.
+    """Give every core a share of a small table that has too few splits for that.
 
-    A large table has more splits than cores and is left as it is.
+    The text of a larger table never shuffles, however many cores there are; how finely
+    it is split is up to ``spark.sql.files.maxPartitionBytes`` and ``minPartitionNum``.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def read_landed(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -36,11 +42,15 @@ def is_gzip(url: Column, headers: Column, any_gzip_type: bool = False) -> Column
 
 
 def usable_documents(docs: DataFrame, keep_broken: bool = False) -> DataFrame:
-    """Documents with status 200 and a body, gunzipped: (url, body)."""
+    """Documents with status 200 and a body, gunzipped: (url, body).
+
+    Only bodies announced as gzip visit Python, and each of them once.
+    """
     landed = docs.where((F.col("status") == 200) & (F.octet_length("body") > 0))
-    flagged = is_gzip(F.col("url"), F.col("headers"), any_gzip_type=keep_broken)
-    opened = landed.select("url", inflated(F.col("body"), flagged, keep_broken).alias("body"))
-    return opened.where(F.octet_length("body") > 0)
+    flagged = F.coalesce(is_gzip(F.col("url"), F.col("headers"), any_gzip_type=keep_broken), F.lit(False))
+    plain = landed.where(~flagged).select("url", "body")
+    opened = landed.where(flagged).select("url", inflated(F.col("body"), F.lit(True), keep_broken).alias("body"))
+    return plain.unionByName(opened.where(F.octet_length("body") > 0))
 
 
 def text_documents(docs: DataFrame, drop_invalid: bool = True, keep_broken: bool = False) -> DataFrame:
@@ -56,9 +66,10 @@ def landed_pages(docs: DataFrame, drop_invalid: bool = True) -> DataFrame:
 
 
 def decoded_pages(pages: DataFrame) -> DataFrame:
-    """The same shape from a table of (url, html)."""
+    """The same shape from a table of (url, html), whose text may hold invalid bytes."""
     usable = pages.where(F.octet_length("html") > 0)
-    return usable.select("url", "html", F.octet_length("html").cast("long").alias("size_bytes"))
+    text = decode_utf8(F.col("html").cast("binary")).alias("html")
+    return usable.select("url", text, F.octet_length("html").cast("long").alias("size_bytes"))
 
 
 def one_page(pages: DataFrame, url: str) -> DataFrame:

@@ -14,7 +14,7 @@ def test_command_line_runs(spark, tmp_path):
 
     full = run(spark, common + ["--max-pages", "50", "--concurrency", "4"], "S1")
     assert sorted(os.listdir(full)) == [
-        "discovered_pages_S1.txt", "discovered_sitemaps_all_S1.txt", "discovered_sitemaps_initial_S1.txt", "out_S1.csv", "report_S1.parquet", "scanned_pages_S1.csv",
+        "discovered_pages_S1.txt", "discovered_sitemaps_all_S1.txt", "discovered_sitemaps_initial_S1.txt", "out_S1.csv", "report_S1.parquet", "run_summary_S1.json", "scanned_pages_S1.csv",
     ]
     report = read_csv(f"{full}/out_S1.csv")
     assert len(report[0]) == 103 and [r[:4] for r in report[1:]] == [["target.example", "true", "1", "https://h.com/1"], ["absent.example", "false", "0", ""]]
@@ -22,6 +22,12 @@ def test_command_line_runs(spark, tmp_path):
     listed = [x for p in sorted(glob.glob(f"{full}/discovered_sitemaps_all_S1.txt/part-*")) for x in open(p).read().splitlines()]
     assert len(listed) == 7 and listed == sorted(listed)
 
+    summary = [x for p in glob.glob(f"{full}/run_summary_S1.json/part-*") for x in open(p).read().splitlines()]
+    assert len(summary) == 1 and '"inputs_matched":1' in summary[0] and '"page_budget_reached":false' in summary[0]
+
+    other = run(spark, common + ["--max-pages", "1", "--link-mode", "regex", "--loc-mode", "regex", "--encode-mode", "uri", "--no-robots", "--longest-robots-match", "--schemes", "https"], "S4")
+    assert '"page_budget_reached":true' in "".join(open(p).read() for p in glob.glob(f"{other}/run_summary_S4.json/part-*"))
+
     crawl = run(spark, common + ["--ignore-inputs"], "S2")
     assert "scanned_pages_S2.csv" in os.listdir(crawl) and not glob.glob(f"{crawl}/out*")
 
