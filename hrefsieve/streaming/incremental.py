@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,15 +27,39 @@ def stream_pages(spark: SparkSession, folder: str, schema: T.StructType, files:
     )
 
 
+def _searched_for(patterns: DataFrame, p: AuditParams) -> tuple:
+    """What a match table is made for: a digest of the patterns, their number, what is searched."""
+    row = patterns.agg(F.expr("bit_xor(xxhash64(pattern))").alias("digest"), F.count("*").alias("n")).first()
+    return row["digest"], row["n"], p.link_mode, p.scan_body
+
+
+def _check_searched(spark: SparkSession, table: str, patterns: DataFrame, p: AuditParams, write: bool) -> None:
+    """A table answers only for the patterns that its pages were searched for, since pages
+    are read once; other inputs need a new table and checkpoint."""
+    path, now = f"{table.rstrip('/')}-searched", _searched_for(patterns, p)
+    try:
+        then = spark.read.parquet(path).first()
+    except AnalysisException:
+        then = None
+    if then is None and write:
+        schema = "digest long, n long, link_mode string, scan_body boolean, max_match_pages int"
+        spark.createDataFrame([(*now, p.max_match_pages)], schema).coalesce(1).write.parquet(path)
+    elif then is None or tuple(then)[:4] != now or then["max_match_pages"] < p.max_match_pages:
+        raise ValueError(f"the pages of {table} were searched for other inputs or for fewer pages per input; scan them into a new table")
+
+
 def scan_stream(pages: DataFrame, inputs: DataFrame, table: str, checkpoint: str, p: AuditParams) -> StreamingQuery:
     """Start a scan that takes all pages landed by now and stops.
 
     Each batch replaces its own ``batch=<id>`` folder of the match table, so a batch
     that runs twice counts once. Matches are a set: a page that lands again adds
     nothing, and no seen-URL state is kept. Only the first pages of each pattern and
-    batch are stored; the report's first pages are among them.
+    batch are stored; the report's first pages are among them. What was searched is noted
+    beside the table: a later run or report with other inputs, or for more pages per
+    input, is refused instead of being incomplete.
     """
     _, patterns = searched(inputs, p)
+    _check_searched(inputs.sparkSession, table, patterns, p, write=True)
 
     # an empty batch, so that the table can be read before any page has landed
     inputs.sparkSession.createDataFrame([], "url string, pattern string").write.mode("overwrite").parquet(f"{table}/batch=-1")
@@ -50,5 +76,6 @@ def scan_stream(pages: DataFrame, inputs: DataFrame, table: str, checkpoint: str
 def stream_report(spark: SparkSession, table: str, inputs: DataFrame, p: AuditParams) -> DataFrame:
     """The report over everything scanned so far."""
     hits = spark.read.schema(MATCH_SCHEMA).parquet(table).select("url", "pattern")
-    variants, _ = searched(inputs, p)
+    variants, patterns = searched(inputs, p)
+    _check_searched(spark, table, patterns, p, write=False)
     return report(inputs, variants, hits, p.max_match_pages)

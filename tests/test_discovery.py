@@ -181,3 +181,24 @@ def test_a_cluster_must_name_its_shared_folder():
         checkpoint_dir(Session())
     Session.conf = {"spark.checkpoint.dir": "hdfs:///shared"}
     assert checkpoint_dir(Session()) == "hdfs:///shared"
+
+
+def test_walks_beyond_the_usual_budgets(spark):
+    """Thousands of sitemaps in four levels: all are found, and documents are read once."""
+    from hrefsieve.operators.sitemaps import discovered_pages, sitemap_closure
+
+    def index(name, children):
+        return f"https://big.com/{name}.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>https://big.com/{c}.xml</loc></sitemap>" for c in children) + "</sitemapindex>"
+
+    rows = [index("sitemap", [f"a{i}" for i in range(10)])]
+    rows += [index(f"a{i}", [f"b{i}-{j}" for j in range(10)] + ["sitemap"]) for i in range(10)]
+    rows += [index(f"b{i}-{j}", [f"c{i}-{j}-{k}" for k in range(60)]) for i in range(10) for j in range(10)]
+    rows += [
+        (f"https://big.com/c{i}-{j}-{k}.xml", "<urlset>" + "".join(f"<url><loc>https://big.com/p/{i}/{j}/{k}/{n}</loc></url>" for n in range(4)) + "</urlset>")
+        for i in range(10) for j in range(10) for k in range(60)
+    ]
+    docs = docs_of(spark, dict(rows))
+    seeds = spark.createDataFrame([("https://big.com/sitemap.xml",)], "url string")
+    walk = sitemap_closure(seeds, docs, ["big.com"])
+    assert walk.sitemaps.count() == len(rows) == 6111 and walk.depth == 4
+    assert discovered_pages(walk.locs, ["big.com"]).count() == 24_000

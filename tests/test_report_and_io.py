@@ -174,6 +174,12 @@ def test_incremental_equals_batch(spark, tmp_path):
         scan_stream(stream, inputs, table, offsets, p).awaitTermination()
     got = sorted(map(str, stream_report(spark, table, inputs, p).collect()))
     assert got == sorted(map(str, audit_pages(inputs, pages, p).collect()))
+    more = inputs.union(spark.createDataFrame([(999, "another.example")], "input_id bigint, queried_url string"))
+    for other, settings in ((more, p), (inputs, AuditParams(max_match_pages=8))):
+        with pytest.raises(ValueError, match="new table"):
+            stream_report(spark, table, other, settings)
+        with pytest.raises(ValueError, match="new table"):
+            scan_stream(stream_pages(spark, landed, pages.schema), other, table, offsets, settings)
 
 
 def test_partitioning_and_order_do_not_matter(spark, small):
