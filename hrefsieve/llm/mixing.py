@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrefsieve.llm.tables import cut, free_name, small, words_of
+from hrefsieve.llm.tables import cut, free_name, small
 
 #: the classifier is learnt from so many labelled rows of each domain and keeps so many terms
 SAMPLE_ROWS, TERMS = 2000, 512
@@ -40,22 +40,25 @@ def _level(x: Column, name: str, bounds: list[float]) -> Column:
     return level
 
 
+#: what separates tokens: white space and the punctuation of sentences
+SPLIT = "[\\x20\\x09-\\x0D.,;:!?]+"
+
+
 def _seen(docs: DataFrame, *keep: str) -> DataFrame:
-    """n_tokens (words of the whole text), its words, and a few terms for its shape."""
+    """n_tokens of the whole text, its tokens (lower case), and a few terms for its shape."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*keep, text.alias("text"))
-    rows = rows.select(*keep, "text", words_of(F.lower("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0).alias("lines"))
-    n = F.greatest(F.size("words"), F.lit(1))
+    rows = rows.select(*keep, "text", F.array_remove(F.split(F.lower("text"), SPLIT), "").alias("tokens"), F.split("text", "\n").alias("lines"))
+    rows = rows.select(*keep, "text", "tokens", F.size("tokens").alias("n"), F.size(F.array_distinct("tokens")).alias("n_distinct"), F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_distinct_lines"))
+    n = F.greatest("n", F.lit(1))
     symbols = F.length("text") - F.length(F.translate("text", SYMBOLS, ""))
     shape = F.array(
         _level(symbols / n, " symbols", [0.02, 0.2, 1.0]),
-        _level((F.size("lines") - F.size(F.array_distinct("lines"))) / F.greatest(F.size("lines"), F.lit(1)), " lines", [0.05, 0.3]),
-        _level(1 - F.size(F.array_distinct("words")) / n, " words", [0.3, 0.5, 0.7, 0.85]),
+        _level(1 - F.col("n_distinct_lines") / F.col("n_lines"), " lines", [0.05, 0.3]),
+        _level(1 - F.col("n_distinct") / n, " tokens", [0.3, 0.5, 0.7, 0.85]),
         _level(n.cast("double"), " size", [4.0, 9.0, 50.0, 400.0, 3000.0]),
     )
-    # punctuation at the end of a word doesn't make it another term
-    words = F.transform("words", lambda w: F.rtrim(w, F.lit(".,;:!?")))
-    return rows.select(*keep, F.size("words").cast("long").alias("n_tokens"), words.alias("words"), shape.alias("shape"))
+    return rows.select(*keep, F.col("n").cast("long").alias("n_tokens"), "tokens", shape.alias("shape"))
 
 
 class Classifier:
@@ -70,7 +73,7 @@ class Classifier:
         chosen = F.array(*[F.lit(t) for t, *_ in self.weights]) if self.weights else F.array().cast("array<string>")
         seen = _seen(docs, *keep)
         row = free_name(seen, "row")
-        seen = seen.select(*keep, "n_tokens", F.array_intersect(F.array_union("words", "shape"), chosen).alias("terms"), F.monotonically_increasing_id().alias(row))
+        seen = seen.select(*keep, "n_tokens", F.concat(F.array_intersect("tokens", chosen), F.array_intersect("shape", chosen)).alias("terms"), F.monotonically_increasing_id().alias(row))
         weights = spark.createDataFrame(self.weights, "term string, " + ", ".join(f"w_{d} double" for d in self.domains))
         terms = seen.select(*keep, "n_tokens", row, F.explode_outer("terms").alias("term"))
         found = terms.join(F.broadcast(weights), "term", "left").groupBy(*keep, "n_tokens", row)  # TERMS rows
@@ -97,7 +100,7 @@ def learn(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(cut(ids, "labelled")), "doc_id")
     sample = cut(sample.groupBy("doc_id", "domain").agg(F.min("text").alias("text")), "sample")
     sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    terms = _seen(sample, "doc_id", "domain").select("domain", F.explode(F.array_union("words", "shape")).alias("term"))
+    terms = _seen(sample, "doc_id", "domain").select("domain", F.explode(F.array_union("tokens", "shape")).alias("term"))
     table = terms.groupBy("term").agg(*[F.count_if(F.col("domain") == d).cast("double").alias(f"n_{d}") for d in domains])
     n = sum((F.col(f"n_{d}") for d in domains[1:]), F.col(f"n_{domains[0]}"))
     all_rows = sum(sizes.values())
