@@ -77,4 +77,4 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mcd_outliers, op2_learned_partitions, op3_patience_licences, op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op7_line_alignment_dedup, op8_tool_calls, op9_soft_mixing, op10_minhash_near_dedup)}
 
-ORACLES: dict[str, str] = {"op8_tool_calls": oracle.TOOL_CALLS}
+ORACLES: dict[str, str] = {"op8_tool_calls": oracle.TOOL_CALLS, "op10_minhash_near_dedup": oracle.NEAR_DUPLICATES}
