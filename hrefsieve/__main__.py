@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from hrefsieve.params import CLI_MAX_PAGES, CLI_MAX_SITEMAPS, INPUT_NAME, REPORT_NAME, AuditParams
 from hrefsieve.plans.jobs import audit, check_page, write_audit, write_check
+from hrefsieve.session import remove_scratch
 from hrefsieve.sinks.writers import run_folder, run_stamp
 from hrefsieve.sources.inputs import read_inputs
 from hrefsieve.sources.landed import landed_pages, one_page, read_landed
@@ -63,7 +64,10 @@ def run(spark: SparkSession, argv: list[str] | None = None, stamp: str | None =
 
 def main() -> None:
     spark = SparkSession.builder.appName("hrefsieve").getOrCreate()
-    print(run(spark))
+    try:
+        print(run(spark))
+    finally:
+        remove_scratch(spark)
     spark.stop()
 
 

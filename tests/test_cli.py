@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 
 from hrefsieve.__main__ import RAW, run
 from tests.test_discovery import SITE, docs_of
@@ -33,3 +34,8 @@ def test_command_line_runs(spark, tmp_path):
 
     check = run(spark, common + ["--test-url", "https://h.com/1", "--no-body"], "S3")
     assert read_csv(f"{check}/test_results_S3.csv") == [["queried_url", "found", "match_count", "match_page_1"], ["target.example", "false", "0", ""], ["absent.example", "false", "0", ""]]
+
+    from hrefsieve.session import checkpoint_dir, remove_scratch
+
+    remove_scratch(spark)
+    assert not [x for x in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if re.search("-[0-9a-f]{32}$", x)]
