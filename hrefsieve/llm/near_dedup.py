@@ -30,7 +30,7 @@ CHECKED = 64
 ALL_DISTANCE = 44
 #: keys of at least so many members are compared on their sets at once, in blocks of at
 #: most about so many rows and shingles
-HEAVY, BLOCK, BLOCK_SHINGLES = 64, 1024, 1 << 20
+HEAVY, BLOCK, BLOCK_SHINGLES = 64, 2048, 1 << 20
 #: rounds of comparing a key's members with one of them, before all that is left
 MASKS = (0, -1)
 MEMO = 200_000
