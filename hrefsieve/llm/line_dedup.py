@@ -1,7 +1,8 @@
-"""Line dedup by pairwise alignment: common blocks go from the later document.
+"""Line dedup: blocks that two documents have in common go from the later one.
 
-Documents meet through rare line hashes, are aligned with a patience diff on all their
-lines, and what is aligned in runs is deleted from the later one.
+Blocks are runs of equal lines, found through hashes of short windows of lines. All
+pairs aligned with a patience diff (``common_blocks``) are what this is tested against:
+blocks out of order or repeated within a document go as well.
 """
 
 from __future__ import annotations
@@ -16,28 +17,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrefsieve.llm.tables import cut, fits, free_name, slices
+from hrefsieve.llm.tables import cut, fits, free_name, slices, words_of
 
-#: words that a line needs to bring documents together, and that a block needs to be deleted
-LINE_WORDS = 5
+#: words that a block needs to be deleted
 BLOCK_WORDS = 5
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes and the number of words of each line of a text."""
-    longs = pa.list_(pa.int64())
+#: modulus and factor of the keys of windows, a polynomial in the hashes of their lines
+PRIME = (1 << 127) - 1
+FACTOR = 0x5A8279996ED9EBA18F1BBCDCCA62C1D6
+_POWERS = [1]
+
+
+def windows(lines: list[bytes], least: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
+    """(key, start, stop) of the shortest runs of at least ``least`` words from and up to each line.
+
+    Equal runs have equal keys. Time and rows are linear in lines, whatever blank lines
+    lie between words.
+    """
+    sums, hashes = [0], [0]
+    for x in lines:
+        sums.append(sums[-1] + len(x.split()))
+        hashes.append((hashes[-1] * FACTOR + xxhash.xxh3_128_intdigest(x)) % PRIME)
+    while len(_POWERS) < len(hashes):
+        _POWERS.append(_POWERS[-1] * FACTOR % PRIME)
+    places, start, stop = set(), 0, 0
+    for i in range(len(lines)):
+        while stop < len(lines) and sums[stop] - sums[i] < least:
+            stop += 1
+        if sums[stop] - sums[i] >= least:
+            places.add((i, stop))
+        while sums[i + 1] - sums[start + 1] >= least:
+            start += 1
+        if sums[i + 1] - sums[start] >= least:
+            places.add((start, i + 1))
+    return [((hashes[j] - hashes[i] * _POWERS[j - i]) % PRIME, i, j) for i, j in places]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each text, one row for each."""
     for batch in slices(batches):
-        hashes, checks, words = [], [], []
-        for text in batch.column("text"):
-            lines = (text.as_py() or b"").split(b"\n")
-            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
-            hashes.append(digests[:, 0])
-            checks.append(digests[:, 1])
-            words.append([len(x.split()) for x in lines])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("version"), pa.array(hashes, longs), pa.array(checks, longs), pa.array(words, pa.list_(pa.int32()))],
-            names=["doc_id", "version", "hashes", "checks", "words"],
-        )
+        at, keys, starts, stops = [], [], [], []
+        for k, text in enumerate(batch.column("text")):
+            found = windows(text.as_py().split(b"\n"))
+            at += [k] * len(found)
+            keys += [key.to_bytes(16, "big") for key, _, _ in found]
+            starts += [i for _, i, _ in found]
+            stops += [j for _, _, j in found]
+        rows = batch.select(["doc_id", "version"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["doc_id", "version", "key", "start", "stop"])
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -106,52 +134,37 @@ def common_blocks(earlier: list, later: list, words: list[int], least: int = BLO
     return out
 
 
-def _deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines to delete of the later document of each pair."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, 128):
-            batch = whole.slice(start, 128)
-            items = lambda x: [list(zip(h, c, strict=True)) for h, c in zip(batch.column(f"hashes{x}").to_pylist(), batch.column(f"checks{x}").to_pylist(), strict=True)]  # noqa: E731, B023
-            lines = [common_blocks(e, d, w) for e, d, w in zip(items("_e"), items(""), batch.column("words").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(lines, pa.list_(pa.int32()))], names=["doc_id", "version", "lines"])
-
-
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mask of the lines that lie in a window of the list, up to the last such line."""
     for batch in batches:
-        masks, removed = [], []
-        for lines, words in zip(batch.column("lines").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            mask = np.zeros(len(words), bool)
-            mask[lines] = True
-            masks.append(mask.tolist())
-            removed.append(int(np.array(words)[mask].sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(masks, pa.list_(pa.bool_())), pa.array(removed, pa.int64())], names=["doc_id", "version", "mask", "removed"])
+        masks = []
+        for windows in batch.column("windows").to_pylist():
+            mask = np.zeros(max(w["stop"] for w in windows), bool)
+            for w in windows:
+                mask[w["start"] : w["stop"]] = True
+            masks.append(mask)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(masks, pa.list_(pa.bool_()))], names=["doc_id", "version", "mask"])
 
 
 def common_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, mask, removed) of the documents that lose lines.
-
-    Every document that holds a line of ``LINE_WORDS`` words or more is paired with the
-    first document that holds it. The rarest lines give pairs of their own; for a line
-    that very many hold this makes one pair per holder instead of one per two holders,
-    and loses nothing: whatever line a later pair would delete, its first holder deletes
-    already. The first holder of a line always keeps it.
+    """(doc_id, version, mask) of the documents that lose lines.
+
+    A line goes if it lies in a block, that is consecutive lines of ``BLOCK_WORDS`` words
+    or more together, that an earlier document holds too, wherever in it and however
+    often. Documents meet at windows, the shortest such runs from and up to each line:
+    every line of a common block lies in a window within the block. So each window has
+    one first holder and all others lose its lines, which is linear in lines however many
+    documents hold a window, and deletes whatever any alignment of any two documents
+    (``common_blocks``) would. The first holder of a window keeps it.
     """
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), text.cast("binary").alias("text"))
-    sequences = cut(keyed.mapInArrow(_sequences, "doc_id long, version long, hashes array<long>, checks array<long>, words array<int>").distinct(), "sequences")
-    lines = sequences.select("doc_id", "version", F.explode(F.arrays_zip("hashes", "words")).alias("line"))
-    lines = cut(lines.where(F.col("line.words") >= LINE_WORDS).select(F.col("line.hashes").alias("hash"), "doc_id", "version"), "lines")
+    keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
+    windows = cut(keyed.mapInArrow(_windows, "doc_id long, version long, key binary, start int, stop int"), "windows")
     holder = F.struct("doc_id", "version")
-    firsts = lines.groupBy("hash").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first < last")
-    firsts = cut(firsts.select("hash", F.col("first.doc_id").alias("e"), F.col("first.version").alias("ev")), "firsts")
-    pairs = lines.join(firsts, "hash").where("doc_id != e or version != ev").select("doc_id", "version", "e", "ev").distinct()
-    pairs = cut(pairs, "pairs")
-    earlier = sequences.select(F.col("doc_id").alias("e"), F.col("version").alias("ev"), F.col("hashes").alias("hashes_e"), F.col("checks").alias("checks_e"))
-    both = pairs.join(earlier, ["e", "ev"]).join(sequences, ["doc_id", "version"])
-    deleted = cut(both.mapInArrow(_deleted, "doc_id long, version long, lines array<int>"), "deleted")
-    numbers = deleted.select("doc_id", "version", F.explode("lines").alias("line")).groupBy("doc_id", "version").agg(F.collect_set("line").alias("lines"))
-    masks = numbers.join(sequences.select("doc_id", "version", "words"), ["doc_id", "version"])
-    return cut(masks.mapInArrow(_masks, "doc_id long, version long, mask array<boolean>, removed long"), "masks")
+    firsts = windows.groupBy("key").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first < last")
+    firsts = cut(firsts.select("key", F.col("first.doc_id").alias("e"), F.col("first.version").alias("ev")), "firsts")
+    later = windows.join(firsts, "key").where("doc_id != e or version != ev")
+    masks = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("windows"))
+    return cut(masks.mapInArrow(_masks, "doc_id long, version long, mask array<boolean>"), "masks")
 
 
 def without_common_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
@@ -164,15 +177,18 @@ def without_common_lines(docs: DataFrame, removed: str | None = None) -> DataFra
     words deleted. Texts don't shuffle while the list of deletions fits in a broadcast.
     """
     masks = common_lines(docs)
-    doc, version, mask, words = (free_name(docs, f"_dedup_{x}") for x in ("doc", "version", "mask", "words"))
-    masks = masks.select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("mask").alias(mask), F.col("removed").alias(words))
+    doc, version, mask = (free_name(docs, f"_dedup_{x}") for x in ("doc", "version", "mask"))
+    masks = masks.select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("mask").alias(mask))
     masks = F.broadcast(masks) if fits(masks) else masks
     joined = docs.join(masks, (docs["doc_id"] == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(version)), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.get(F.col(mask), i))
+    lines = F.split("text", "\n", -1)
+    goes = lambda i: F.coalesce(F.get(F.col(mask), i), F.lit(False))
+    kept = F.filter(lines, lambda _, i: ~goes(i))
     text = F.when(F.col(mask).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
     columns = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if removed:
-        columns.append(F.coalesce(words, F.lit(0)).alias(removed))
+        gone = F.size(words_of(F.array_join(F.filter(lines, lambda _, i: goes(i)), "\n"))).cast("long")
+        columns.append(F.when(F.col(mask).isNull(), F.lit(0).cast("long")).otherwise(gone).alias(removed))
     return joined.select(*columns)
 
 

@@ -107,6 +107,48 @@ def test_line_dedup(docs, no_docs, texts):
     assert line_dedup.report(no_docs).count() == 0
 
 
+def all_pairs(rows):
+    """What aligning each text with every earlier one deletes, and all lines in blocks of any earlier text."""
+    aligned, blocks = {i: set() for i, _ in rows}, {i: set() for i, _ in rows}
+    for later, text in rows:
+        d = text.split("\n")
+        for _, other in rows[:later]:
+            e = other.split("\n")
+            aligned[later].update(line_dedup.common_blocks(e, d, [len(x.split()) for x in d]))
+            for i in range(len(e)):
+                for j in range(len(d)):
+                    n = 0
+                    while i + n < len(e) and j + n < len(d) and e[i + n] == d[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in d[j : j + n]) >= line_dedup.BLOCK_WORDS:
+                        blocks[later].update(range(j, j + n))
+    return aligned, blocks
+
+
+def deleted_lines(spark, rows):
+    masks = line_dedup.common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {i: set() for i, _ in rows} | {r.doc_id: {k for k, x in enumerate(r.mask) if x} for r in masks}
+
+
+def test_line_dedup_deletes_what_all_pairs_do(spark):
+    """Passages that their first holder repeats, in other orders, and at random."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    r = random.Random(4)
+    p, x, y = (prose(300 + k, 12) for k in range(3))
+    made = [[p, "own", p]] + [[f"u{k}", p, f"v{k}"] for k in range(5)] + [[x, y]] + [[f"s{k}", y, x, f"t{k}"] for k in range(4)]
+    pool = [p, x, y, "", "one", "two words", "now three words", prose(310, 5), prose(311, 6)]
+    made += [[r.choice(pool) for _ in range(r.randint(1, 9))] for _ in range(40)]
+    rows = list(enumerate("\n".join(m) for m in made))
+    got = deleted_lines(spark, rows)
+    aligned, blocks = all_pairs(rows)
+    assert all(aligned[i] <= got[i] for i, _ in rows)
+    assert got == blocks
+    assert all(got[i] == {1} for i in range(1, 6)) and all(got[i] == {1, 2} for i in range(7, 11))
+
+
 def test_quality_counts(docs, no_docs, texts):
     rows = outliers.score(docs).collect()
     want = Counter()
