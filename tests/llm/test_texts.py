@@ -149,6 +149,34 @@ def test_line_dedup_deletes_what_all_pairs_do(spark):
     assert all(got[i] == {1} for i in range(1, 6)) and all(got[i] == {1, 2} for i in range(7, 11))
 
 
+def test_line_dedup_of_blocks_of_short_lines(spark):
+    """Verse and lists, no line of which has five words; empty lines within."""
+    from tests.llm.conftest import prose
+
+    words = prose(320, 60).split()
+    verse = [" ".join(words[k : k + 4]) for k in range(0, 60, 4)]
+    items = ["one", "", "two", "", "three", "four", "five"]
+    made = [["first", *verse, "end"], ["other", *verse, "last"], ["x", *items, "y"], ["z", *items, "w"], ["one", "", "two", "", "three", "four"]]
+    rows = list(enumerate("\n".join(m) for m in made))
+    got = deleted_lines(spark, rows)
+    assert got == {0: set(), 1: set(range(1, 16)), 2: set(), 3: set(range(1, 8)), 4: set()}
+    assert got == all_pairs(rows)[1]
+
+
+@given(st.lists(st.sampled_from(["", "a", "b c", "d e f g h", "i j k l"]), max_size=12))
+def test_windows_are_shortest_runs(lines):
+    n, words = len(lines), [len(x.split()) for x in lines]
+    least = line_dedup.BLOCK_WORDS
+    runs = {(i, j) for i in range(n) for j in range(i + 1, n + 1) if sum(words[i:j]) >= least}
+    want = {(i, j) for i, j in runs if (i, j - 1) not in runs or (i + 1, j) not in runs}
+    found = line_dedup.windows([x.encode() for x in lines])
+    assert {(i, j) for _, i, j in found} == want
+    keys = {}
+    for key, i, j in found:
+        assert keys.setdefault(key, lines[i:j]) == lines[i:j]
+    assert len(keys) == len({tuple(lines[i:j]) for i, j in want})
+
+
 def test_quality_counts(docs, no_docs, texts):
     rows = outliers.score(docs).collect()
     want = Counter()
