@@ -6,7 +6,7 @@ indexed ones are split into ``CHUNKS``. If two signatures differ in fewer than
 (pigeonhole); so each chunk gives one key for every choice of ``ERRORS`` left-out
 symbols, and every pair within the distance shares a key. A pair of similarity 0.8
 exceeds that distance with a probability near 1e-6, and the looser bound on all symbols
-with less than that; what passes is confirmed on the full sets.
+with 2e-7; what passes is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from hrefsieve.llm.tables import cut, free_name, runs, slices, small
 
 INDEXED, CHUNKS, ERRORS = 64, 15, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: further symbols, only to turn candidates away: mean and four deviations at similarity 0.8
+#: further symbols, only to turn candidates away: mean and over five deviations at similarity
+#: 0.8, so that fewer pairs are lost than by the index
 CHECKED = 64
-ALL_DISTANCE = 44
+ALL_DISTANCE = 50
 #: keys of at least so many members are compared on their sets at once, in blocks of at
 #: most about so many rows and shingles
 HEAVY, BLOCK, BLOCK_SHINGLES = 64, 2048, 1 << 20

@@ -83,6 +83,14 @@ def test_signature_distance_finds_all_keys():
         assert any(not differ.intersection(p) for p in near_dedup.PROBES)
 
 
+def test_bound_on_all_symbols_loses_less_than_the_index():
+    """Symbols of a pair of similarity 0.8 differ with a probability of 0.2 each."""
+    from math import comb
+
+    beyond = lambda n, k: sum(comb(n, j) * 0.2**j * 0.8 ** (n - j) for j in range(k + 1, n + 1))
+    assert beyond(near_dedup.INDEXED + near_dedup.CHECKED, near_dedup.ALL_DISTANCE) < beyond(near_dedup.INDEXED, near_dedup.DISTANCE)
+
+
 LINES = st.lists(st.sampled_from("abcdefgh"), max_size=14)
 
 
