@@ -66,3 +66,29 @@ reach(doc_id, root) AS (
 SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, r.root AS component_id, w.doc_id = r.root AS kept
 FROM words w LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) r USING (doc_id)
 """
+
+JACCARD_JOIN = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, sh FROM (
+        SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                                   ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM words)
+),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id < b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM words
+    UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.doc_id
+)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, r.root AS component_id
+FROM words w LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) r USING (doc_id)
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefsieve.llm import bpe, licences, line_dedup, mixing, near_dedup, neighbours, oracle, outliers, sharding, tool_calls, toxicity
+from hrefsieve.llm import bpe, conversations, jaccard_join, licences, line_dedup, mixing, near_dedup, neighbours, oracle, outliers, sharding, tool_calls, toxicity, whitening
 from hrefsieve.llm.tables import table
 
 #: the tokenizer file of the encoding query
@@ -75,6 +75,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mcd_outliers, op2_learned_partitions, op3_patience_licences, op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op7_line_alignment_dedup, op8_tool_calls, op9_soft_mixing, op10_minhash_near_dedup)}
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents by three-word shingles of a similarity of 0.9."""
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op8_tool_calls": oracle.TOOL_CALLS, "op10_minhash_near_dedup": oracle.NEAR_DUPLICATES}
+
+def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight leading whitened components of all vectors."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("residual")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mcd_outliers, op2_learned_partitions, op3_patience_licences, op4_bpe_speculate_verify, op5_toxicity_neighbours, op6_byte_shards, op7_line_alignment_dedup, op8_tool_calls, op9_soft_mixing, op10_minhash_near_dedup, op11_jaccard_join, op12_chebyshev_whitening, op13_conversation_repair)}
+
+ORACLES: dict[str, str] = {"op8_tool_calls": oracle.TOOL_CALLS, "op10_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op11_jaccard_join": oracle.JACCARD_JOIN}
