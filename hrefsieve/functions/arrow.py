@@ -108,7 +108,8 @@ def dom_links(url: Column, text: Column, keep_empty: bool = False) -> Column:
     the parser.
     """
     parse = _dom_links_all if keep_empty else _dom_links
-    found = parse(url, F.when(text.rlike("<[aA]"), text))
+    # marked non-deterministic so that looking for empty lists doesn't parse a page twice
+    found = parse.asNondeterministic()(url, F.when(text.rlike("<[aA]"), text))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 

@@ -6,24 +6,29 @@ Three strategies give the same rows:
                handful of patterns, nothing leaves the JVM.
 ``automaton``  a measured, bounded pattern list is broadcast and every text is read
                once through an Aho-Corasick automaton. Texts never shuffle.
-``windows``    pattern lists of any size. Only a bitmap of bounded size is broadcast;
-               it picks the substrings of each text that may be patterns, and an
-               equi-join with the pattern table decides. Texts never shuffle, only
-               those substrings do.
+``windows``    pattern lists of any size. Every pattern is anchored on its rarest gram; a
+               Bloom filter of bounded size holds anchors, where they lie in a pattern,
+               how long it is, and whole patterns, each under several slots. It picks
+               substrings of each text, and an equi-join with the pattern table decides.
+               Texts never shuffle, only those substrings do. A list that would overfill
+               the filter is searched in several passes, each for a share of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hrefsieve.functions.arrow import STRINGS
-from hrefsieve.session import cut
+from hrefsieve.operators.bloom import KEY_BITS, MIN_BITS, SLOTS, all_set, bitmap_of
+from hrefsieve.session import cut, join_small
 
 try:
     import ahocorasick
@@ -32,10 +37,17 @@ except ImportError:  # the window strategy needs no library
 
 NATIVE_PATTERNS = 32
 AUTOMATON_CHARS = 8_000_000  # at most some 400 MB per Python worker
-PREFIX = 6
-MIN_BITS, MAX_BITS = 16, 28
+GRAM = 6
+#: largest filter of a pass, 64 MiB: room for 8 million patterns
+MAX_BITS = 29
+#: keys of a pattern: its anchor, with the place in the pattern, with place and length, the whole
+KEYS = 4
+#: grams are counted in so many slots, a megabyte or two, whatever the list
+COUNT_BITS = 18
+#: texts looked at to see which grams are common, and characters of each. They only choose anchors
+SAMPLE_TEXTS, SAMPLE_CHARS = 256, 1 << 15
 PIECE = 1 << 17  # bytes of text hashed at a time; the arrays for it stay in the cache
-BUCKET = 32_768  # bits per bitmap_construct_agg value
+CELLS = 1 << 18  # places tested at a time
 
 # Arithmetic modulo 2**64: an odd base has an inverse, so every window of a text gets
 # its hash from one running sum.
@@ -44,7 +56,22 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-Matcher = Callable[[DataFrame, str, str], DataFrame]
+class Matcher:
+    """A prepared pattern list. ``passes`` are functions of a text column, each of which gives
+    an array of what may be patterns in a text; a pass reads every text once. ``settled``
+    turns rows (key, found) of all passes into rows (key, pattern)."""
+
+    def __init__(self, passes: list[Callable[[Column], Column]], settle: Callable[[DataFrame], DataFrame] | None = None):
+        self.passes, self._settle = passes, settle
+
+    def settled(self, rows: DataFrame) -> DataFrame:
+        return self._settle(rows) if self._settle else rows.withColumnRenamed("found", "pattern")
+
+    def __call__(self, texts: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, pattern) for every pattern contained in a text."""
+        # an array from Python is bound before it is exploded: else it would be made twice, to see if it is empty
+        found = [texts.select(key, one(F.col(text)).alias("all")).select(key, F.explode("all").alias("found")) for one in self.passes]
+        return self.settled(reduce(DataFrame.unionByName, found))
 
 
 def _collected(patterns: DataFrame) -> list[str]:
@@ -52,13 +79,8 @@ def _collected(patterns: DataFrame) -> list[str]:
 
 
 def _native(patterns: list[str]) -> Matcher:
-    def match(texts: DataFrame, key: str, text: str) -> DataFrame:
-        if not patterns:
-            return texts.select(key, F.lit("").alias("pattern")).limit(0)
-        hits = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(F.col(text), p))
-        return texts.select(key, F.explode(hits).alias("pattern"))
-
-    return match
+    listed = F.array(*[F.lit(p) for p in patterns]).cast("array<string>")
+    return Matcher([lambda text: F.filter(listed, lambda p: F.contains(text, p))])
 
 
 def _automaton(spark: SparkSession, patterns: list[str]) -> Matcher:
@@ -78,11 +100,7 @@ def _automaton(spark: SparkSession, patterns: list[str]) -> Matcher:
         found = [list({p for _, p in walk(t)}) if t else [] for t in column.to_pylist()]
         return pa.array(found, pa.list_(pa.string()))
 
-    def match(texts: DataFrame, key: str, text: str) -> DataFrame:
-        hits = F.arrow_udf(search, STRINGS)(F.col(text))
-        return texts.select(key, F.explode(hits).alias("pattern"))
-
-    return match
+    return Matcher([F.arrow_udf(search, STRINGS).asNondeterministic()])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +116,25 @@ def _running_sums(data: np.ndarray, powers: np.ndarray) -> np.ndarray:
     return sums
 
 
-def _slots(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, length: int | np.ndarray, bits: int) -> np.ndarray:
-    """Bitmap slots of the windows that start at ``at``."""
-    window = (sums[at + length] - sums[at]) * inverse[at]
-    mixed = (window ^ (window >> np.uint64(29)) ^ np.asarray(length, np.uint64)) * _MIX
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    h = (h ^ (h >> np.uint64(29))) * _BASE
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashes(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    """Hashes of the windows that start at ``at``."""
+    return _mixed((sums[at + length] - sums[at]) * inverse[at] + np.asarray(length, np.uint64))
+
+
+def _key(kind: int, h: np.ndarray, offset: np.ndarray | int = 0, length: np.ndarray | int = 0) -> np.ndarray:
+    """The keys of a pattern: kind 0 anchors, 1 with their offset, 2 and the length too, 3 whole patterns."""
+    place = (np.asarray(offset, np.uint64) << np.uint64(32)) + np.asarray(length, np.uint64) + np.uint64(kind + 1) * _BASE
+    return _mixed(h ^ _mixed(place))
+
+
+def _step(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(32)) | np.uint64(1)
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,36 +145,137 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8), offsets
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _pattern_slots(column: pa.Array) -> pa.Array:
-    """Slots of the prefix and of the whole of each pattern, in the largest bitmap."""
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Places, rows and hashes of all grams of a column, and the running sums. Shorter values are one gram."""
     data, offsets = _bytes_of(column)
-    data = data[offsets[0]:offsets[-1]]
+    data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
     powers, inverse = _powers(len(data))
     sums = _running_sums(data, powers)
-    at, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
-    prefix = _slots(sums, inverse, at, np.minimum(lengths, PREFIX), MAX_BITS)
-    whole = _slots(sums, inverse, at, lengths, MAX_BITS)
-    return pa.array(np.stack([prefix, whole], axis=1).tolist(), pa.list_(pa.int64()))
+    lengths = np.diff(offsets)
+    count = np.where(lengths >= GRAM, lengths - GRAM + 1, np.minimum(lengths, 1))
+    rows = np.repeat(np.arange(len(lengths)), count)
+    within = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+    at = offsets[rows] + within
+    return within, rows, _hashes(sums, inverse, at, np.minimum(lengths[rows], GRAM)), (sums, inverse, offsets, lengths)
 
 
-def _set_slots(data: np.ndarray, ends: np.ndarray, factors, lengths: list[int], prefixes: np.ndarray, wholes: np.ndarray, bits: int):
-    """(position, length) of the substrings whose slots are set. ``ends`` are the text ends."""
-    powers, inverse = factors
-    sums = _running_sums(data, powers)
-    room = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(data))  # bytes left in the text
+def _count_slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _gram_slots(column: pa.Array) -> pa.Array:
+    """The slots in which each value's distinct grams are counted."""
+    _, rows, h, _ = _grams(column)
+    found = np.unique((rows << COUNT_BITS) + _count_slot(h))
+    counts = np.bincount(found >> COUNT_BITS, minlength=len(column))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array((found & ((1 << COUNT_BITS) - 1)).astype(np.int32)))
 
-    def kept(bitmap: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-        at = at[room[at] >= width]
-        slots = _slots(sums, inverse, at, width, bits)
-        return at[(bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1]
 
-    everywhere = np.arange(len(data))
-    starts = kept(prefixes, everywhere, PREFIX)
-    for length in lengths:
-        begin = starts if length >= PREFIX else kept(prefixes, everywhere, length)
-        for at in kept(wholes, begin, length).tolist():
-            yield at, length
+def _gram_counts(patterns: DataFrame, sample: DataFrame | None, text: str) -> np.ndarray:
+    """How common the grams of each slot are: in some texts, if there are any, then among the patterns.
+
+    At most ``2**COUNT_BITS`` counts are collected. The sample is the first texts at hand;
+    it decides where to look for a pattern, not what is found.
+    """
+    slots = patterns.select(F.explode(_gram_slots.asNondeterministic()("raw")).alias("slot"))
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    for r in slots.groupBy("slot").count().collect():
+        counts[r["slot"]] = min(r["count"], (1 << 20) - 1)
+    if sample is not None:
+        start = F.substring(F.col(text).cast("binary"), 1, SAMPLE_CHARS)
+        for r in sample.select(_gram_slots(start).alias("slots")).head(SAMPLE_TEXTS):
+            np.add.at(counts, np.array(r["slots"], np.int64), 1 << 20)
+    return counts
+
+
+ANCHORED = "struct<offset: int, keys: array<bigint>>"
+
+
+def _anchored(counts: Broadcast) -> Callable[[Column], Column]:
+    """A function that gives the place of a pattern's rarest gram, the first of several, and the pattern's keys."""
+
+    @F.arrow_udf(ANCHORED)
+    def anchored(column: pa.Array) -> pa.Array:
+        within, rows, h, (sums, inverse, offsets, lengths) = _grams(column)
+        rank = (counts.value[_count_slot(h)] << 28) + np.minimum(within, (1 << 28) - 1)
+        order = np.lexsort((rank, rows))
+        first = order[np.searchsorted(rows[order], np.arange(len(lengths)))]  # patterns are not empty
+        gram, offset = h[first], within[first]
+        whole = _hashes(sums, inverse, offsets[:-1], lengths)
+        keys = np.stack([_key(0, gram), _key(1, gram, offset), _key(2, gram, offset, lengths), _key(3, whole)], axis=1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1) * KEYS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array(offset, pa.int32()), lists], names=["offset", "keys"])
+
+    return anchored.asNondeterministic()
+
+
+def _slots_of(bits: int) -> Callable[[Column], Column]:
+    """A function that gives the slots of keys in a filter."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def slots(column: pa.Array) -> pa.Array:
+        keys = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        each = (keys[:, None] + np.arange(SLOTS, dtype=np.uint64) * _step(keys)[:, None]) & np.uint64((1 << bits) - 1)
+        ends = np.arange(len(column) + 1) * KEYS * SLOTS
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(each.ravel().view(np.int64)))
+
+    return slots.asNondeterministic()
+
+
+class _Filter:
+    """What a pass looks for: the filter, and which offsets and lengths occur."""
+
+    def __init__(self, bitmap: np.ndarray, bits: int, places: list[tuple[int, int]]):
+        self.bitmap, self.bits = bitmap, bits
+        self.longest = max(length for _, length in places)
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in {min(length, GRAM) for _, length in places}:
+            mine = [(o, n) for o, n in places if min(n, GRAM) == width]
+            self.by_width[width] = np.array(sorted({o for o, _ in mine})), np.array(sorted({n for _, n in mine}))
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        return all_set(self.bitmap, keys, _step(keys), self.bits)
+
+    def _with(self, kind: int, values: np.ndarray, h: np.ndarray, offset: np.ndarray | None, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and values, an offset or a length, for which a key is there and the text has room."""
+        rows, found = [], []
+        step = max(1, CELLS // len(values))
+        for low in range(0, len(h), step):
+            r, v = (x.ravel() for x in np.meshgrid(np.arange(low, min(low + step, len(h))), np.arange(len(values)), indexing="ij"))
+            r, v = r[values[v] <= room[r]], values[v[values[v] <= room[r]]]
+            good = self.holds(_key(kind, h[r], v if offset is None else offset[r], 0 if offset is None else v))
+            rows.append(r[good])
+            found.append(v[good])
+        return np.concatenate(rows), np.concatenate(found)
+
+    def substrings(self, data: np.ndarray, ends: np.ndarray, factors: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(start, length) of the substrings that may be patterns. ``ends`` are the text ends."""
+        inverse = factors[1]
+        sums = _running_sums(data, factors[0])
+        sizes = np.diff(ends, prepend=0)
+        after = np.repeat(ends, sizes) - np.arange(len(data))  # bytes left in the text
+        before = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+        starts, lengths = [], []
+        for width, (offsets, sizes_of) in self.by_width.items():
+            at = np.flatnonzero(after >= width)
+            h = _hashes(sums, inverse, at, width)
+            keep = self.holds(_key(0, h))
+            at, h = at[keep], h[keep]
+            if not len(at):
+                continue
+            row, offset = self._with(1, offsets, h, None, before[at])
+            if not len(row):
+                continue
+            start, gram = at[row] - offset, h[row]
+            row, length = self._with(2, sizes_of, gram, offset, after[start])
+            start = start[row]
+            if len(start):
+                good = self.holds(_key(3, _hashes(sums, inverse, start, length)))
+                starts.append(start[good])
+                lengths.append(length[good])
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *starts]), np.concatenate([none, *lengths])
 
 
 def _pieces(offsets: np.ndarray, overlap: int):
@@ -164,68 +297,67 @@ def _pieces(offsets: np.ndarray, overlap: int):
             row += 1
 
 
-def _candidates(column: pa.Array, lengths: list[int], prefixes: np.ndarray, wholes: np.ndarray, bits: int) -> list[list[bytes]]:
-    """Per text of a batch, its distinct substrings whose slots are set."""
+def _candidates(column: pa.Array, wanted: _Filter) -> list[list[bytes]]:
+    """Per text of a batch, its distinct substrings that pass the filter."""
     data, offsets = _bytes_of(column)
     found = [set() for _ in range(len(column))]
-    factors = _powers(min(len(data), PIECE + lengths[-1]))
-    for low, ends, first_row in _pieces(offsets, lengths[-1]):
+    factors = _powers(min(len(data), PIECE + wanted.longest))
+    for low, ends, first_row in _pieces(offsets, wanted.longest):
         stretch = data[low:int(ends[-1])]
         if not len(stretch):
             continue
         inner = ends - low
-        for at, length in _set_slots(stretch, inner, factors, lengths, prefixes, wholes, bits):
-            row = first_row + int(np.searchsorted(inner, at, "right"))
-            found[row].add(stretch[at:at + length].tobytes())
+        starts, lengths = wanted.substrings(stretch, inner, factors)
+        rows = first_row + np.searchsorted(inner, starts, "right")
+        for row, start, length in zip(rows.tolist(), starts.tolist(), lengths.tolist(), strict=True):
+            found[row].add(stretch[start:start + length].tobytes())
     return [list(f) for f in found]
 
 
-def _bitmaps(table: DataFrame, bits: int) -> list[np.ndarray]:
-    """Two bitmaps of 2**bits bits, whatever the rows: slots of prefixes and of wholes."""
-    slot = F.shiftright("slot", MAX_BITS - bits)
-    parts = (
-        table.select(F.posexplode("slots").alias("which", "slot"))
-        .groupBy("which", (slot / BUCKET).cast("long").alias("bucket"))
-        .agg(F.bitmap_construct_agg(slot % BUCKET).alias("bitmap"))
-    )
-    out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-    for row in parts.collect():
-        at = row["bucket"] * (BUCKET // 8)
-        whole = out[row["which"]]
-        part = np.frombuffer(bytes(row["bitmap"]), np.uint8)[: len(whole) - at]
-        whole[at:at + len(part)] = part
-    return out
-
-
-def _windows(patterns: DataFrame, bits: int | None) -> Matcher:
-    raw = F.col("pattern").cast("binary")
-    table = cut(patterns.select("pattern").distinct().select("pattern", raw.alias("raw"), _pattern_slots(raw).alias("slots")), "patterns")
-    # one value per distinct length: never more than the longest pattern has bytes
-    size = table.agg(F.count("*").alias("n"), F.collect_set(F.octet_length("raw")).alias("lengths")).first()
-    if size["n"] == 0:
+def _windows(patterns: DataFrame, most: int, sample: DataFrame | None, text: str) -> Matcher:
+    spark = patterns.sparkSession
+    listed = cut(patterns.select("pattern").distinct().select("pattern", F.col("pattern").cast("binary").alias("raw")), "patterns")
+    n = listed.count()
+    if n == 0:
         return _native([])
-    if bits is None:
-        # 16 bits per pattern while that stays within the largest bitmap
-        bits = min(MAX_BITS, max(MIN_BITS, (16 * size["n"]).bit_length()))
-    prefixes, wholes = _bitmaps(table, bits)
-    shared = patterns.sparkSession.sparkContext.broadcast((sorted(size["lengths"]), prefixes, wholes, bits))
+    counts = spark.sparkContext.broadcast(_gram_counts(listed, sample, text))
+    shares = -(-n * KEYS * KEY_BITS >> most)
+    table = listed.withColumn("a", _anchored(counts)("raw")).select("pattern", "raw", "a.offset", "a.keys", F.pmod(F.xxhash64("raw"), F.lit(shares)).cast("int").alias("share"))
+    table = cut(table, "anchored")
+    passes = []
+    for share in range(shares):
+        mine = table.where(F.col("share") == share)
+        # distinct places: the longest pattern's length squared at most, mostly some thousands
+        row = mine.agg(F.count("*").alias("n"), F.collect_set(F.struct("offset", F.octet_length("raw").alias("length"))).alias("places")).first()
+        if not row["n"]:
+            continue
+        bits = min(most, max(MIN_BITS if most >= MIN_BITS else most, (KEYS * KEY_BITS * row["n"] - 1).bit_length()))
+        bitmap = bitmap_of(mine.select(F.explode(_slots_of(bits)("keys")).alias("slot")), bits)
+        passes.append(_searcher(spark.sparkContext.broadcast(_Filter(bitmap, bits, [(p["offset"], p["length"]) for p in row["places"]]))))
 
-    def search(column: pa.Array) -> pa.Array:
-        return pa.array(_candidates(column, *shared.value), pa.list_(pa.binary()))
+    def settle(rows: DataFrame) -> DataFrame:
+        """Substrings that are patterns. One found in most texts is looked up once and joined without meeting in one task."""
+        rows = cut(rows, "candidates")
+        real = table.select("raw", "pattern").join(rows.select(F.col("found").alias("raw")).distinct(), "raw", "left_semi")
+        return join_small(rows.withColumnRenamed("found", "raw"), real, "raw").drop("raw")
+
+    return Matcher(passes, settle)
 
-    def match(texts: DataFrame, key: str, text: str) -> DataFrame:
-        hits = F.arrow_udf(search, T.ArrayType(T.BinaryType()))(F.col(text).cast("binary"))
-        candidates = texts.select(key, F.explode(hits).alias("raw"))
-        # plain scans on both sides, so adaptive execution can split a pattern found everywhere
-        return candidates.join(table.select("raw", "pattern"), "raw").select(key, "pattern")
 
-    return match
+def _searcher(shared: Broadcast) -> Callable[[Column], Column]:
+    def search(column: pa.Array) -> pa.Array:
+        return pa.array(_candidates(column, shared.value), pa.list_(pa.binary()))
+
+    udf = F.arrow_udf(search, T.ArrayType(T.BinaryType())).asNondeterministic()
+    return lambda text: udf(text.cast("binary"))
 
 
-def matcher(patterns: DataFrame, strategy: str = "auto", bits: int | None = None) -> Matcher:
+def matcher(patterns: DataFrame, strategy: str = "auto", bits: int | None = None, sample: DataFrame | None = None, text: str = "html") -> Matcher:
     """Prepare a pattern list once, for one or many sets of texts.
 
-    ``patterns`` has one column ``pattern`` of non-empty strings.
+    ``patterns`` has one column ``pattern`` of non-empty strings. For the window strategy,
+    ``bits`` bounds a pass's filter (2**bits bits), and ``sample`` is a frame whose first
+    texts (column ``text``) show which grams are common.
     """
     if strategy not in ("auto", "native", "automaton", "windows"):
         raise ValueError(f"unknown match strategy: {strategy}")
@@ -239,7 +371,7 @@ def matcher(patterns: DataFrame, strategy: str = "auto", bits: int | None = None
             few = size["n"] <= NATIVE_PATTERNS
             strategy = "native" if few else "windows" if ahocorasick is None else "automaton"
     if strategy == "windows":
-        return _windows(patterns, bits)
+        return _windows(patterns, bits or MAX_BITS, sample, text)
     listed = _collected(patterns)
     return _native(listed) if strategy == "native" else _automaton(patterns.sparkSession, listed)
 
@@ -256,4 +388,4 @@ def find_patterns(
 
     A pattern counts once per row of ``texts``.
     """
-    return matcher(patterns, strategy, bits)(texts, key, text)
+    return matcher(patterns, strategy, bits, texts, text)(texts, key, text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MIB = 1 << 20
@@ -55,6 +55,24 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str, **metrics: Column) -> dict:
+    """Write a frame and return aggregates over it that are gathered by the write itself.
+
+    ``n``, the number of rows, is always among them. They stand above everything else in
+    the plan, in the tasks that write, so a repeated stage below counts nothing twice.
+    """
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n"), *[c.alias(name) for name, c in metrics.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def cut_counted(df: DataFrame, name: str = "stage", **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates over the frame that cost no further job."""
+    path = scratch_path(df.sparkSession, name)
+    counts = write_counted(df, path, **metrics)
+    return df.sparkSession.read.schema(df.schema).parquet(path), counts
+
+
 def text_bytes(df: DataFrame) -> Column:
     """Aggregate: size of the frame written as text."""
     width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 64
@@ -72,8 +90,8 @@ def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "inner") ->
     The small side is written once, measured, and broadcast only if it fits. Otherwise
     both sides shuffle on the key, and only keys that fill many rows are spread.
     """
-    small = cut(small, "small")
-    return big.join(F.broadcast(small), on, how) if fits(small) else join_lookup(big, small, on, how)
+    small, size = cut_counted(small, "small", bytes=text_bytes(small))
+    return big.join(F.broadcast(small), on, how) if size["bytes"] <= BROADCAST_BYTES else join_lookup(big, small, on, how)
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, on: str, how: str = "inner") -> DataFrame:
