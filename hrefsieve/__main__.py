@@ -36,7 +36,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--encode-mode", default=AuditParams.encode_mode, choices=["quote", "uri"])
     p.add_argument("--no-robots", action="store_true", help="scan pages that robots.txt disallows too")
     p.add_argument("--longest-robots-match", action="store_true", help="the longest matching robots rule wins, not the first")
+    p.add_argument("--match-strategy", default=AuditParams.match_strategy, choices=["auto", "native", "automaton", "windows"])
+    p.add_argument("--min-variant-length", type=int, default=AuditParams.min_variant_length, help="shorter forms of a string are not searched")
+    p.add_argument("--quote-all", action="store_true", help="quote every field of the reports")
+    p.add_argument("--utc-stamp", action="store_true", help="name the output folder by UTC time, 20240131T235959")
     p.add_argument("--domains", nargs="*", default=list(AuditParams.domains))
+    p.add_argument("--domain-list", help="text file of domains, one per line, instead of --domains; as many as you like")
     p.add_argument("--concurrency", type=int, help="accepted and unused: pages are fetched elsewhere")
     return p
 
@@ -48,17 +53,19 @@ def run(spark: SparkSession, argv: list[str] | None = None, stamp: str | None =
         domains=tuple(args.domains), schemes=tuple(args.schemes), max_pages=args.max_pages or None, max_sitemaps=args.max_sitemaps or None,
         scan_body=not args.no_body, respect_robots=not args.no_robots, longest_robots_match=args.longest_robots_match,
         link_mode=args.link_mode, loc_mode=args.loc_mode, encode_mode=args.encode_mode,
+        match_strategy=args.match_strategy, min_variant_length=args.min_variant_length,
     )
-    stamp = stamp or run_stamp()
+    stamp = stamp or run_stamp(args.utc_stamp)
     folder = run_folder(args.output, stamp)
     pages = read_landed(spark, args.pages, RAW)
     if args.test_url:
         landed = landed_pages(one_page(pages, args.test_url))
-        write_check(check_page(read_inputs(spark, args.input), landed, args.test_url, p), folder, stamp)
+        write_check(check_page(read_inputs(spark, args.input), landed, args.test_url, p), folder, stamp, args.quote_all)
         return folder
     docs = read_landed(spark, args.docs, RAW) if args.docs else pages
     inputs = None if args.ignore_inputs else read_inputs(spark, args.input)
-    write_audit(audit(inputs, landed_pages(pages), docs, p), folder, stamp, p, args.output)
+    domains = read_inputs(spark, args.domain_list).toDF("pos", "domain") if args.domain_list else None
+    write_audit(audit(inputs, landed_pages(pages), docs, p, domains), folder, stamp, p, args.output, args.quote_all)
     return folder
 
 

@@ -29,7 +29,11 @@ def pages_per_input(variants: DataFrame, hits: DataFrame, n: int) -> DataFrame:
 
 def report(inputs: DataFrame, variants: DataFrame, hits: DataFrame, n: int = 100) -> DataFrame:
     """(input_id, queried_url, found, match_count, pages) for every input, repeats included."""
-    matched = pages_per_input(variants, hits, n)
+    return report_of(inputs, pages_per_input(variants, hits, n))
+
+
+def report_of(inputs: DataFrame, matched: DataFrame) -> DataFrame:
+    """The report from the pages (queried_url, pages) of the strings that were found."""
     pages = F.coalesce("pages", _no_pages())
     return join_lookup(inputs, matched, "queried_url", "left").select(
         "input_id",

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from hrefsieve.functions.arrow import sitemap_locs
 from hrefsieve.functions.text import JS_SPACE_CLASS, looks_like_xml, strip
 from hrefsieve.functions.urls import defragment, is_sitemap_like
-from hrefsieve.operators.domains import in_scope
-from hrefsieve.session import BROADCAST_BYTES, cut, first_rows, scratch_path, text_bytes
+from hrefsieve.operators.domains import DomainList, as_domain_list, in_scope
+from hrefsieve.session import BROADCAST_BYTES, first_rows, scratch_path, text_bytes, write_counted
 from hrefsieve.sources.landed import text_documents
 
 SITEMAP, PAGE = "sitemap", "page"
@@ -48,6 +48,7 @@ class Closure:
     sitemaps: DataFrame  # (url, depth): every sitemap looked up, landed or not
     locs: DataFrame  # (parent, kind, loc, depth)
     depth: int
+    n_sitemaps: int
 
 
 # Whatever names a location has this in its text.
@@ -61,10 +62,37 @@ def sitemap_edges(docs: DataFrame, loc_mode: str = "xml") -> DataFrame:
     return document_locs(texts.where(F.regexp_like("text", F.lit(NAMES_LOCATIONS))), loc_mode)
 
 
+#: parts of the edge table, by hash of the parent; a level reads only those its sitemaps fall in
+EDGE_BUCKETS = 64
+EDGE_SCHEMA = "parent string, kind string, loc string, bucket int"
+
+
+def _bucket(url: str) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(EDGE_BUCKETS)).cast("int")
+
+
+def written_edges(edges: DataFrame) -> DataFrame:
+    """Edges (parent, kind, loc) as a table partitioned by a hash of the parent.
+
+    Parts are dealt out by size, so a parent with a large share of all edges doesn't
+    gather in one task.
+    """
+    path = scratch_path(edges.sparkSession, "edges")
+    edges.select("parent", "kind", "loc", _bucket("parent").alias("bucket")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+    return edges.sparkSession.read.schema(EDGE_SCHEMA).parquet(path)
+
+
+def edges_of(edges: DataFrame, parents: DataFrame, buckets: list[int], fits: bool) -> DataFrame:
+    """The edges (parent, kind, loc) of some parents (url) that fall in the given parts."""
+    near = edges.where(F.col("bucket").isin(buckets))
+    wanted = parents.select(F.col("url").alias("parent"))
+    return near.join(F.broadcast(wanted) if fits else wanted, "parent", "left_semi").select("parent", "kind", "loc")
+
+
 def sitemap_closure(
     seeds: DataFrame,
     docs: DataFrame,
-    domains: Sequence[str],
+    domains: Sequence[str] | DomainList,
     max_sitemaps: int | None = None,
     max_pages: int | None = None,
     loc_mode: str = "xml",
@@ -72,37 +100,45 @@ def sitemap_closure(
     """Follow sitemaps from ``seeds`` (url) through landed documents, level by level.
 
     Documents are read once, whatever the depth: what they name is written as an edge
-    table, and levels read only that. Each level is written below the checkpoint folder
-    before the next starts, so no plan grows with depth and a lost executor repeats one
-    level at most. The URLs of a level are broadcast while they fit. Missing documents
-    count towards ``max_sitemaps``; of a level that exceeds it the smallest URLs are
-    kept. The walk stops after the level that reaches ``max_pages``. Without budgets it
-    ends where nothing new is named.
+    table, and levels read only the parts of it that their sitemaps fall in.
+    """
+    return walk(seeds, written_edges(sitemap_edges(docs, loc_mode)), domains, max_sitemaps, max_pages)
+
+
+def walk(
+    seeds: DataFrame, edges: DataFrame, domains: Sequence[str] | DomainList, max_sitemaps: int | None = None, max_pages: int | None = None
+) -> Closure:
+    """The closure of ``seeds`` (url) over a written edge table.
+
+    Each level is written below the checkpoint folder before the next starts, so no plan
+    grows with depth and a lost executor repeats one level at most. The writes count what
+    the walk has to know. The URLs of a level are broadcast while they fit. Missing
+    documents count towards ``max_sitemaps``; of a level that exceeds it the smallest
+    URLs are kept. The walk stops after the level that reaches ``max_pages``. Without
+    budgets it ends where nothing new is named.
     """
     spark = seeds.sparkSession
     base = scratch_path(spark, "closure")
-    edges = cut(sitemap_edges(docs, loc_mode), "edges")
     seen = None
     frontier = seeds.select("url").distinct()
-    left, depth, pages = max_sitemaps, 0, 0
+    left, depth, pages, total = max_sitemaps, 0, 0, 0
 
     while left is None or left > 0:
         level = f"{base}/seen/depth={depth}"
         taken = frontier if left is None else first_rows(frontier, [F.col("url")], left)
-        taken.write.mode("overwrite").parquet(level)
-        found = spark.read.schema("url string").parquet(level)
-        size = found.agg(F.count("*").alias("n"), text_bytes(found).alias("bytes")).first()
+        size = write_counted(taken, level, bytes=text_bytes(taken), buckets=F.collect_set(_bucket("url")))
         if size["n"] == 0:
             break
+        total += size["n"]
         left = None if left is None else left - size["n"]
-        wanted = F.broadcast(found) if size["bytes"] <= BROADCAST_BYTES else found
-        named_here = edges.join(wanted.withColumnRenamed("url", "parent"), "parent", "left_semi")
-        named_here.write.mode("overwrite").parquet(f"{base}/locs/depth={depth}")
-
+        found = spark.read.schema("url string").parquet(level)
+        named = write_counted(
+            edges_of(edges, found, size["buckets"], size["bytes"] <= BROADCAST_BYTES), f"{base}/locs/depth={depth}",
+            pages=F.count_if(F.col("kind") == PAGE), nested=F.count_if(F.col("kind") == SITEMAP),
+        )
         seen = spark.read.schema("url string, depth int").parquet(f"{base}/seen")
         locs = spark.read.schema("parent string, kind string, loc string, depth int").parquet(f"{base}/locs")
         here = spark.read.schema("parent string, kind string, loc string").parquet(f"{base}/locs/depth={depth}")
-        named = here.agg(F.count_if(F.col("kind") == PAGE).alias("pages"), F.count_if(F.col("kind") == SITEMAP).alias("nested")).first()
         pages += named["pages"]
         depth += 1
         if named["nested"] == 0:
@@ -113,15 +149,40 @@ def sitemap_closure(
 
     if seen is None:
         empty = spark.createDataFrame([], "parent string, kind string, loc string, depth int")
-        return Closure(empty.select(F.col("loc").alias("url"), "depth"), empty, 0)
-    return Closure(seen, locs, depth)
+        return Closure(empty.select(F.col("loc").alias("url"), "depth"), empty, 0, 0)
+    return Closure(seen, locs, depth, total)
+
+
+NEXT_LEVEL = """
+SELECT DISTINCT e.loc AS url
+FROM {edges} e JOIN {level} l ON e.parent = l.url
+WHERE e.kind = 'sitemap' AND NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.url = e.loc)
+"""
+
+
+def closure_sql(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(url, depth) of the closure of ``seeds`` (url) over edges (parent, kind, loc), one SQL statement a level.
+
+    A recursive statement can't leave out what it has seen, so sitemaps that several
+    others share would multiply along every path. Here each level is written, and the
+    next statement reads the whole walk so far: a sitemap is followed once, whatever
+    names it, and neither rows nor depth have a limit.
+    """
+    spark = seeds.sparkSession
+    base = scratch_path(spark, "levels")
+    level, depth = seeds.select("url").distinct(), 0
+    while write_counted(level, f"{base}/depth={depth}")["n"]:
+        seen = spark.read.schema("url string, depth int").parquet(base)
+        last = spark.read.schema("url string").parquet(f"{base}/depth={depth}")
+        level, depth = spark.sql(NEXT_LEVEL, edges=edges, level=last, seen=seen), depth + 1
+    return spark.read.schema("url string, depth int").parquet(base)
 
 
-def discovered_pages(locs: DataFrame, domains: Sequence[str]) -> DataFrame:
+def discovered_pages(locs: DataFrame, domains: Sequence[str] | DomainList) -> DataFrame:
     """Distinct pages in scope, without fragments, at their smallest depth: (url, depth)."""
-    pages = locs.where((F.col("kind") == PAGE) & in_scope(F.col("loc"), domains))
+    scoped = in_scope(locs.where(F.col("kind") == PAGE), as_domain_list(locs.sparkSession, domains), "loc")
     return (
-        pages.select(defragment(F.col("loc")).alias("url"), "depth")
+        scoped.select(defragment(F.col("loc")).alias("url"), "depth")
         .where(F.col("url").isNotNull())
         .groupBy("url")
         .agg(F.min("depth").alias("depth"))

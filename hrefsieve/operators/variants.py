@@ -60,11 +60,11 @@ def variants_of(text: Column, encode_mode: str = "quote", min_length: int = 6, u
 def input_variants(inputs: DataFrame, encode_mode: str = "quote", min_length: int = 6) -> DataFrame:
     """(queried_url, variant) for each distinct searched string.
 
-    Repeated inputs are expanded once; the report joins them back. Expanding costs far
-    more than the few bytes of an input suggest, so every core gets a share.
+    Repeated inputs are expanded once; the report joins them back. They meet in one
+    exchange, repeats within a task first, so that a string listed many times sends a row
+    from each; how many tasks expand them follows from the bytes that arrive.
     """
-    cores = inputs.sparkSession.sparkContext.defaultParallelism
-    once = inputs.select("queried_url").distinct().repartition(cores)
+    once = inputs.select("queried_url").distinct()
     if encode_mode == "quote":
         once = once.withColumn("unescaped", unescape(strip(F.col("queried_url"))))
         forms = variants_of(F.col("queried_url"), encode_mode, min_length, F.col("unescaped"))

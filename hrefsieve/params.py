@@ -38,6 +38,7 @@ class AuditParams:
     ``encode_mode`` ``quote``: leave ``%`` alone, unescape entities first;
                     ``uri``: encode ``%`` and brackets too, no unescaping.
     ``max_pages``, ``max_sitemaps``  budgets of a crawl; ``None`` for all there are.
+    ``broadcast_bytes``  size up to which the list of wanted pages is broadcast as it is.
     """
 
     domains: tuple[str, ...] = ("example.com",)
@@ -54,6 +55,7 @@ class AuditParams:
     encode_mode: str = "quote"
     match_strategy: str = "auto"
     user_agent: str = USER_AGENT
+    broadcast_bytes: int = 64 << 20
 
     @property
     def agent_token(self) -> str:

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrefsieve.functions.urls import authority
-from hrefsieve.operators.domains import first_domain, in_scope
-from hrefsieve.operators.links import page_blobs
+from hrefsieve.operators.bloom import key_filter
+from hrefsieve.operators.domains import DomainList, domain_list, in_scope
+from hrefsieve.operators.links import blob_of, page_blobs, with_links
 from hrefsieve.operators.matching import Matcher, matcher
 from hrefsieve.operators.pages_per_pattern import first_pages
-from hrefsieve.operators.report import matched_inputs, matched_preview, report
+from hrefsieve.operators.report import pages_per_input, report, report_of
 from hrefsieve.operators.robots import domain_verdicts, with_verdict
 from hrefsieve.operators.sitemaps import discovered_pages, page_budget, sitemap_closure
 from hrefsieve.operators.variants import input_variants, pattern_set
 from hrefsieve.params import AuditParams
-from hrefsieve.session import cut, fits
+from hrefsieve.session import cut, cut_counted, text_bytes
 from hrefsieve.sinks.writers import (
     stamped_path, write_inventory, write_report, write_report_long, write_single_page, write_urls,
 )
@@ -32,46 +31,58 @@ class Discovery:
     initial: DataFrame  # (url): sitemaps the walk starts from
     sitemaps: DataFrame  # (url, depth): sitemaps looked up
     pages: DataFrame  # (url): pages found, within the page budget
+    counts: dict[str, int]  # rows of each, as the writes counted them
 
 
 @dataclass
 class Audit:
     discovery: Discovery
     inventory: DataFrame  # (url, size_bytes): pages scanned
+    matched: DataFrame | None  # (queried_url, pages): strings that were found
     report: DataFrame | None  # (input_id, queried_url, found, match_count, pages)
+    counts: dict[str, int]  # of the discovery, pages scanned, inputs matched
 
 
-def discover(docs: DataFrame, p: AuditParams) -> Discovery:
+def configured(spark: SparkSession, p: AuditParams, domains: DataFrame | None = None) -> DomainList:
+    """The domains of a run: those of a table (pos, domain) of any size, else those of the settings."""
+    return domain_list(domain_table(spark, p.domains) if domains is None else domains)
+
+
+def discover(docs: DataFrame, p: AuditParams, domains: DataFrame | None = None) -> Discovery:
     """Pages and sitemaps reachable from the robots.txt and /sitemap.xml of the domains."""
-    spark = docs.sparkSession
-    initial = cut(candidate_sitemaps(domain_table(spark, p.domains), docs, p.schemes), "initial")
-    walk = sitemap_closure(initial, docs, p.domains, p.max_sitemaps, p.max_pages, p.loc_mode)
-    pages = cut(page_budget(discovered_pages(walk.locs, p.domains), p.max_pages), "pages")
-    return Discovery(initial, walk.sitemaps, pages)
+    return _discover(docs, p, configured(docs.sparkSession, p, domains))
+
 
+def _discover(docs: DataFrame, p: AuditParams, domains: DomainList) -> Discovery:
+    initial, start = cut_counted(candidate_sitemaps(domains.table, docs, p.schemes), "initial")
+    walk = sitemap_closure(initial, docs, domains, p.max_sitemaps, p.max_pages, p.loc_mode)
+    pages, found = cut_counted(page_budget(discovered_pages(walk.locs, domains), p.max_pages), "pages")
+    counts = {"candidate_sitemaps": start["n"], "sitemaps_processed": walk.n_sitemaps, "pages_collected": found["n"]}
+    return Discovery(initial, walk.sitemaps, pages, counts)
 
-def robots_of_domains(docs: DataFrame, p: AuditParams) -> DataFrame:
+
+def robots_of_domains(docs: DataFrame, p: AuditParams, domains: DataFrame | None = None) -> DataFrame:
     """Landed robots.txt of each domain, that of the first scheme: (domain, status, body).
 
     A document that did not land has status 0. Of several landings the one with the
     lowest status counts, so each domain has one row.
     """
-    bases = robots_urls(base_urls(domain_table(docs.sparkSession, p.domains), p.schemes[:1]))
+    listed = domain_table(docs.sparkSession, p.domains) if domains is None else domains
+    bases = robots_urls(base_urls(listed.select("domain"), p.schemes[:1]))
     landed = docs.where(F.col("url").endswith("/robots.txt")).groupBy("url").agg(F.min(F.struct("status", "body")).alias("doc"))
     return bases.join(landed, "url", "left").select("domain", F.coalesce("doc.status", F.lit(0)).alias("status"), "doc.body")
 
 
-def admitted(pages: DataFrame, docs: DataFrame | None, p: AuditParams) -> DataFrame:
+def admitted(pages: DataFrame, docs: DataFrame | None, p: AuditParams, domains: DomainList) -> DataFrame:
     """Rows whose ``url`` is in scope and allowed by the robots rules of its domain.
 
-    Scope is a plain filter; rules arrive by a small join.
+    Scope and rules arrive by small joins.
     """
-    scoped = pages.where(in_scope(F.col("url"), p.domains))
+    scoped = in_scope(pages, domains)
     if not p.respect_robots or docs is None:
-        return scoped
-    verdicts = domain_verdicts(robots_of_domains(docs, p), p.agent_token, p.longest_robots_match)
-    judged = with_verdict(scoped.withColumn("domain", first_domain(authority(F.col("url")), p.domains)), verdicts)
-    return judged.where("allowed").select(*pages.columns)
+        return scoped.select(*pages.columns)
+    verdicts = domain_verdicts(robots_of_domains(docs, p, domains.table), p.agent_token, p.longest_robots_match)
+    return with_verdict(scoped, verdicts).where("allowed").select(*pages.columns)
 
 
 def scan(pages: DataFrame, match: Matcher, p: AuditParams, keep_empty: bool = False) -> DataFrame:
@@ -79,52 +90,83 @@ def scan(pages: DataFrame, match: Matcher, p: AuditParams, keep_empty: bool = Fa
     return match(page_blobs(pages, p.link_mode, p.scan_body, keep_empty), "url", "blob")
 
 
+def scan_results(pages: DataFrame, match: Matcher | None, p: AuditParams, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of every page, and in ``found`` an array of what its text holds, written.
+
+    One pass over the pages; only pattern lists too large for one pass of the matcher need
+    more, and give a row of a page for each. What is found has yet to be ``settled``.
+    """
+    if match is None:
+        return cut(pages.select(*kept), "scan")
+    texts = with_links(pages.select(*{*kept, "url", "html"}), p.link_mode)
+    texts = texts.withColumn("blob", blob_of(F.col("hrefs"), F.col("html"), p.scan_body, p.link_mode == "regex"))
+    results = [cut(texts.select(*kept, one(F.col("blob")).alias("found")), "scan") for one in match.passes]
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def searched(inputs: DataFrame, p: AuditParams) -> tuple[DataFrame, DataFrame]:
     """Variants of the inputs, written once as several stages read them, and their patterns."""
     variants = cut(input_variants(inputs, p.encode_mode, p.min_variant_length), "variants")
     return variants, pattern_set(variants).withColumnRenamed("variant", "pattern")
 
 
-def audit(inputs: DataFrame | None, pages: DataFrame, docs: DataFrame, p: AuditParams) -> Audit:
+def wanted_pages(pages: DataFrame, wanted: DataFrame, size: dict, p: AuditParams) -> tuple[DataFrame, bool]:
+    """The pages whose URL is on a written list, before anything reads their text, and whether that is exact.
+
+    A list within ``broadcast_bytes`` selects exactly. A Bloom filter stands for a larger
+    one: it keeps all wanted pages and one other in a thousand, which the small results
+    of the scan are rid of later. Pages never shuffle.
+    """
+    if size["bytes"] <= p.broadcast_bytes:
+        return pages.join(F.broadcast(wanted), "url", "left_semi"), True
+    return pages.where(key_filter(wanted.select("url"), size["n"]).might_hold(F.col("url"))), False
+
+
+def audit(inputs: DataFrame | None, pages: DataFrame, docs: DataFrame, p: AuditParams, domains: DataFrame | None = None) -> Audit:
     """Discover, admit, scan and report. Without inputs only the inventory is made.
 
     ``pages`` are landed pages (url, html, size_bytes). Only discovered and admitted
-    ones count, which is settled on the list of URLs. While that list fits a broadcast
-    it selects pages before the scan. Beyond that all pages in scope are scanned and the
-    small result is selected, so no HTML ever shuffles.
+    ones count, which is settled on the list of URLs. That list selects pages before
+    their text is parsed. The pages are read in one pass, whose written result (url,
+    size, what was found) gives both the inventory and the matches; no HTML ever shuffles.
+    ``domains`` may name the domains as a table (pos, domain) instead of the settings.
     """
-    found = discover(docs, p)
-    wanted = cut(admitted(found.pages, docs, p), "admitted")
-    scoped = pages.where(in_scope(F.col("url"), p.domains))
-    sizes = scoped.select("url", "size_bytes")
-    first = fits(wanted)
-    if first:
-        wanted = F.broadcast(wanted)
-        scoped = scoped.join(wanted, "url", "left_semi")
-    inventory = sizes.join(wanted, "url", "left_semi")
+    listed = configured(docs.sparkSession, p, domains)
+    found = _discover(docs, p, listed)
+    wanted = admitted(found.pages, docs, p, listed)
+    wanted, size = cut_counted(wanted, "admitted", bytes=text_bytes(wanted))
+    some, exact = wanted_pages(pages, wanted, size, p)
+    only = (lambda rows: rows) if exact else (lambda rows: rows.join(wanted, "url", "left_semi"))
+    match = None
+    if inputs is not None:
+        variants, patterns = searched(inputs, p)
+        match = matcher(patterns, p.match_strategy, sample=pages.select("html"))
+    scanned = scan_results(some, match, p, ["url", "size_bytes"])
     # one row per URL, however often it landed
-    inventory = cut(inventory.groupBy("url").agg(F.max("size_bytes").alias("size_bytes")), "inventory")
-    if inputs is None:
-        return Audit(found, inventory, None)
-    variants, patterns = searched(inputs, p)
-    hits = scan(scoped, matcher(patterns, p.match_strategy), p)
-    if not first:
-        hits = hits.distinct().join(wanted, "url", "left_semi")
-    # The scan is the costly part; everything after it reads its small result.
+    inventory = only(scanned.select("url", "size_bytes")).groupBy("url").agg(F.max("size_bytes").alias("size_bytes"))
+    inventory, kept = cut_counted(inventory, "inventory")
+    counts = found.counts | {"pages_scanned": kept["n"]}
+    if match is None:
+        return Audit(found, inventory, None, None, counts)
+    hits = match.settled(only(scanned.select("url", F.explode("found").alias("found"))))
     hits = cut(first_pages(hits, p.max_match_pages), "matches")
-    return Audit(found, inventory, report(inputs, variants, hits, p.max_match_pages))
+    matched, n = cut_counted(pages_per_input(variants, hits, p.max_match_pages), "matched")
+    return Audit(found, inventory, matched, report_of(inputs, matched), counts | {"inputs_matched": n["n"]})
 
 
 def audit_pages(inputs: DataFrame, pages: DataFrame, p: AuditParams) -> DataFrame:
     """Report over all given pages, without discovery or admission."""
     variants, patterns = searched(inputs, p)
-    hits = scan(pages, matcher(patterns, p.match_strategy), p)
+    hits = scan(pages, matcher(patterns, p.match_strategy, sample=pages.select("html")), p)
     return report(inputs, variants, hits, p.max_match_pages)
 
 
-def crawl_inventory(pages: DataFrame, docs: DataFrame, p: AuditParams) -> DataFrame:
+def crawl_inventory(pages: DataFrame, docs: DataFrame, p: AuditParams, domains: DataFrame | None = None) -> DataFrame:
     """(url, size_bytes) of every page a crawl without inputs would scan."""
-    return audit(None, pages, docs, p).inventory
+    return audit(None, pages, docs, p, domains).inventory
 
 
 def check_page(inputs: DataFrame, pages: DataFrame, url: str, p: AuditParams) -> DataFrame:
@@ -135,31 +177,24 @@ def check_page(inputs: DataFrame, pages: DataFrame, url: str, p: AuditParams) ->
 
 
 def run_summary(result: Audit) -> DataFrame:
-    """One row of counts over a whole run."""
-    frames = {
-        "candidate_sitemaps": result.discovery.initial,
-        "sitemaps_processed": result.discovery.sitemaps,
-        "pages_collected": result.discovery.pages,
-        "pages_scanned": result.inventory,
-    }
-    if result.report is not None:
-        frames["inputs_matched"] = matched_inputs(result.report)
-    nothing = F.array().cast("array<string>")
-    parts = [df.agg(F.lit(name).alias("metric"), F.count("*").alias("n"), nothing.alias("texts")) for name, df in frames.items()]
-    columns = [F.max(F.when(F.col("metric") == name, F.col("n"))).alias(name) for name in frames]
-    if result.report is not None:
-        preview = F.sort_array(F.collect_list("queried_url"))
-        parts.append(matched_preview(result.report).agg(F.lit("preview").alias("metric"), F.lit(0).cast("long").alias("n"), preview.alias("texts")))
-        columns.append(F.max(F.when(F.col("metric") == "preview", F.col("texts"))).alias("matched_preview"))
-    return reduce(DataFrame.union, parts).agg(*columns)
+    """One row of counts over a whole run, and the first ten strings found.
+
+    The counts come from the writes of the run; only the strings are read, from the
+    written list of those that were found.
+    """
+    counts = [F.lit(n).cast("long").alias(name) for name, n in result.counts.items()]
+    if result.matched is None:
+        return result.inventory.sparkSession.range(1).select(*counts)
+    first = result.matched.select("queried_url").orderBy("queried_url").limit(10)
+    return first.agg(F.sort_array(F.collect_list("queried_url")).alias("matched_preview")).select(*counts, "matched_preview")
 
 
 def budget_flags(result: Audit, p: AuditParams) -> dict[str, bool]:
     """Which budgets the run used up, so that there may be more than it shows."""
-    full = lambda df, most: most is not None and df.count() >= most
+    full = lambda name, most: most is not None and result.counts[name] >= most
     return {
-        "sitemap_budget_reached": full(result.discovery.sitemaps, p.max_sitemaps),
-        "page_budget_reached": full(result.discovery.pages, p.max_pages),
+        "sitemap_budget_reached": full("sitemaps_processed", p.max_sitemaps),
+        "page_budget_reached": full("pages_collected", p.max_pages),
     }
 
 
@@ -169,8 +204,10 @@ def write_summary(result: Audit, path: str, p: AuditParams) -> None:
     run_summary(result).select("*", *[F.lit(v).alias(k) for k, v in flags.items()]).coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_audit(result: Audit, folder: str, stamp: str, p: AuditParams, report_name: str = names.REPORT_NAME) -> None:
-    """Write all outputs of a run below ``folder``."""
+def write_audit(
+    result: Audit, folder: str, stamp: str, p: AuditParams, report_name: str = names.REPORT_NAME, quote_all: bool = False
+) -> None:
+    """Write all outputs of a run below ``folder``. The summary reads none of them again."""
     write_urls(result.discovery.initial, stamped_path(names.INITIAL_SITEMAPS_NAME, folder, stamp))
     write_urls(result.discovery.sitemaps, stamped_path(names.ALL_SITEMAPS_NAME, folder, stamp))
     write_urls(result.discovery.pages, stamped_path(names.PAGES_NAME, folder, stamp))
@@ -179,10 +216,10 @@ def write_audit(result: Audit, folder: str, stamp: str, p: AuditParams, report_n
         long_path = stamped_path("report.parquet", folder, stamp)
         write_report_long(result.report, long_path)
         written = result.report.sparkSession.read.parquet(long_path)
-        write_report(written, stamped_path(report_name, folder, stamp), p.max_match_pages)
+        write_report(written, stamped_path(report_name, folder, stamp), p.max_match_pages, quote_all)
     write_summary(result, stamped_path(names.SUMMARY_NAME, folder, stamp), p)
 
 
-def write_check(result: DataFrame, folder: str, stamp: str) -> None:
+def write_check(result: DataFrame, folder: str, stamp: str, quote_all: bool = False) -> None:
     """Write a single-page check below ``folder``."""
-    write_single_page(result, stamped_path(names.SINGLE_PAGE_NAME, folder, stamp))
+    write_single_page(result, stamped_path(names.SINGLE_PAGE_NAME, folder, stamp), quote_all)

@@ -16,11 +16,11 @@ from hrefsieve.operators.matching import find_patterns
 from hrefsieve.operators.pages_per_pattern import page_sets
 from hrefsieve.operators.report import matched_preview, summary, wide
 from hrefsieve.operators.robots import domain_verdicts, robots_rules, with_verdict
-from hrefsieve.operators.sitemaps import discovered_pages, document_locs, page_budget, sitemap_closure
+from hrefsieve.operators.sitemaps import closure_sql, discovered_pages, document_locs, page_budget, sitemap_closure, sitemap_edges, written_edges
 from hrefsieve.operators.variants import input_variants, pattern_set
 from hrefsieve.plans import derived as d
 from hrefsieve.plans.jobs import audit, audit_pages, check_page, crawl_inventory, discover, run_summary
-from hrefsieve.session import cut, scratch_path
+from hrefsieve.session import scratch_path
 from hrefsieve.sinks.writers import sorted_urls
 from hrefsieve.sources.inputs import clean_inputs
 from hrefsieve.sources.landed import decoded_pages, read_landed, text_documents
@@ -235,24 +235,9 @@ def _pages_in_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sitemap_closure_sql")
 def _sitemap_closure_sql(spark: SparkSession, sf: str) -> DataFrame:
-    """The closure as one recursive statement, for trees without shared children."""
+    """The closure by SQL statements, one a level."""
     docs = d.all_docs(spark, sf)
-    seeds = _seeds(spark, sf, docs)
-    locs = document_locs(text_documents(docs))
-    edges = locs.where("kind = 'sitemap'").select("parent", F.col("loc").alias("url")).distinct()
-    # Links back to a seed would only repeat it. Written, as each step of the recursion reads them.
-    onward = cut(edges.join(seeds, "url", "left_anti"), "edges")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(url, path) AS (
-          SELECT url, array(url) FROM {seeds}
-          UNION ALL
-          SELECT e.url, w.path || array(e.url) FROM walk w JOIN {edges} e ON e.parent = w.url AND NOT array_contains(w.path, e.url)
-        )
-        SELECT DISTINCT url FROM walk
-        """,
-        seeds=seeds, edges=onward,
-    )
+    return closure_sql(_seeds(spark, sf, docs), written_edges(sitemap_edges(docs))).select("url")
 
 
 @query("page_inventory")
@@ -271,6 +256,14 @@ def _full_audit(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(audit(d.inputs(spark, sf), d.page_docs(spark, sf), d.all_docs(spark, sf), d.settings()).report)
 
 
+@query("full_audit_filtered")
+def _full_audit_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where the list of wanted pages is too large to broadcast, domains come as a table, and patterns are too many for an automaton."""
+    domains = d.pages(spark, sf).groupBy("domain").agg(F.min("page_id").alias("pos")).select("pos", "domain")
+    p = d.settings(broadcast_bytes=0, domains=(), match_strategy="windows")
+    return _flat(audit(d.inputs(spark, sf), d.page_docs(spark, sf), d.all_docs(spark, sf), p, domains).report)
+
+
 @query("single_page_check")
 def _single_page_check(spark: SparkSession, sf: str) -> DataFrame:
     url = read_landed(spark, f"{sf}/pages.parquet", ["url"]).agg(F.min("url")).first()[0]

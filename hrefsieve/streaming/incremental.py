@@ -1,81 +1,97 @@
-"""Incremental scan: new landed pages are matched as they arrive."""
+"""Incremental scan: new landed pages are matched as they arrive, changed ones replace what was found.
+
+A match table is a folder of tables, none of which grows with the stream's state:
+
+``batch=<id>``  one row (url, landed, found, size_bytes) for each page a batch has read,
+                with all patterns found on it, none included.
+``base``        the same rows after a compaction, newest landing of each URL only, and
+                ``compacted``, which names the last batch that went into the base.
+``rescans``     what pages that had landed before hold of strings added to the inputs.
+``searched``    the patterns that all pages of the table were searched for.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from hrefsieve.operators.matching import matcher
+from hrefsieve.operators.links import page_blobs
+from hrefsieve.operators.matching import Matcher, matcher
 from hrefsieve.operators.pages_per_pattern import first_pages
 from hrefsieve.operators.report import report
 from hrefsieve.params import AuditParams
-from hrefsieve.plans.jobs import scan, searched
+from hrefsieve.plans.jobs import searched
+from hrefsieve.session import cut, delete_folder
 
-MATCH_SCHEMA = "url string, pattern string, batch long"
+PAGE_SCHEMA = "url string, landed timestamp, found array<string>"
 
 
 def stream_pages(spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet", per_batch: int = 1_000) -> DataFrame:
-    """Landed page files of a folder as a stream; each file is read once."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", per_batch)
-        .parquet(folder)
-    )
+    """Landed page files of a folder as a stream; each file is read once.
+
+    ``landed`` says when a page landed: a column of that name, else the time of its file.
+    """
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_batch).parquet(folder)
+    return _with_landing(stream)
+
+
+def landed_so_far(spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet") -> DataFrame:
+    """The same pages as a table, for a search of all that have landed by now."""
+    return _with_landing(spark.read.schema(schema).option("pathGlobFilter", files).parquet(folder))
 
 
-def _searched_for(patterns: DataFrame, p: AuditParams) -> tuple:
-    """What a match table is made for: a digest of the patterns, their number, what is searched."""
-    row = patterns.agg(F.expr("bit_xor(xxhash64(pattern))").alias("digest"), F.count("*").alias("n")).first()
-    return row["digest"], row["n"], p.link_mode, p.scan_body
+def _with_landing(pages: DataFrame) -> DataFrame:
+    landed: Column = F.col("landed") if "landed" in pages.columns else F.col("_metadata.file_modification_time")
+    return pages.select("url", "html", landed.cast("timestamp").alias("landed"))
 
 
-def _check_searched(spark: SparkSession, table: str, patterns: DataFrame, p: AuditParams, write: bool) -> None:
-    """A table answers only for the patterns that its pages were searched for, since pages
-    are read once; other inputs need a new table and checkpoint."""
-    path, now = f"{table.rstrip('/')}-searched", _searched_for(patterns, p)
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A table that may not be there yet."""
     try:
-        then = spark.read.parquet(path).first()
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:
-        then = None
-    if then is None and write:
-        schema = "digest long, n long, link_mode string, scan_body boolean, max_match_pages int"
-        spark.createDataFrame([(*now, p.max_match_pages)], schema).coalesce(1).write.parquet(path)
-    elif then is None or tuple(then)[:4] != now or then["max_match_pages"] < p.max_match_pages:
-        raise ValueError(f"the pages of {table} were searched for other inputs or for fewer pages per input; scan them into a new table")
-
-
-def scan_stream(pages: DataFrame, inputs: DataFrame, table: str, checkpoint: str, p: AuditParams) -> StreamingQuery:
-    """Start a scan that takes all pages landed by now and stops.
-
-    Each batch replaces its own ``batch=<id>`` folder of the match table, so a batch
-    that runs twice counts once. Matches are a set: a page that lands again adds
-    nothing, and no seen-URL state is kept. Only the first pages of each pattern and
-    batch are stored; the report's first pages are among them. What was searched is noted
-    beside the table: a later run or report with other inputs, or for more pages per
-    input, is refused instead of being incomplete.
-    """
-    _, patterns = searched(inputs, p)
-    _check_searched(inputs.sparkSession, table, patterns, p, write=True)
+        return None
+
+
+def _settings(p: AuditParams) -> str:
+    return f"{p.link_mode} {p.scan_body}"
 
-    # an empty batch, so that the table can be read before any page has landed
-    inputs.sparkSession.createDataFrame([], "url string, pattern string").write.mode("overwrite").parquet(f"{table}/batch=-1")
-    match = matcher(patterns, p.match_strategy)  # once, not per batch
 
-    def add_batch(batch: DataFrame, batch_id: int) -> None:
-        hits = scan(batch, match, p)
-        first_pages(hits, p.max_match_pages).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+def _new_patterns(spark: SparkSession, table: str, patterns: DataFrame, p: AuditParams) -> DataFrame | None:
+    """The patterns that the pages of a table have not been searched for; None if there is no table yet."""
+    known = _read(spark, f"{table}/searched", "pattern string, settings string")
+    if known is None:
+        return None
+    other = known.where(F.col("settings") != _settings(p)).select("settings").first()
+    if other:
+        raise ValueError(f"the pages of {table} were searched with other settings ({other[0]}); scan them into a new table")
+    return patterns.join(known, "pattern", "left_anti")
 
-    writer = pages.writeStream.foreachBatch(add_batch).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
 
+def _note(patterns: DataFrame, table: str, p: AuditParams) -> None:
+    patterns.select("pattern", F.lit(_settings(p)).alias("settings")).write.mode("append").parquet(f"{table}/searched")
 
-def stream_report(spark: SparkSession, table: str, inputs: DataFrame, p: AuditParams) -> DataFrame:
-    """The report over everything scanned so far."""
-    hits = spark.read.schema(MATCH_SCHEMA).parquet(table).select("url", "pattern")
-    variants, patterns = searched(inputs, p)
-    _check_searched(spark, table, patterns, p, write=False)
-    return report(inputs, variants, hits, p.max_match_pages)
+
+def _found(pages: DataFrame, match: Matcher, p: AuditParams) -> DataFrame:
+    """(url, landed, found): every page with all patterns on it, none included.
+
+    A page is known by where its row lies, so equal landings of a URL stay apart until
+    they are merged. The pages are read once.
+    """
+    kept = pages.select(F.struct("url", "landed").alias("page"), "url", "html")
+    blobs = page_blobs(kept, p.link_mode, p.scan_body).join(kept.select("page"), F.lit(False), "left") if False else _blobs(kept, p)
+    arrays = [blobs.select("url", "landed", one(F.col("blob")).alias("found")) for one in match.passes]
+    rows = arrays[0]
+    for more in arrays[1:]:
+        rows = rows.unionByName(more)
+    rows = cut(rows, "scan")
+    hits = match.settled(rows.select("url", "landed", F.explode("found").alias("found")))
+    none = rows.select("url", "landed").distinct()
+    per_page = hits.groupBy("url", "landed").agg(F.sort_array(F.collect_set("pattern")).alias("found"))
+    same = (none["url"] == per_page["url"]) & none["landed"].eqNullSafe(per_page["landed"])
+    return none.join(per_page, same, "left").select(none["url"], none["landed"], F.coalesce("found", F.array().cast("array<string>")).alias("found"))

@@ -1,4 +1,5 @@
 import gzip
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def pages(spark):
 INPUTS = ["target.example", "https://h.com/go", "target.example", "nowhere.example", "abc", "https://target.example/é&amp;b"]
 
 
-def test_full_audit(spark, site, pages, monkeypatch):
+def test_full_audit(spark, site, pages):
     inputs = spark.createDataFrame(list(enumerate(INPUTS)), "input_id bigint, queried_url string")
     p = AuditParams(domains=("h.com",))
     result = audit(inputs, pages, site, p)
@@ -134,8 +135,7 @@ def test_full_audit(spark, site, pages, monkeypatch):
     assert row["inputs_matched"] == 3
     assert row["matched_preview"] == ["https://h.com/go", "https://target.example/é&amp;b", "target.example"]
 
-    monkeypatch.setattr("hrefsieve.plans.jobs.fits", lambda df: False)
-    again = audit(inputs, pages, site, p)
+    again = audit(inputs, pages, site, replace(p, broadcast_bytes=0))
     assert sorted(map(str, again.report.collect())) == sorted(map(str, result.report.collect()))
     assert urls(again.inventory) == three
 
