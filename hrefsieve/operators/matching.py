@@ -16,7 +16,7 @@ Three strategies give the same rows:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hrefsieve.functions.arrow import STRINGS
 from hrefsieve.operators.bloom import KEY_BITS, MIN_BITS, SLOTS, all_set, bitmap_of
 from hrefsieve.session import cut, join_small
 
@@ -56,31 +55,57 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: from texts, the columns to keep and the text's column: those columns and an array ``found``
+Pass = Callable[[DataFrame, list[str], str], DataFrame]
+
+
 class Matcher:
-    """A prepared pattern list. ``passes`` are functions of a text column, each of which gives
-    an array of what may be patterns in a text; a pass reads every text once. ``settled``
-    turns rows (key, found) of all passes into rows (key, pattern)."""
+    """A prepared pattern list. Each of its ``passes`` reads every text once and gives an array
+    of what may be patterns in it. ``settled`` turns rows (..., found) of all passes into
+    rows (..., pattern)."""
 
-    def __init__(self, passes: list[Callable[[Column], Column]], settle: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, passes: list[Pass], settle: Callable[[DataFrame], DataFrame] | None = None):
         self.passes, self._settle = passes, settle
 
+    @property
+    def exact(self) -> bool:
+        """Are the arrays of a pass the patterns themselves?"""
+        return self._settle is None
+
     def settled(self, rows: DataFrame) -> DataFrame:
         return self._settle(rows) if self._settle else rows.withColumnRenamed("found", "pattern")
 
     def __call__(self, texts: DataFrame, key: str, text: str) -> DataFrame:
         """(key, pattern) for every pattern contained in a text."""
-        # an array from Python is bound before it is exploded: else it would be made twice, to see if it is empty
-        found = [texts.select(key, one(F.col(text)).alias("all")).select(key, F.explode("all").alias("found")) for one in self.passes]
+        found = [one(texts, [key], text).select(key, F.explode("found").alias("found")) for one in self.passes]
         return self.settled(reduce(DataFrame.unionByName, found))
 
 
+def _searching(search: Callable[[pa.Array], pa.Array], item: T.DataType, text_type: str) -> Pass:
+    """A pass by a function on batches of texts. As an operator of its own it runs once for each
+    text, where a column function would run again to see which arrays are empty."""
+
+    def one(texts: DataFrame, kept: list[str], text: str) -> DataFrame:
+        rows = texts.select(*kept, F.col(text).cast(text_type).alias("_text"))
+        schema = T.StructType([*rows.schema.fields[:-1], T.StructField("found", T.ArrayType(item))])
+        names = schema.names
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], search(batch.column(len(names) - 1))], names=names)
+
+        return rows.mapInArrow(run, schema)
+
+    return one
+
+
 def _collected(patterns: DataFrame) -> list[str]:
     return sorted(r[0] for r in patterns.select("pattern").distinct().collect())
 
 
 def _native(patterns: list[str]) -> Matcher:
     listed = F.array(*[F.lit(p) for p in patterns]).cast("array<string>")
-    return Matcher([lambda text: F.filter(listed, lambda p: F.contains(text, p))])
+    return Matcher([lambda texts, kept, text: texts.select(*kept, F.filter(listed, lambda p: F.contains(F.col(text), p)).alias("found"))])
 
 
 def _automaton(spark: SparkSession, patterns: list[str]) -> Matcher:
@@ -100,7 +125,7 @@ def _automaton(spark: SparkSession, patterns: list[str]) -> Matcher:
         found = [list({p for _, p in walk(t)}) if t else [] for t in column.to_pylist()]
         return pa.array(found, pa.list_(pa.string()))
 
-    return Matcher([F.arrow_udf(search, STRINGS).asNondeterministic()])
+    return Matcher([_searching(search, T.StringType(), "string")])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,12 +369,8 @@ def _windows(patterns: DataFrame, most: int, sample: DataFrame | None, text: str
     return Matcher(passes, settle)
 
 
-def _searcher(shared: Broadcast) -> Callable[[Column], Column]:
-    def search(column: pa.Array) -> pa.Array:
-        return pa.array(_candidates(column, shared.value), pa.list_(pa.binary()))
-
-    udf = F.arrow_udf(search, T.ArrayType(T.BinaryType())).asNondeterministic()
-    return lambda text: udf(text.cast("binary"))
+def _searcher(shared: Broadcast) -> Pass:
+    return _searching(lambda column: pa.array(_candidates(column, shared.value), pa.list_(pa.binary())), T.BinaryType(), "binary")
 
 
 def matcher(patterns: DataFrame, strategy: str = "auto", bits: int | None = None, sample: DataFrame | None = None, text: str = "html") -> Matcher:

@@ -7,15 +7,18 @@ grows beyond a fixed number of entries.
 from __future__ import annotations
 
 import gzip
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hrefsieve.params import AuditParams
-from hrefsieve.session import cut
+from hrefsieve.session import cut, scratch_path
 from hrefsieve.sources.landed import decoded_pages, spread_files
+from hrefsieve.sources.raw_files import SIDECAR_SCHEMA
 
 DOMAINS = ("example.com", "example.net", "example.org")
 PAGES_PER_SITEMAP = 20
@@ -188,6 +191,28 @@ def byte_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stored(folder: str) -> Callable:
+    """Write each body to a file of its name; what else is known of it goes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        for batch in batches:
+            for name, body in zip(batch.column("file"), batch.column("body"), strict=True):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(body.as_py() or b"")
+            yield batch.select(["file", "url", "status", "headers"])
+
+    return run
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The raw documents as files in the shared folder, written by the tasks that hold them, and their table."""
+    folder = scratch_path(spark, "bodies")
+    named = byte_docs(spark, sf_dir).select(F.concat(F.md5(F.col("url").cast("binary")), F.lit(".body")).alias("file"), "url", "status", "headers", "body")
+    return folder, cut(named.mapInArrow(_stored(folder), SIDECAR_SCHEMA), "sidecar")
+
+
 def edge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with links of every awkward kind after their own."""
     more = (

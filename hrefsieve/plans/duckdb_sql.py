@@ -11,7 +11,7 @@ _P = """p AS MATERIALIZED (
   FROM (SELECT *, regexp_extract(url, '^([a-z]+)://', 1) AS scheme,
                regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages))"""
 
-_INPUTS = """inputs AS (
+_INPUTS = """inputs AS MATERIALIZED (
   SELECT min(page_id) * 3 AS input_id, host AS queried_url FROM p GROUP BY host
   UNION ALL SELECT min(page_id) * 3 + 1, scheme || '://' || host || '/The' FROM p GROUP BY scheme, host
   UNION ALL SELECT min(page_id) * 3 + 2, url FROM p GROUP BY url
@@ -67,16 +67,36 @@ hits AS MATERIALIZED (
   WHERE pos > cut AND starts_with(substr(run, pos - cut), variant))"""
 
 
-def _report(n: int = 100) -> str:
-    return f"""report AS (
-  SELECT input_id, i.queried_url, len(coalesce(ps, [])) > 0 AS found, CAST(len(coalesce(ps, [])) AS BIGINT) AS match_count,
-         coalesce(ps, []) AS ps
-  FROM inputs i LEFT JOIN (
-    SELECT queried_url, list_sort(list_distinct(list(url)))[1:{n}] AS ps
-    FROM variants JOIN hits USING (variant) GROUP BY queried_url) m ON m.queried_url = i.queried_url)"""
+# For one page the runs are not worth their table.
+_HITS_ON_ONE = """hits AS MATERIALIZED (
+  SELECT v.variant, b.url FROM blobs b JOIN (SELECT DISTINCT variant FROM variants) v ON contains(b.blob, v.variant))"""
 
 
-_FLAT = "SELECT input_id, queried_url, found, match_count, array_to_string(ps, chr(10)) AS match_pages FROM report"
+def _listed(n: int = 100) -> str:
+    """Pages of each searched string that was found, numbered in order, the first ``n``."""
+    return f"""listed AS MATERIALIZED (
+  SELECT queried_url, url, place FROM (
+    SELECT queried_url, url, row_number() OVER (PARTITION BY queried_url ORDER BY url) AS place
+    FROM (SELECT DISTINCT queried_url, url FROM variants JOIN hits USING (variant)))
+  WHERE place <= {n})"""
+
+
+_MATCHED = """matched AS MATERIALIZED (
+  SELECT queried_url, count(*) AS match_count, string_agg(url, chr(10) ORDER BY place) AS match_pages FROM listed GROUP BY queried_url)"""
+
+_FLAT = """SELECT input_id, queried_url, true AS found, match_count, match_pages FROM inputs JOIN matched USING (queried_url)
+UNION ALL
+SELECT input_id, queried_url, false, 0, '' FROM inputs WHERE queried_url NOT IN (SELECT queried_url FROM matched)"""
+
+
+def _wide(n: int) -> str:
+    """The same with a column for each page."""
+    pages = ", ".join(f"max(CASE WHEN place = {i} THEN url ELSE '' END) AS match_page_{i}" for i in range(1, n + 1))
+    none = ", ".join("''" for _ in range(n))
+    return f"""SELECT input_id, queried_url, true AS found, count(*) AS match_count, {pages}
+FROM inputs JOIN listed USING (queried_url) GROUP BY input_id, queried_url
+UNION ALL
+SELECT input_id, queried_url, false, 0, {none} FROM inputs WHERE queried_url NOT IN (SELECT queried_url FROM listed)"""
 
 
 def _with(*ctes: str, recursive: bool = False) -> str:
@@ -84,7 +104,21 @@ def _with(*ctes: str, recursive: bool = False) -> str:
 
 
 def _audit(n: int = 100, body: bool = True) -> str:
-    return _with(_P, _INPUTS, _VARIANTS, _blobs(body=body), _HITS, _report(n))
+    return _with(_P, _INPUTS, _VARIANTS, _blobs(body=body), _HITS, _listed(n), _MATCHED)
+
+
+# The same with one lookup for all inputs.
+_FLAT_JOINED = """SELECT i.input_id, i.queried_url, m.queried_url IS NOT NULL AS found, coalesce(m.match_count, 0) AS match_count,
+  coalesce(m.match_pages, '') AS match_pages FROM inputs i LEFT JOIN matched m ON m.queried_url = i.queried_url"""
+
+
+def _report(n: int = 100) -> str:
+    return f"""report AS (
+  SELECT input_id, i.queried_url, len(coalesce(ps, [])) > 0 AS found, CAST(len(coalesce(ps, [])) AS BIGINT) AS match_count,
+         coalesce(ps, []) AS ps
+  FROM inputs i LEFT JOIN (
+    SELECT queried_url, list_sort(list_distinct(list(url)))[1:{n}] AS ps
+    FROM variants JOIN hits USING (variant) GROUP BY queried_url) m ON m.queried_url = i.queried_url)"""
 
 
 _ODD = """odd AS (SELECT plain || '/é b%[' || page_id || ']&amp;t=1#f' AS queried_url FROM p)"""
@@ -153,15 +187,26 @@ _ALLOWED = """scanned AS (
   SELECT p.* FROM p WHERE plain IN (SELECT url FROM found) AND CASE domain
     WHEN 'example.com' THEN lang <> 'de' WHEN 'example.net' THEN lang <> 'es' ELSE false END)"""
 
+_FULL = _with(
+    _P, _LOCS, _SEEDS, _WALK, _ALLOWED, _INPUTS, _VARIANTS, _blobs("scanned", "plain"), _HITS, _listed(), _MATCHED, recursive=True
+)
+# What is left of the raw documents: cut off, failed and empty ones are not.
+_RAW = """raws AS (
+  SELECT url || CASE WHEN k IN (1, 4) THEN '.gz' ELSE '' END AS url, origin, CASE WHEN k = 5 THEN 'ab' || html ELSE html END AS html,
+         octet_length(encode(html)) + CASE WHEN k = 5 THEN 4 ELSE 0 END AS size
+  FROM (SELECT *, page_id % 8 AS k FROM p) WHERE k NOT IN (3, 6, 7))"""
+
 ORACLES = {
     "audit_report": _audit() + _FLAT,
-    "audit_report_dom": _audit() + _FLAT,
+    "audit_report_dom": _audit() + _FLAT_JOINED,
     "audit_report_windows": _audit() + _FLAT,
     "audit_report_capped": _audit(5) + _FLAT,
-    "audit_wide": _audit(10) + "SELECT input_id, queried_url, found, match_count, "
-    + ", ".join(f"coalesce(ps[{i}], '') AS match_page_{i}" for i in range(1, 11)) + " FROM report",
-    "audit_links_only": _audit(body=False) + _FLAT,
+    "audit_wide": _with(_P, _INPUTS, _VARIANTS, _blobs(), _HITS, _listed(10)) + _wide(10),
+    "audit_links_only": _audit(body=False) + _FLAT_JOINED,
     "incremental_scan": _audit() + _FLAT,
+    "incremental_changes": _audit() + _FLAT,
+    "audit_raw_pages": _with(_P, _INPUTS, _VARIANTS, _RAW, _blobs("raws"), _HITS, _listed(), _MATCHED) + _FLAT,
+    "raw_page_inventory": _with(_P, _RAW) + "SELECT url, CAST(size AS BIGINT) AS size_bytes FROM raws",
     "input_variants": _with(
         _P, _INPUTS, _ODD,
         "sources AS (SELECT queried_url FROM inputs UNION SELECT queried_url FROM odd)",
@@ -249,9 +294,8 @@ ORACLES = {
     "page_inventory": _with(_P) + "SELECT url, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM p",
     "crawl_inventory": _with(_P, _LOCS, _SEEDS, _WALK, _ALLOWED, recursive=True)
     + "SELECT plain AS url, CAST(max(octet_length(encode(html))) AS BIGINT) AS size_bytes FROM scanned GROUP BY plain",
-    "full_audit": _with(
-        _P, _LOCS, _SEEDS, _WALK, _ALLOWED, _INPUTS, _VARIANTS, _blobs("scanned", "plain"), _HITS, _report(), recursive=True
-    ) + _FLAT,
+    "full_audit": _FULL + _FLAT,
+    "full_audit_filtered": _FULL + _FLAT,
     "run_summary": _with(
         _P, _LOCS, _SEEDS, _WALK, _ALLOWED, _INPUTS, _VARIANTS, _blobs("scanned", "plain"), _HITS, _report(), recursive=True
     ) + """SELECT (SELECT count(*) FROM seeds) AS candidate_sitemaps, (SELECT count(*) FROM sitemaps) AS sitemaps_processed,
@@ -259,11 +303,11 @@ ORACLES = {
               (SELECT count(DISTINCT queried_url) FROM report WHERE found) AS inputs_matched,
               (SELECT array_to_string(list_sort(list_distinct(list(queried_url) FILTER (found)))[1:10], chr(10)) FROM report) AS matched_preview""",
     "single_page_check": _with(
-        _P, "one AS (SELECT * FROM p WHERE url = (SELECT min(url) FROM pages))", _INPUTS, _VARIANTS, _blobs("one"), _HITS, _report(1)
+        _P, "one AS (SELECT * FROM p WHERE url = (SELECT min(url) FROM pages))", _INPUTS, _VARIANTS, _blobs("one"), _HITS_ON_ONE, _listed(1), _MATCHED
     ) + _FLAT,
-    "report_summary": _audit() + """SELECT count(*) AS inputs, count(DISTINCT queried_url) AS distinct_inputs,
+    "report_summary": _with(_P, _INPUTS, _VARIANTS, _blobs(), _HITS, _report()) + """SELECT count(*) AS inputs, count(DISTINCT queried_url) AS distinct_inputs,
               count(DISTINCT CASE WHEN found THEN queried_url END) AS inputs_matched, CAST(sum(match_count) AS BIGINT) AS pages_listed FROM report""",
-    "matched_preview": _audit() + "SELECT DISTINCT queried_url FROM report WHERE found ORDER BY queried_url LIMIT 10",
+    "matched_preview": _with(_P, _INPUTS, _VARIANTS, _blobs(), _HITS, _report()) + "SELECT DISTINCT queried_url FROM report WHERE found ORDER BY queried_url LIMIT 10",
     "pattern_page_sets": _with(_P, _INPUTS, _VARIANTS, _blobs(), _HITS) + """SELECT variant AS pattern, CAST(len(ps) AS BIGINT) AS n_pages,
               array_to_string(ps, chr(10)) AS pages FROM (SELECT variant, list_sort(list(url))[1:20] AS ps FROM hits GROUP BY variant)""",
     "passage_containment": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)",

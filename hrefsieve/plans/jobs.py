@@ -100,7 +100,7 @@ def scan_results(pages: DataFrame, match: Matcher | None, p: AuditParams, kept:
         return cut(pages.select(*kept), "scan")
     texts = with_links(pages.select(*{*kept, "url", "html"}), p.link_mode)
     texts = texts.withColumn("blob", blob_of(F.col("hrefs"), F.col("html"), p.scan_body, p.link_mode == "regex"))
-    results = [cut(texts.select(*kept, one(F.col("blob")).alias("found")), "scan") for one in match.passes]
+    results = [cut(one(texts, kept, "blob"), "scan") for one in match.passes]
     out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hrefsieve.functions import urls
 from hrefsieve.functions.arrow import unescape
@@ -23,9 +24,10 @@ from hrefsieve.plans.jobs import audit, audit_pages, check_page, crawl_inventory
 from hrefsieve.session import scratch_path
 from hrefsieve.sinks.writers import sorted_urls
 from hrefsieve.sources.inputs import clean_inputs
-from hrefsieve.sources.landed import decoded_pages, read_landed, text_documents
+from hrefsieve.sources.landed import decoded_pages, landed_pages, read_landed, text_documents
+from hrefsieve.sources.raw_files import read_raw_files
 from hrefsieve.sources.seeds import candidate_sitemaps, domain_table, robots_sitemaps
-from hrefsieve.streaming.incremental import scan_stream, stream_pages, stream_report
+from hrefsieve.streaming.incremental import compact, landed_so_far, scan_stream, stream_pages, stream_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,6 +320,17 @@ def _sorted_url_list(spark: SparkSession, sf: str) -> DataFrame:
     return sorted_urls(d.page_docs(spark, sf))
 
 
+@query("audit_raw_pages")
+def _audit_raw_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The report over pages that landed as files: gzipped, broken, failed and empty ones among them."""
+    return _flat(audit_pages(d.inputs(spark, sf), landed_pages(read_raw_files(spark, *d.raw_files(spark, sf))), d.settings()))
+
+
+@query("raw_page_inventory")
+def _raw_page_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    return landed_pages(read_raw_files(spark, *d.raw_files(spark, sf))).select("url", "size_bytes")
+
+
 @query("incremental_scan")
 def _incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "incremental")
@@ -326,3 +339,23 @@ def _incremental_scan(spark: SparkSession, sf: str) -> DataFrame:
     inputs = d.inputs(spark, sf)
     scan_stream(stream, inputs, f"{base}/matches", f"{base}/offsets", d.settings()).awaitTermination()
     return _flat(stream_report(spark, f"{base}/matches", inputs, d.settings()))
+
+
+@query("incremental_changes")
+def _incremental_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other page lands with another text first; then it changes, and all inputs but the hosts are added."""
+    base = scratch_path(spark, "incremental")
+    landed, table, offsets = (f"{base}/{name}" for name in ("landed", "matches", "offsets"))
+    inputs, p, schema = d.inputs(spark, sf), d.settings(), "url string, html string, landed timestamp"
+    even = F.col("page_id") % 2 == 0
+    pages = d.pages(spark, sf, spread=True).select("url", "html", "host", even.alias("even"))
+    old = F.when(F.col("even"), F.concat(F.lit("<p>formerly https://"), "host", F.lit("/The and https://gone.example"))).otherwise(F.col("html"))
+    pages.select("url", old.alias("html"), F.timestamp_seconds(F.lit(1)).alias("landed")).write.parquet(landed)
+    hosts = inputs.where(~F.col("queried_url").contains("/"))
+    scan_stream(stream_pages(spark, landed, T.StructType.fromDDL(schema)), hosts, table, offsets, p).awaitTermination()
+    compact(spark, table)
+    pages.where("even").select("url", "html", F.timestamp_seconds(F.lit(2)).alias("landed")).write.mode("append").parquet(landed)
+    so_far = landed_so_far(spark, landed, T.StructType.fromDDL(schema))
+    scan_stream(stream_pages(spark, landed, T.StructType.fromDDL(schema)), inputs, table, offsets, p, so_far).awaitTermination()
+    compact(spark, table)
+    return _flat(stream_report(spark, table, inputs, p))

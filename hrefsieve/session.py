@@ -37,11 +37,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete the folders that this process made so far. Call it once all outputs are written."""
     while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(spark, _MADE.pop())
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:

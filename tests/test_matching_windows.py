@@ -44,7 +44,7 @@ def test_false_candidates_of_a_full_filter(spark):
     assert len(prepared.passes) == 1
     near = [p[:-1] + ("A" if p[-1] != "A" else "B") for p in patterns] + [p + " " for p in patterns[:50]] + [f"https://h.com/{w}" for w in words(20_000)]
     texts = spark.createDataFrame([(str(i), t) for i, t in enumerate(near)], "url string, blob string").repartition(4)
-    found = texts.select(prepared.passes[0](F.col("blob")).alias("found")).select(F.explode("found").alias("raw")).select(F.col("raw").cast("string").alias("raw"))
+    found = prepared.passes[0](texts, ["url"], "blob").select(F.explode("found").alias("raw")).select(F.col("raw").cast("string").alias("raw"))
     false = found.where(~F.col("raw").isin(patterns)).count()
     assert found.count() - false == 50 and false <= 0.005 * len(near)
 

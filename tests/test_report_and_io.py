@@ -13,7 +13,6 @@ from hrefsieve.plans.jobs import audit_pages, check_page
 from hrefsieve.sinks import writers
 from hrefsieve.sources.inputs import no_inputs, read_inputs
 from hrefsieve.sources.landed import read_landed
-from hrefsieve.streaming.incremental import scan_stream, stream_pages, stream_report
 
 GOLDEN = {
     "https://www.example.com/a?x=1&amp;y=2#frag": {
@@ -160,28 +159,6 @@ def test_single_page_check(spark):
     assert check_page(inputs, pages, "https://h.com/none", AuditParams()).where("found").count() == 0
 
 
-def test_incremental_equals_batch(spark, tmp_path):
-    pages = spark.createDataFrame([(f"https://h.com/{i}", f"<a href='/l{i % 4}'>common{i % 2}</a>") for i in range(40)], "url string, html string")
-    inputs = spark.createDataFrame([(0, "common0"), (1, "https://h.com/l3"), (2, "common"), (3, "absent")], "input_id bigint, queried_url string")
-    p = AuditParams(max_match_pages=7)
-    landed, table, offsets = (str(tmp_path / n) for n in ("landed", "matches", "offsets"))
-    pages.limit(0).write.parquet(landed)
-    scan_stream(stream_pages(spark, landed, pages.schema), inputs, table, offsets, p).awaitTermination()
-    assert not stream_report(spark, table, inputs, p).where("found").count()
-    for part in (pages.where("crc32(url) % 2 = 0"), pages.where("crc32(url) % 2 = 1").union(pages.limit(5))):
-        part.coalesce(2).write.mode("append").parquet(landed)
-        stream = stream_pages(spark, landed, pages.schema, per_batch=1)
-        scan_stream(stream, inputs, table, offsets, p).awaitTermination()
-    got = sorted(map(str, stream_report(spark, table, inputs, p).collect()))
-    assert got == sorted(map(str, audit_pages(inputs, pages, p).collect()))
-    more = inputs.union(spark.createDataFrame([(999, "another.example")], "input_id bigint, queried_url string"))
-    for other, settings in ((more, p), (inputs, AuditParams(max_match_pages=8))):
-        with pytest.raises(ValueError, match="new table"):
-            stream_report(spark, table, other, settings)
-        with pytest.raises(ValueError, match="new table"):
-            scan_stream(stream_pages(spark, landed, pages.schema), other, table, offsets, settings)
-
-
 def test_partitioning_and_order_do_not_matter(spark, small):
     inputs, variants, hits = small
     want = sorted(map(str, report(inputs, variants, hits).collect()))
