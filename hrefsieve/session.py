@@ -37,6 +37,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    """Is there such a folder, in whatever store it is?"""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

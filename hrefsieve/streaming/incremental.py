@@ -15,7 +15,6 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,7 @@ from hrefsieve.operators.matching import Matcher, matcher
 from hrefsieve.operators.report import report
 from hrefsieve.params import AuditParams
 from hrefsieve.plans.jobs import searched
-from hrefsieve.session import cut, delete_folder, join_lookup
+from hrefsieve.session import cut, delete_folder, folder_exists, join_lookup
 
 ROWS = "url string, landed timestamp, found array<string>"
 
@@ -52,10 +51,7 @@ def _with_landing(pages: DataFrame) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """A table that may not be there yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return None
+    return spark.read.schema(schema).parquet(path) if folder_exists(spark, path) else None
 
 
 def _settings(p: AuditParams) -> str:
