@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hrefsieve.llm.tables import cut, small
+from hrefsieve.llm.tables import cut, scratch_path, small
 
 _KINDS: dict[str, Callable[[Any], bool]] = {
     "string": lambda x: isinstance(x, str),
@@ -53,9 +55,53 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+#: halves of characters that stand alone; UTF-8 has no form for them
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _utf8(text: str) -> str:
+    """Text that UTF-8 can hold: a lone half of a character is escaped, as JSON has it."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: Any) -> str:
-    """JSON without spaces, keys sorted, characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON without spaces, keys sorted, characters as they are, whole numbers without a fraction."""
+    return _utf8(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _number(text: str) -> float | int:
+    value = float(text)
+    if math.isinf(value):
+        raise ValueError("out of range")
+    return int(value) if value.is_integer() and abs(value) < 1 << 53 else value
+
+
+def _no_number(text: str) -> None:
+    raise ValueError(f"{text} is no JSON")
+
+
+def parsed(text: str | None) -> tuple[Any, list[str]]:
+    """The value of a JSON text (null: null) and what is wrong with the text.
+
+    What is no JSON stays a string: ``NaN`` and infinities, numbers beyond a double, and
+    nesting too deep to be read. Of repeated keys the last counts and the first repeat is reported.
+    """
+    repeated: list[str] = []
+
+    def merged(pairs: list[tuple[str, Any]]) -> dict:
+        out = dict(pairs)
+        if len(out) < len(pairs):
+            seen: set[str] = set()
+            repeated.append(next(k for k, _ in pairs if k in seen or seen.add(k)))
+        return out
+
+    try:
+        value = json.loads("null" if text is None else text, parse_float=_number, parse_constant=_no_number, object_pairs_hook=merged)
+        return value, [f"$: repeated key {k}" for k in repeated[:1]]
+    except ValueError:
+        return text, ["$: not JSON"]
+    except RecursionError:
+        return text, ["$: nested too deep"]
 
 
 def _serialised(schemas: dict[str, dict]) -> Callable:
@@ -68,15 +114,16 @@ def _serialised(schemas: dict[str, dict]) -> Callable:
                 batch = whole.slice(start, 512)
                 texts, problems = [], []
                 for _, _, call_id, tool, arguments, result, has_result, _, needs in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                    value, wrong = parsed(arguments)
+                    message = {"id": call_id, "tool": tool, "depends_on": sorted({x for x in needs or [] if x is not None})} | ({"result": result} if has_result else {})
                     try:
-                        value, wrong = json.loads(arguments if arguments is not None else "null"), []
-                    except ValueError:
-                        value, wrong = arguments, ["$: not JSON"]
-                    if not wrong:
-                        wrong = violations(value, schemas[tool]) if tool in schemas else [f"$: unknown tool {tool}"]
-                    message = {"id": call_id, "tool": tool, "arguments": value, "depends_on": sorted({x for x in needs or [] if x is not None})}
-                    texts.append(canonical(message | ({"result": result} if has_result else {})))
-                    problems.append("; ".join(wrong) or None)
+                        if not wrong:
+                            wrong = violations(value, schemas[tool]) if tool in schemas else [f"$: unknown tool {tool}"]
+                        texts.append(canonical(message | {"arguments": value}))
+                    except RecursionError:  # what can be read may still be too deep to be written
+                        wrong = ["$: nested too deep"]
+                        texts.append(canonical(message | {"arguments": arguments}))
+                    problems.append(_utf8("; ".join(wrong)) or None)
                 kept = [batch.column(c) for c in ("conv_id", "turn", "call_id", "tool", "has_result", "level")]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(problems, pa.string())], names=["conv_id", "turn", "call_id", "tool", "has_result", "level", "json", "problems"])
 
@@ -88,7 +135,9 @@ def ordered(calls: DataFrame) -> DataFrame:
     call of its conversation, else one more than the highest level it needs.
 
     One frontier is settled at a time by joins over all conversations, so a conversation
-    of any size is never gathered, and rows are read once when their last need is met.
+    of any size is never gathered, and rows are read once when their last need is met. A
+    level is a folder of one table: plans don't grow with depth, but a chain takes as many
+    rounds as it is long.
     Calls in or behind a cycle have no level. Needs that no call of the conversation
     meets, and repeated ones, don't count.
     """
@@ -98,17 +147,19 @@ def ordered(calls: DataFrame) -> DataFrame:
     edges = cut(edges, "needs")
     waiting = edges
     level = cut(nodes.join(small(edges).select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    done, at = level, 0
+    base, at = scratch_path(calls.sparkSession, "levels"), 0
+    level.drop("level").write.parquet(f"{base}/level=0")
     while not waiting.isEmpty():
         met = small(level).select("conv_id", F.col("call_id").alias("need"))
         left = cut(waiting.join(met, ["conv_id", "need"], "left_anti"), "waiting")
         ready = waiting.select("conv_id", "call_id").distinct().join(small(left).select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
         at += 1
-        level = cut(ready.withColumn("level", F.lit(at)), "level")
+        ready.write.parquet(f"{base}/level={at}")
+        level = calls.sparkSession.read.schema(ready.schema).parquet(f"{base}/level={at}")
         if level.isEmpty():
             break
-        done, waiting = done.unionByName(level), left
-    return done
+        waiting = left
+    return calls.sparkSession.read.schema(T.StructType([*nodes.schema.fields, T.StructField("level", T.IntegerType())])).parquet(base)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -117,8 +168,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     ``calls``: conv_id, turn, call_id, tool, arguments (JSON), depends_on (call ids).
     ``results``: conv_id, call_id, result. Joined by conversation and id; of repeated
     calls the first turn counts (then the smallest arguments), of repeated results the
-    smallest. Position runs by level, then turn, then id within a conversation; calls in
-    cycles come without level. Calls without conversation or id are left out; results
+    smallest. Within a conversation calls are in order of level, turn and id; calls in
+    cycles come without level. Arguments that are no JSON (``parsed``) stay a string and
+    make a call invalid, however long or deep they are. Calls without conversation or id are left out; results
     without a call are counted nowhere. Empty tables give no rows; other columns are not
     read. Returns conv_id, turn, call_id, tool, level, status, problems and json, where
     status is ok, no_result, invalid or cycle.

@@ -143,6 +143,43 @@ def test_tool_calls(spark):
     assert tool_calls.link(frame.limit(0), found, tool_calls.SCHEMAS).count() == 0
 
 
+DEEP = "[" * 200_000
+
+
+@pytest.mark.parametrize(("text", "json", "problems"), [
+    (DEEP + "]" * 200_000, None, "$: nested too deep"), (DEEP, None, "$: nested too deep"), ('{"a":' * 3000 + "1" + "}" * 3000, None, None), ('{"text": "\\ud800"}', '{"text":"\\ud800"}', ""),
+    ('{"\\ud800": 1}', '{"\\ud800":1}', ""), ('{"n": NaN}', None, "$: not JSON"), ('{"n": 1e400}', None, "$: not JSON"), ('{"n": -Infinity}', None, "$: not JSON"),
+    ('{"n": 1.0, "m": 2.50, "k": 1e3, "z": -0.0}', '{"k":1000,"m":2.5,"n":1,"z":0}', ""), ('{"a": 1, "a": 2}', '{"a":2}', "$: repeated key a"), ('{"x": "' + "y" * 2_000_000 + '"}', None, ""),
+])
+def test_odd_arguments_neither_crash_nor_stay_uncanonical(spark, text, json, problems):
+    calls = spark.createDataFrame([(1, 1, "c", "any", text, [])], "conv_id long, turn long, call_id string, tool string, arguments string, depends_on array<string>")
+    row = tool_calls.link(calls, spark.createDataFrame([], "conv_id long, call_id string, result string"), {"any": {}}).first()
+    assert problems is None or (row.problems or "") == problems
+    assert json is None or row.json == '{"arguments":' + json + ',"depends_on":[],"id":"c","tool":"any"}'
+    assert row.json.startswith('{"arguments":') and row.status == ("invalid" if row.problems else "no_result")
+
+
+def test_levels_of_a_chain_are_one_table(spark):
+    calls = [(1, k, f"c{k}", "any", "{}", [f"c{k - 1}"] if k else []) for k in range(25)]
+    frame = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, tool string, arguments string, depends_on array<string>")
+    levels = tool_calls.ordered(frame)
+    assert {r.call_id: r.level for r in levels.collect()} == {f"c{k}": k for k in range(25)}
+    assert levels._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
+@pytest.mark.parametrize("part_rows", [1000, 125, 40])
+def test_recall_at_production_settings(spark, part_rows):
+    """Whatever the number of parts that the rows call for; clustered and uniform vectors."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(12, 32))
+    x = np.vstack([centres[r.integers(0, 12, 1200)] + 0.6 * r.normal(size=(1200, 32)), r.normal(size=(400, 32))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = brute_neighbours(rows, 5)
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5, neighbours.Settings(part_rows=part_rows))
+    got = {(n.query_id, n.vec_id) for n in found.collect()}
+    assert len(got & {(q, i) for q, near in want.items() for i, _ in near}) >= 0.9 * 5 * len(want)
+
+
 @pytest.mark.parametrize(("value", "schema", "wrong"), [
     (1.0, {"type": "integer"}, 0), (True, {"type": "integer"}, 1), (None, {"type": ["null", "string"]}, 0), ([1, "a"], {"items": {"type": "number"}}, 1),
     ({"a": {}}, {"properties": {"a": {"required": ["b"]}}}, 1), ("ab", {"maxLength": 1}, 1), (5, {"enum": [1, 2]}, 1), ([], {"minItems": 1}, 1),
