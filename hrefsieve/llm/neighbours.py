@@ -27,7 +27,7 @@ class Settings:
     sample: int = 8000
     links: int = 10
     #: parts are doubled until one holds fewer than ``part_rows`` rows, at most so many
-    part_rows: int = 1000
+    part_rows: int = 125
     parts: int = 256
     #: a query visits parts until their probabilities add up to this
     mass: float = 0.93
