@@ -7,6 +7,7 @@ share of a template's words that is aligned is its coverage.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -22,9 +23,6 @@ WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 #: share of a template that has to be aligned, and of the words between the first and the
 #: last aligned word of the text
 COVERAGE, DENSITY = 0.8, 0.5
-#: the rarest template words of a text say where to align
-PIVOTS = 3
-
 #: fixed values: wording of public licence notices
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -57,7 +55,31 @@ TEMPLATES = {
         "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
         "notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+        "PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, "
+        "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
+        "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE."
+    ),
     "mit-notice": "Released under the MIT License.",
+    "mit-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+        "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
 }
 
 
@@ -71,16 +93,18 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str]):
         self.templates = {name: words_in(t) for name, t in sorted(templates.items())}
-        self.unique = {name: {w: i for i, w in enumerate(t) if t.count(w) == 1} for name, t in self.templates.items()}
         self.counts = {name: Counter(t) for name, t in self.templates.items()}
         self.known = frozenset(w for t in self.templates.values() for w in t)
 
     def scan(self, words: list[str]) -> list[tuple[str, int, float, int, int]]:
         """(template, aligned words, coverage, first and last aligned word) of every template found.
 
-        A text may hold a template more than once or among other text. So it is aligned
-        around every place of the template's rarest words in the text, a template's
-        length and a half to both sides of where the template would then lie.
+        A text may hold a template more than once or among other text. At most m words of
+        a template that is found are not aligned, so of any m + 1 of its words one is. The
+        m + 1 that are rarest in the text say where to look, missing ones first, so a text
+        that lacks more than m of them is done: the text is aligned around each of their
+        places, a template's length and a half to both sides of where the template would
+        then lie. Words that the template repeats count with each of their places.
         """
         seen = self.known.intersection(words)
         counts = {name: sum(n for w, n in c.items() if w in seen) for name, c in self.counts.items()}
@@ -94,10 +118,11 @@ class Scanner:
         for name, template in self.templates.items():
             if counts[name] < COVERAGE * len(template) or not counts[name]:
                 continue
-            rare = sorted((w for w in self.unique[name] if w in places), key=lambda w: (len(places[w]), w))[:PIVOTS]
+            missed = len(template) - math.ceil(COVERAGE * len(template))
+            rare = sorted(range(len(template)), key=lambda k: (len(places.get(template[k], ())), k))[: missed + 1]
             slack = len(template) // 2 + 2
             best = None
-            for lo in sorted({p - self.unique[name][w] for w in rare for p in places[w]}):
+            for lo in sorted({p - k for k in rare for p in places.get(template[k], ())}):
                 start = max(0, lo - slack)
                 aligned = patience(words[start : lo + len(template) + slack], template)
                 if len(aligned) >= COVERAGE * len(template):
