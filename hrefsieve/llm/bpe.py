@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,6 +36,47 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+#: classes of the pattern, by the library and by ``regex``
+CLASSES = {r"\p{L}": r"\p{L}", r"\p{N}": r"\p{N}", r"\s": r"\p{White_Space}"}
+
+
+def _as_class(points: list[int]) -> str:
+    """Sorted code points as the ranges of a character class."""
+    starts = [c for c, before in zip(points, [-9, *points], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(points, [*points[1:], -9], strict=True) if c + 1 != after]
+    return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in zip(starts, ends, strict=True))
+
+
+def library_letters(path: str, pattern: str) -> tuple[str, str, dict[int, str]]:
+    """The pattern with the library's own letters, numbers and white space spelt out, the class
+    of characters that ``regex`` or Python take for something else, and those among them
+    that the library lower-cases or composes in another way.
+
+    Each knows some version of Unicode. The library is asked once, on the driver, about
+    every code point: runs of a class in a text of all of them are its ranges.
+    """
+    from tokenizers import Regex, Tokenizer
+    from tokenizers.pre_tokenizers import Split
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 1]
+    text, other = "".join(map(chr, points)), set()
+    for name, ours in CLASSES.items():  # they stand in brackets only
+        runs = Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(text)
+        theirs = [points[k] for _, (a, b) in runs for k in range(a, b)]
+        other |= set(theirs) ^ set(map(ord, "".join(regex.findall(f"{ours}+", text))))
+        pattern = pattern.replace(name, _as_class(theirs))
+    normal = Tokenizer.from_file(path).normalizer.normalize_str("\x01".join(text)).split("\x01")
+    lower = {c: n for c, n in zip(points, normal, strict=True) if not chr(c).isspace() and n != _normal(chr(c))}
+    return pattern, _as_class(sorted(other | lower.keys())), lower
+
+
+def _normal(text: str) -> str:
+    """Composed, and lower case letter by letter: a final sigma isn't told apart."""
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return text.replace("Σ", "σ").lower()
+
+
 def load_vocabulary(path: str) -> dict:
     """The parts of a tokenizer file that encoding needs. Its size is the vocabulary's."""
     spec = json.loads(Path(path).read_text("utf-8"))
@@ -44,11 +86,15 @@ def load_vocabulary(path: str) -> dict:
     expected = (model["type"], split["behavior"], split["invert"], spec["decoder"], normal)
     if expected != ("BPE", "Removed", True, None, ["NFC", "Replace", "Lowercase"]):
         raise ValueError(f"not a BPE tokenizer of whole lower-case words: {expected}")
+    exact, disputed, lower = library_letters(path, split["pattern"]["Regex"])
     return {
         "vocab": model["vocab"],
         "merges": [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]],
         "suffix": model["end_of_word_suffix"],
         "pattern": split["pattern"]["Regex"],
+        "exact": exact,
+        "disputed": disputed,
+        "lower": lower,
         "special": {t["content"]: t["id"] for t in spec["added_tokens"]},
     }
 
@@ -62,11 +108,17 @@ class WordBpe:
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.rank = {pair: k for k, pair in reversed(list(enumerate(spec["merges"])))}
         self.letters = byte_letters()
-        self.pattern = regex.compile(spec["pattern"].replace(r"\s", r"\p{White_Space}"))
+        pattern = spec["pattern"]
+        for theirs, ours in CLASSES.items():
+            pattern = pattern.replace(theirs, ours)
+        self.pattern, self.exact, self.lower = regex.compile(pattern), re.compile(spec["exact"]), spec["lower"]
+        self.disputed = re.compile(f"[{spec['disputed']}]") if spec["disputed"] else None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.vocab = vocab
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        #: ids of words, as little-endian 32-bit integers, and how their tokens are spelt
+        self.memo: dict[str, bytes] = {}
+        self.spelt: dict[str, str] = {}
+        self.older: tuple[dict[str, bytes], dict[str, str]] = {}, {}
         self._derive(spec["merges"])
 
     def _derive(self, merges: list[tuple[str, str]]) -> None:
@@ -190,47 +242,60 @@ class WordBpe:
             failed = set(word[1:][inner][~good].tolist())
         else:
             failed = set()
+        packed, ends = flat.astype("<u4").tobytes(), np.cumsum(lengths) * 4
         for k, (w, spelt, guess) in enumerate(guesses):
             if k in failed:
                 merged.append((w, spelt))
             else:
-                self.memo[w] = tuple(guess)
+                self.memo[w] = packed[ends[k] - 4 * len(guess) : ends[k]]
+                self.spelt[w] = self.decode(guess)
         for w, spelt in merged:
-            self.memo[w] = tuple(self.vocab[t] for t in self.merge([*spelt[:-1], spelt[-1] + self.suffix]))
+            ids = [self.vocab[t] for t in self.merge([*spelt[:-1], spelt[-1] + self.suffix])]
+            self.memo[w], self.spelt[w] = np.array(ids, "<u4").tobytes(), self.decode(ids)
 
     def words(self, text: str) -> list[str]:
         """Normal form, then the pieces that the pattern keeps."""
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        # letter by letter: a final sigma isn't told apart. The pattern keeps no white
-        # space, so which one parts two pieces makes no difference.
-        return self.pattern.findall(text.replace("Σ", "σ").lower())
+        # The pattern keeps no white space, so which one parts two pieces makes no difference.
+        if text.isascii() or self.disputed is None or not self.disputed.search(text):
+            return self.pattern.findall(_normal(text))
+        return self.exact.findall(_normal(text).translate(self.lower))
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text."""
+    def _pieces(self, texts: list[str]) -> list[list]:
+        """Words of each text, all of them learnt; every second piece is a special token instead."""
         cut_texts = []
         for text in texts:
             parts = self.cut.split(text) if self.cut else [text]
             cut_texts.append([p if k % 2 else self.words(p) for k, p in enumerate(parts)])
         here = set().union(*(p for parts in cut_texts for p in parts[::2]))
         if len(self.memo) > MEMO:  # words that are still in use come back from the older half
-            self.memo, self.older = {}, self.memo
+            self.older = self.memo, self.spelt
+            self.memo, self.spelt = {}, {}
         missing = here.difference(self.memo)
-        for w in missing & self.older.keys():
-            self.memo[w] = self.older[w]
+        for w in missing & self.older[0].keys():
+            self.memo[w], self.spelt[w] = self.older[0][w], self.older[1][w]
         self.learn(missing.difference(self.memo))
-        memo = self.memo
-        out = []
-        for parts in cut_texts:
-            ids: list[int] = []
+        return cut_texts
+
+    def encode_packed(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids of each text, as little-endian 32-bit integers, and the text they decode to."""
+        out, pieces = [], self._pieces(texts)
+        ids, spelt = self.memo.__getitem__, self.spelt.__getitem__
+        for parts in pieces:
+            packed, words = [], []
             for k, p in enumerate(parts):
                 if k % 2:
-                    ids.append(self.special[p])
+                    packed.append(self.special[p].to_bytes(4, "little"))
+                    words.append(p)
                 else:
-                    ids.extend(chain.from_iterable(map(memo.__getitem__, p)))
-            out.append(ids)
+                    packed.extend(map(ids, p))
+                    words.extend(map(spelt, p))
+            out.append((b"".join(packed), " ".join(words)))
         return out
 
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        return [np.frombuffer(packed, "<u4").tolist() for packed, _ in self.encode_packed(texts)]
+
     def decode(self, ids: list[int]) -> str:
         """Tokens as they are spelt, with a space between: the file names no decoder."""
         return " ".join(map(self.names.__getitem__, ids))
@@ -259,12 +324,10 @@ def _encode(spec: _Given) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _ready(spec)
         for batch in slices(batches):
-            all_ids = bpe.encode_batch([t or "" for t in batch.column("text").to_pylist()])
-            packed = [np.array(ids, "<u4").tobytes() for ids in all_ids]
-            decoded = [bpe.decode(ids) for ids in all_ids]
+            packed, decoded = zip(*bpe.encode_packed([t or "" for t in batch.column("text").to_pylist()]), strict=True)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
-                pa.array([len(ids) for ids in all_ids], pa.int64()),
+                pa.array([len(ids) // 4 for ids in packed], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in packed]),
                 pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in decoded]),
             ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -276,8 +339,10 @@ def _ids(spec: _Given) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _ready(spec)
         for batch in slices(batches):
-            ids = bpe.encode_batch([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            packed = [ids for ids, _ in bpe.encode_packed([t or "" for t in batch.column("text").to_pylist()])]
+            ends = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in packed])])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
     return run
 

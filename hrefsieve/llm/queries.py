@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 from hrefsieve.llm import bpe, conversations, jaccard_join, licences, line_dedup, mixing, near_dedup, neighbours, oracle, outliers, sharding, tool_calls, toxicity, whitening
 from hrefsieve.llm.tables import table
 
-#: the tokenizer file of the encoding query
-TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json")
+def _tokenizer() -> str:
+    """The tokenizer file of the encoding query: ``TOKENIZER_FILE``, else the installed one of this name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+TOKENIZER = os.environ.get("TOKENIZER_FILE") or _tokenizer()
 
 Query = Callable[[SparkSession, str], DataFrame]
 
