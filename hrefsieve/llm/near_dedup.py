@@ -1,12 +1,11 @@
 """Near-duplicates by a multi-index Hamming join of b-bit MinHash signatures.
 
-A document's signature holds ``INDEXED + CHECKED`` MinHash symbols of 16 bits. The
-indexed ones are split into ``CHUNKS``. If two signatures differ in fewer than
-``CHUNKS * (ERRORS + 1)`` indexed symbols, some chunk has at most ``ERRORS`` differences
-(pigeonhole); so each chunk gives one key for every choice of ``ERRORS`` left-out
-symbols, and every pair within the distance shares a key. A pair of similarity 0.8
-exceeds that distance with a probability near 1e-6, and the looser bound on all symbols
-with 2e-7; what passes is confirmed on the full sets.
+A document's signature holds ``INDEXED`` MinHash symbols of 16 bits, split into ``CHUNKS``.
+If two signatures differ in fewer than ``CHUNKS * (ERRORS + 1)`` symbols, some chunk has at
+most ``ERRORS`` differences (pigeonhole); so each chunk gives one key for every choice of
+``ERRORS`` left-out symbols, and every pair within the distance shares a key. All of them
+are confirmed on the full sets. A pair of similarity 0.8 exceeds the distance with a
+probability near 1e-6.
 """
 
 from __future__ import annotations
@@ -25,10 +24,6 @@ from hrefsieve.llm.tables import cut, free_name, runs, slices, small
 
 INDEXED, CHUNKS, ERRORS = 64, 15, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: further symbols, only to turn candidates away: mean and over five deviations at similarity
-#: 0.8, so that fewer pairs are lost than by the index
-CHECKED = 64
-ALL_DISTANCE = 50
 #: keys of at least so many members are compared on their sets at once, in blocks of at
 #: most about so many rows and shingles
 HEAVY, BLOCK, BLOCK_SHINGLES = 64, 2048, 1 << 20
@@ -84,13 +79,13 @@ def shingle_set(text: bytes | None, width: int, memo: dict) -> np.ndarray:
 
 
 _RANDOM = np.random.default_rng(20)
-_FACTORS = (_RANDOM.integers(1, 1 << 32, INDEXED + CHECKED, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_OFFSETS = _RANDOM.integers(0, 1 << 32, INDEXED + CHECKED, dtype=np.uint64).astype(np.uint32)[:, None]
+_FACTORS = (_RANDOM.integers(1, 1 << 32, INDEXED, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_OFFSETS = _RANDOM.integers(0, 1 << 32, INDEXED, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The low 16 bits of the smallest hash under each hash function."""
-    least = np.full(INDEXED + CHECKED, 0xFFFFFFFF, np.uint32)
+    least = np.full(INDEXED, 0xFFFFFFFF, np.uint32)
     low = shingles.astype(np.uint32)
     for i in range(0, len(low), 512):
         y = low[None, i : i + 512] * _FACTORS + _OFFSETS
@@ -122,7 +117,7 @@ def _sketch(width: int) -> Callable:
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, INDEXED + CHECKED)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, INDEXED)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +135,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of two signature tables are within both distances?"""
-    differ = a != b
-    return (differ[:, :INDEXED].sum(axis=1) <= DISTANCE) & (differ.sum(axis=1) <= ALL_DISTANCE)
+    """Which rows of two signature tables are within the distance?"""
+    return (a != b).sum(axis=1) <= DISTANCE
 
 
 def _near(percent: int) -> Callable:
