@@ -186,3 +186,32 @@ def test_recall_at_production_settings(spark, part_rows):
 ])
 def test_schemas(value, schema, wrong):
     assert len(tool_calls.violations(value, schema)) == wrong
+
+
+def test_rates_equal_a_plain_solver(spark):
+    """Nearest to 1 in the squares of tokens' rates, nonnegative, with the wanted totals: plain dual ascent in numpy."""
+    r = np.random.default_rng(9)
+    p = r.dirichlet([0.4, 0.3, 0.2], 500)
+    tokens = r.integers(1, 400, 500)
+    want = {"good": 0.75, "low": 0.2, "toxic": 0.05}
+    rows = spark.createDataFrame([(i, int(n), *map(float, x)) for i, (n, x) in enumerate(zip(tokens, p))], "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+    got = np.array([x.rate for x in mixing.fit_rates(rows, want).orderBy("doc_id").collect()])
+    w, at = tokens / tokens.sum(), np.zeros(3)
+    for _ in range(200_000):
+        at += 0.5 * ((w * np.maximum(0, 1 - p @ at)) @ p - np.array(list(want.values())))
+    assert np.abs(got - np.maximum(0, 1 - p @ at)).max() < 1e-4 and (got >= 0).all() and (got == 0).any()
+    assert np.abs((w * got) @ p - np.array(list(want.values()))).max() < 1e-6
+
+
+def test_calibrated_posteriors_fit_their_labels():
+    r = np.random.default_rng(10)
+    y = np.eye(3)[r.integers(0, 3, 20_000)]
+    x = y @ r.normal(size=(3, 4)) * 2 + r.normal(size=(20_000, 4))
+    line = mixing.logistic(x, y, np.full(20_000, 1 / 20_000))
+    z = x @ line[:, :-1].T + line[:, -1]
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    for k in range(3):
+        for lo, hi in ((0, 0.2), (0.4, 0.6), (0.8, 1)):
+            some = (p[:, k] >= lo) & (p[:, k] <= hi)
+            assert some.sum() < 300 or abs(p[some, k].mean() - y[some, k].mean()) < 0.06
