@@ -1,8 +1,11 @@
 """Line dedup: blocks that two documents have in common go from the later one.
 
-Blocks are runs of equal lines, found through hashes of short windows of lines. All
-pairs aligned with a patience diff (``common_blocks``) are what this is tested against:
-blocks out of order or repeated within a document go as well.
+Documents meet through hashes of short windows of lines, each later document with the
+first holders of its windows, and are aligned on them with a patience diff. Aligned blocks
+go from the later document. Alignment keeps one order and one use of a block; blocks that
+cross it or repeat within a document are common all the same and go as well, which is told
+apart in the result. All pairs of documents aligned whole (``common_blocks``) are what
+this is tested against.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrefsieve.llm.tables import cut, fits, free_name, slices, words_of
+from hrefsieve.llm.tables import cut, fits, free_name, runs, slices, words_of
 
 #: words that a block needs to be deleted
 BLOCK_WORDS = 5
@@ -134,66 +137,82 @@ def common_blocks(earlier: list, later: list, words: list[int], least: int = BLO
     return out
 
 
-def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A mask of the lines that lie in a window of the list, up to the last such line."""
-    for batch in batches:
-        masks = []
-        for windows in batch.column("windows").to_pylist():
-            mask = np.zeros(max(w["stop"] for w in windows), bool)
-            for w in windows:
-                mask[w["start"] : w["stop"]] = True
-            masks.append(mask)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(masks, pa.list_(pa.bool_()))], names=["doc_id", "version", "mask"])
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each later document, which of its lines go, and which of those by alignment.
+
+    A document's windows come with the place of each in its first holder. With every such
+    holder the windows are aligned in the order of both documents.
+    """
+    for t in runs(batches, ["doc_id", "version"]):
+        keys = t.column("key").to_pylist()
+        start, stop, holder, version, at = (t.column(c).to_numpy() for c in ("start", "stop", "e", "ev", "at"))
+        masks = np.zeros((2, int(stop.max())), bool)
+        for i, j in zip(start, stop, strict=True):
+            masks[0, i:j] = True
+        change = np.flatnonzero((holder[1:] != holder[:-1]) | (version[1:] != version[:-1])) + 1
+        for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(keys)], strict=True):
+            there = dict(zip(keys[lo:hi], at[lo:hi].tolist(), strict=True))
+            for _, k in patience(sorted(there, key=there.__getitem__), keys[lo:hi]):
+                masks[1, start[lo + k] : stop[lo + k]] = True
+        yield pa.RecordBatch.from_arrays(
+            [t.column("doc_id").combine_chunks()[:1], t.column("version").combine_chunks()[:1], *[pa.array([m.tolist()], pa.list_(pa.bool_())) for m in masks]],
+            names=["doc_id", "version", "mask", "aligned"],
+        )
 
 
 def common_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, mask) of the documents that lose lines.
+    """(doc_id, version, mask, aligned) of the documents that lose lines.
 
     A line goes if it lies in a block, that is consecutive lines of ``BLOCK_WORDS`` words
-    or more together, that an earlier document holds too, wherever in it and however
-    often. Documents meet at windows, the shortest such runs from and up to each line:
-    every line of a common block lies in a window within the block. So each window has
-    one first holder and all others lose its lines, which is linear in lines however many
-    documents hold a window, and deletes whatever any alignment of any two documents
-    (``common_blocks``) would. The first holder of a window keeps it.
+    or more together, that an earlier document holds too. Documents meet at windows, the
+    shortest such runs from and up to each line: every line of a common block lies in a
+    window within the block. A window's later holders meet its first holder, so pairs are
+    linear in windows however many documents hold one. Each later document is aligned with
+    those holders, in one task that holds its own windows. ``mask`` has all lines that go:
+    those of aligned blocks (``aligned``), and those of blocks that the alignment crosses
+    or that repeat, which alone would align. So whatever any alignment of any two documents
+    (``common_blocks``) deletes is deleted. The first holder of a window keeps it.
     """
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
     windows = cut(keyed.mapInArrow(_windows, "doc_id long, version long, key binary, start int, stop int"), "windows")
     holder = F.struct("doc_id", "version")
-    firsts = windows.groupBy("key").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first < last")
-    firsts = cut(firsts.select("key", F.col("first.doc_id").alias("e"), F.col("first.version").alias("ev")), "firsts")
+    firsts = windows.groupBy("key").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.max(holder).alias("last"))
+    firsts = firsts.where("first.doc_id < last.doc_id or first.version < last.version")
+    firsts = cut(firsts.select("key", F.col("first.doc_id").alias("e"), F.col("first.version").alias("ev"), F.col("first.start").alias("at")), "firsts")
     later = windows.join(firsts, "key").where("doc_id != e or version != ev")
-    masks = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("windows"))
-    return cut(masks.mapInArrow(_masks, "doc_id long, version long, mask array<boolean>"), "masks")
+    by = ["doc_id", "version"]
+    rows = later.repartition(*by).sortWithinPartitions(*by, "e", "ev", "start")
+    return cut(rows.mapInArrow(_aligned, "doc_id long, version long, mask array<boolean>, aligned array<boolean>"), "masks")
 
 
-def without_common_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
+def without_common_lines(docs: DataFrame, removed: str | None = None, by_alignment: str | None = None) -> DataFrame:
     """The rows of ``docs``, their text without the lines that earlier documents hold.
 
     Earlier means a smaller doc_id (of rows with one doc_id, a smaller hash of the text;
     equal rows don't lose lines to each other). Rows without doc_id or text and texts
     without common lines stay as they are. A document may lose all its lines and then
     has an empty text; its row stays. ``removed`` names a new column with the number of
-    words deleted. Texts don't shuffle while the list of deletions fits in a broadcast.
+    words deleted, ``by_alignment`` one with those in aligned blocks. Texts don't shuffle while the list of deletions fits in a broadcast.
     """
     masks = common_lines(docs)
-    doc, version, mask = (free_name(docs, f"_dedup_{x}") for x in ("doc", "version", "mask"))
-    masks = masks.select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("mask").alias(mask))
+    doc, version, mask, aligned = (free_name(docs, f"_dedup_{x}") for x in ("doc", "version", "mask", "aligned"))
+    masks = masks.select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("mask").alias(mask), F.col("aligned").alias(aligned))
     masks = F.broadcast(masks) if fits(masks) else masks
     joined = docs.join(masks, (docs["doc_id"] == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(version)), "left")
     lines = F.split("text", "\n", -1)
-    goes = lambda i: F.coalesce(F.get(F.col(mask), i), F.lit(False))
-    kept = F.filter(lines, lambda _, i: ~goes(i))
+    marked = lambda which: lambda _, i: F.coalesce(F.get(F.col(which), i), F.lit(False))
+    kept = F.filter(lines, lambda x, i: ~marked(mask)(x, i))
     text = F.when(F.col(mask).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
     columns = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    if removed:
-        gone = F.size(words_of(F.array_join(F.filter(lines, lambda _, i: goes(i)), "\n"))).cast("long")
-        columns.append(F.when(F.col(mask).isNull(), F.lit(0).cast("long")).otherwise(gone).alias(removed))
+    for name, which in ((removed, mask), (by_alignment, aligned)):
+        if name:
+            gone = F.size(words_of(F.array_join(F.filter(lines, marked(which)), "\n"))).cast("long")
+            columns.append(F.when(F.col(mask).isNull(), F.lit(0).cast("long")).otherwise(gone).alias(name))
     return joined.select(*columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines before, words deleted, and the text that is left, of every row."""
+    """doc_id, n_lines before, words deleted, those of them in aligned blocks, and the text that is left, of every row."""
     before = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    rows = without_common_lines(docs.select("doc_id", "text", before.alias("n_lines")), "n_removed_words")
-    return rows.select("doc_id", "n_lines", "n_removed_words", "text")
+    rows = without_common_lines(docs.select("doc_id", "text", before.alias("n_lines")), "n_removed_words", "n_aligned_words")
+    return rows.select("doc_id", "n_lines", "n_removed_words", "n_aligned_words", "text")

@@ -150,6 +150,19 @@ def test_line_dedup_deletes_what_all_pairs_do(spark):
     assert all(got[i] == {1} for i in range(1, 6)) and all(got[i] == {1, 2} for i in range(7, 11))
 
 
+def test_aligned_lines_keep_one_order(spark):
+    """A later document that holds an earlier one's passages in order, then in another order, then twice."""
+    from tests.llm.conftest import prose
+
+    a, b, c, d = (prose(400 + k, 10) for k in range(4))
+    rows = list(enumerate("\n".join(x) for x in ([a, b, c, d], ["one", a, "two", b, c, "three", d], [c, a, b, d], [a, "x", a])))
+    masks = {r.doc_id: r for r in line_dedup.common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(masks) == {1, 2, 3}
+    assert masks[1].mask == masks[1].aligned == [False, True, False, True, True, False, True]
+    assert masks[2].mask == [True] * 4 and masks[2].aligned == [False, True, True, True]
+    assert masks[3].mask == [True, False, True] and sum(masks[3].aligned) == 1
+
+
 def test_line_dedup_of_blocks_of_short_lines(spark):
     """Verse and lists, no line of which has five words; empty lines within."""
     from tests.llm.conftest import prose
