@@ -103,11 +103,15 @@ def _sums(width: int) -> Callable:
 class Passes:
     """Products of the covariance with narrow blocks, each by one pass over the rows."""
 
-    def __init__(self, rows: DataFrame, width: int):
+    def __init__(self, rows: DataFrame, width: int, n: int, sums: list[int]):
+        self.rows, self.width, self.n, self.sums, self.count = rows, width, n, sums, 0
+
+    @classmethod
+    def over(cls, rows: DataFrame, width: int) -> Passes:
+        """Passes over rows whose number and exact sums a first pass finds."""
         found = rows.mapInArrow(_sums(width), "i long, high long, low long").groupBy("i").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect()
         totals = {r["i"]: (int(r["high"]) << 26) + int(r["low"]) if r["i"] >= 0 else int(r["high"]) for r in found}
-        self.rows, self.width, self.n, self.count = rows, width, totals.get(-1, 0), 0
-        self.sums = [totals.get(i, 0) for i in range(width)]
+        return cls(rows, width, totals.get(-1, 0), [totals.get(i, 0) for i in range(width)])
 
     def _summed(self, of_block: Callable, height: int, width: int) -> np.ndarray:
         """The sum over all rows of a ``height`` x ``width`` matrix made from each centred block.
@@ -216,7 +220,7 @@ def fit(rows: DataFrame, width: int, settings: Settings = Settings()) -> Fit:
     ends with QR and Rayleigh-Ritz. Done when every wanted pair's residual is within
     ``tolerance``, or no longer halves; the residuals are returned.
     """
-    passes = Passes(rows, width)
+    passes = Passes.over(rows, width)
     if passes.n == 0:
         return Fit(0, passes.sums, np.zeros((width, 0)), np.zeros(0), np.zeros(0), 0.0, 0)
     random = np.random.default_rng(settings.seed)
@@ -284,9 +288,7 @@ def whiten(vectors: DataFrame, vector: str = "embedding", settings: Settings = S
     project = found.vectors / np.sqrt(found.values)
     if not project.shape[1]:
         return vectors.sparkSession.createDataFrame([], COLUMNS)
-    error = Passes.__new__(Passes)
-    error.rows, error.width, error.n, error.sums, error.count = rows, width, found.n, found.sums, 0
-    error = error.identity_error(project)
+    error = Passes(rows, width, found.n, found.sums).identity_error(project)
     k, explained, residual = len(found.values), found.values / found.trace, found.residuals / found.values[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
