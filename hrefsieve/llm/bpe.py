@@ -47,26 +47,33 @@ def _as_class(points: list[int]) -> str:
     return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in zip(starts, ends, strict=True))
 
 
-def library_letters(path: str, pattern: str) -> tuple[str, str, dict[int, str]]:
+def library_letters(pattern: str) -> tuple[str, str, dict[int, str]]:
     """The pattern with the library's own letters, numbers and white space spelt out, the class
     of characters that ``regex`` or Python take for something else, and those among them
     that the library lower-cases or composes in another way.
 
     Each knows some version of Unicode. The library is asked once, on the driver, about
-    every code point: runs of a class in a text of all of them are its ranges.
+    every code point, some thousands at a time: runs of a class in a text of them are its ranges.
     """
-    from tokenizers import Regex, Tokenizer
+    from tokenizers import Regex, normalizers
     from tokenizers.pre_tokenizers import Split
 
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 1]
-    text, other = "".join(map(chr, points)), set()
-    for name, ours in CLASSES.items():  # they stand in brackets only
-        runs = Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(text)
-        theirs = [points[k] for _, (a, b) in runs for k in range(a, b)]
-        other |= set(theirs) ^ set(map(ord, "".join(regex.findall(f"{ours}+", text))))
-        pattern = pattern.replace(name, _as_class(theirs))
-    normal = Tokenizer.from_file(path).normalizer.normalize_str("\x01".join(text)).split("\x01")
-    lower = {c: n for c, n in zip(points, normal, strict=True) if not chr(c).isspace() and n != _normal(chr(c))}
+    splits = {name: Split(Regex(f"{name}+"), "removed", invert=True) for name in CLASSES}  # they stand in brackets only
+    normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    theirs: dict[str, list[int]] = {name: [] for name in CLASSES}
+    other: set[int] = set()
+    lower: dict[int, str] = {}
+    for start in range(0, 0x110000, 0x1000):
+        points = [c for c in range(start, start + 0x1000) if not 0xD800 <= c < 0xE000 and c != 1]
+        text = "".join(map(chr, points))
+        for name, ours in CLASSES.items():
+            found = [points[k] for _, (a, b) in splits[name].pre_tokenize_str(text) for k in range(a, b)]
+            theirs[name] += found
+            other.update(set(found) ^ set(map(ord, "".join(regex.findall(f"{ours}+", text)))))
+        normal = normalizer.normalize_str("\x01".join(text)).split("\x01")
+        lower |= {c: n for c, n in zip(points, normal, strict=bool(points)) if points and n != _normal(chr(c))}
+    for name, found in theirs.items():
+        pattern = pattern.replace(name, _as_class(found))
     return pattern, _as_class(sorted(other | lower.keys())), lower
 
 
@@ -86,7 +93,7 @@ def load_vocabulary(path: str) -> dict:
     expected = (model["type"], split["behavior"], split["invert"], spec["decoder"], normal)
     if expected != ("BPE", "Removed", True, None, ["NFC", "Replace", "Lowercase"]):
         raise ValueError(f"not a BPE tokenizer of whole lower-case words: {expected}")
-    exact, disputed, lower = library_letters(path, split["pattern"]["Regex"])
+    exact, disputed, lower = library_letters(split["pattern"]["Regex"])
     return {
         "vocab": model["vocab"],
         "merges": [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]],
