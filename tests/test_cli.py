@@ -32,6 +32,13 @@ def test_command_line_runs(spark, tmp_path):
     crawl = run(spark, common + ["--ignore-inputs"], "S2")
     assert "scanned_pages_S2.csv" in os.listdir(crawl) and not glob.glob(f"{crawl}/out*")
 
+    (tmp_path / "domains.txt").write_text("other.example\n h.com \n\n")
+    listed = run(spark, ["--pages", str(tmp_path / "landed"), "--input", str(tmp_path / "in.csv"), "--output", str(tmp_path / "out.csv"), "--domain-list", str(tmp_path / "domains.txt"),
+                         "--match-strategy", "windows", "--min-variant-length", "7", "--quote-all", "--utc-stamp"])
+    stamp = listed.rsplit("output_", 1)[1]
+    assert re.fullmatch(r"\d{8}T\d{6}", stamp) and read_csv(f"{listed}/out_{stamp}.csv") == report
+    assert all(open(p).read().startswith('"queried_url"') for p in glob.glob(f"{listed}/out_{stamp}.csv/part-*") if os.path.getsize(p))
+
     check = run(spark, common + ["--test-url", "https://h.com/1", "--no-body"], "S3")
     assert read_csv(f"{check}/test_results_S3.csv") == [["queried_url", "found", "match_count", "match_page_1"], ["target.example", "false", "0", ""], ["absent.example", "false", "0", ""]]
 
