@@ -4,43 +4,50 @@
 examples, the other half calibrates. Everything else covers all documents: document
 frequencies are counted over the whole corpus, every whole text is scored.
 
-Terms are lower-case words and beginnings of words (``root*``), as insults take endings.
+Terms are lower-case words. The index holds every word of every example, and norms cover
+whole texts: a word that no example holds weighs like one that no document holds. So the
+neighbours are those of the whole texts; labels have no part in finding them. They enter
+with the votes: a neighbour votes with the part of its similarity that comes from words
+which tell the labels apart (by G statistic, graded, of the word or a beginning of it, as
+insults take endings), and the votes are calibrated.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrefsieve.llm.tables import cut, slices
 
 WORD = re.compile(r"[^\W_]+")
-#: lengths of beginnings that may be terms
+#: lengths of beginnings of words that may tell the labels apart
 ROOTS = range(3, 8)
-NEIGHBOURS = 25
+NEIGHBOURS = 200
 EVIDENCE = 3
 REJECT = 0.7
+#: what the rest of a similarity adds to a vote, and the weight of the prior
+PLAIN_VOTE, PRIOR_VOTE = 0.01, 0.3
+#: texts beyond so many characters are read word by word instead of as one list
+LONG_TEXT = 1 << 20
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the sample that is learnt from."""
+    """Bounds of the sample that is learnt from, and what makes a word telling."""
 
     #: labelled rows of each label and role (example, calibration)
     rows: int = 2000
-    #: terms that tell the labels apart
-    terms: int = 512
-    #: a term must be so many times as frequent under one label, with a G statistic of
-    #: ``g`` and ``g_row`` for each example, since copies among them lift it
-    lift: float = 3.0
+    #: a word tells half as much as it can at a G statistic of ``g`` and ``g_row`` for each
+    #: example, since copies among them lift it; it must be ``lift`` times as frequent under one label
+    lift: float = 2.0
     g: float = 12.0
     g_row: float = 0.0045
     #: examples in a block of the index
@@ -52,109 +59,131 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0))
 
 
+def words_in(text: str | None) -> Counter:
+    """The words of a whole text and how often each occurs."""
+    text = (text or "").lower()
+    return Counter(WORD.findall(text) if len(text) < LONG_TEXT else (m.group() for m in WORD.finditer(text)))
+
+
 def terms_of(text: str | None) -> set[str]:
-    """Distinct terms of a text."""
-    words = set(WORD.findall(text.lower())) if text else set()
+    """Distinct words of a text, and their beginnings (``root*``)."""
+    words = set(words_in(text))
     return words | {w[:n] + "*" for w in words for n in ROOTS if len(w) > n}
 
 
-class Finder:
-    """Finds the terms of a vocabulary in texts, reading each text once whatever their number."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.automaton = ahocorasick.Automaton()
-        by_letters: dict[str, list[tuple[int, bool]]] = {}
-        for term, k in vocabulary.items():
-            by_letters.setdefault(term.rstrip("*"), []).append((k, term.endswith("*")))
-        for letters, found in by_letters.items():
-            self.automaton.add_word(letters, (len(letters), found))
-        self.any = bool(by_letters)
-        if self.any:
-            self.automaton.make_automaton()
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        """Term numbers and how often each occurs, in order of number."""
-        if not text or not self.any:
-            return {}
-        text, out = text.lower(), {}
-        for end, (length, found) in self.automaton.iter(text):
-            start = end - length
-            if start >= 0 and text[start].isalnum():
-                continue
-            inside = end + 1 < len(text) and text[end + 1].isalnum()
-            for k, root in found:
-                if root == inside:
-                    out[k] = out.get(k, 0) + 1
-        return dict(sorted(out.items()))
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each pair, ``length`` numbers each, one after the other."""
+    return np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
 
 
 class Index:
     """Examples as lists of term weights, in blocks with each term's largest weight.
 
-    A query's bound for a block is its product with the block's maxima. Blocks are
-    scored best bound first until no bound reaches the k-th score found, so the result
-    is the exact k nearest, ties to the smaller id.
+    A query's bound for a block is its product with the block's maxima. The blocks of the
+    best bounds are scored first, then all whose bound reaches the k-th score found, so
+    the result is the exact k nearest, ties to the smaller id. Lists are sparse: an entry
+    is a term in a block, and points to the term's weights there.
     """
 
-    def __init__(self, vectors: list[dict[int, int]], ids: list[int], toxic: list[int], idf: np.ndarray, block: int):
-        self.idf, self.block = idf, block
+    #: blocks scored before any bound can rule one out
+    FIRST = 4
+
+    def __init__(self, vectors: Iterable[dict[int, int]], ids: list[int], toxic: list[int], idf: np.ndarray, block: int, unseen: float = 0.0):
+        self.idf, self.block, self.unseen = idf, block, unseen
         rows = [self.weights(v) for v in vectors]
-        heaviest = [(int(t[np.argmax(w)]), int(y), int(i)) if len(t) else (-1, int(y), int(i)) for (t, w), y, i in zip(rows, toxic, ids, strict=True)]
-        order = sorted((k for k in range(len(rows)) if len(rows[k][0])), key=heaviest.__getitem__)
-        blocks = max(1, -(-len(order) // block))
-        self.postings = np.zeros((len(idf), blocks * block))
-        for at, k in enumerate(order):
-            terms, weights = rows[k]
-            self.postings[terms, at] = weights
-        pad = blocks * block - len(order)
-        self.ids = np.array([ids[k] for k in order] + [0] * pad, np.int64)
-        self.toxic = np.array([toxic[k] for k in order] + [0] * pad, float)
-        self.postings = self.postings.reshape(len(idf), blocks, block)
-        self.maxima = self.postings.max(axis=2) if len(idf) else np.zeros((0, blocks))
-
-    def weights(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and their normed weights: (1 + ln count) * idf."""
+        # texts of one language share their commonest words, which have the smallest weights
+        common = [tuple(t[np.argsort(idf[t], kind="stable")[:3]].tolist()) for t, _ in rows]
+        order = sorted((k for k in range(len(rows)) if len(rows[k][0])), key=lambda k: (common[k], toxic[k], ids[k]))
+        self.ids = np.array([ids[k] for k in order], np.int64)
+        self.toxic = np.array([toxic[k] for k in order], float)
+        self.blocks = -(-len(order) // block)
+        # by example
+        self.lengths = np.array([len(rows[k][0]) for k in order], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.terms = np.concatenate([rows[k][0] for k in order] or [np.empty(0, np.int64)]).astype(np.int32)
+        self.values = np.concatenate([rows[k][1] for k in order] or [np.empty(0)])
+        # by term, then example
+        place = np.repeat(np.arange(len(order), dtype=np.int32), self.lengths)
+        by_term = np.argsort(self.terms, kind="stable")
+        term, self.place, self.weight = self.terms[by_term], place[by_term], self.values[by_term]
+        where = self.place // block
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (where[1:] != where[:-1])
+        self.entry = np.flatnonzero(new)
+        self.entry_length = np.diff(np.append(self.entry, len(term)))
+        self.entry_block = where[self.entry]
+        self.maxima = np.maximum.reduceat(self.weight, self.entry) if len(term) else np.empty(0)
+        self.entries = np.searchsorted(term[self.entry], np.arange(len(idf) + 1))
+
+    def weights(self, counts: dict[int, int], others: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their normed weights: (1 + ln count) * idf. ``others`` are counts of words without a number."""
         terms = np.fromiter(counts, np.int64, len(counts))
         w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+        rest = (1 + np.log(np.array([*others], float))) * self.unseen
+        return terms, w / np.sqrt((w * w).sum() + (rest * rest).sum()) if len(w) else w
 
-    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, others: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k nearest examples, of those that share a term."""
-        terms, w = self.weights(counts)
-        if not len(terms):
+        return self._nearest(*self.weights(counts, others), k)
+
+    def _nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(terms) or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
-        bounds = w @ self.maxima[terms]
-        queue = np.argsort(-bounds, kind="stable")
-        queue = queue[bounds[queue] > 0]
-        at, sims, take = np.empty(0, np.int64), np.empty(0), 2
-        while len(queue):
-            blocks, queue = queue[:take], queue[take:]
-            s = np.einsum("t,tbe->be", w, self.postings[np.ix_(terms, blocks)]).ravel()
-            places = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
-            at, sims = np.concatenate([at, places[s > 0]]), np.concatenate([sims, s[s > 0]])
-            # equal sums in another order differ by rounding; rounded they tie
-            best = np.lexsort((self.ids[at], -np.round(sims, 12)))[:k]
-            at, sims = at[best], sims[best]
-            if len(at) == k:
-                queue = queue[bounds[queue] >= sims[-1] - 1e-9]
-            take = 8
-        return at, sims
+        length = self.entries[terms + 1] - self.entries[terms]
+        entry, weight = _spread(self.entries[terms], length), np.repeat(w, length)
+        bounds = np.bincount(self.entry_block[entry], weight * self.maxima[entry], self.blocks)
+        sims = np.zeros(len(self.ids))
+        now = np.zeros(self.blocks, bool)
+        now[np.argsort(-bounds, kind="stable")[: self.FIRST]] = True
+        done = now | (bounds <= 0)
+        while now.any():
+            here = now[self.entry_block[entry]]
+            these, length = entry[here], self.entry_length[entry[here]]
+            at = _spread(self.entry[these], length)
+            sims += np.bincount(self.place[at], np.repeat(weight[here], length) * self.weight[at], len(sims))
+            least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
+            now = ~done & (bounds >= least - 1e-9)
+            done |= now
+        at = np.flatnonzero((sims > 0) & (sims >= least - 1e-9))
+        # equal sums in another order differ by rounding; rounded they tie
+        at = at[np.lexsort((self.ids[at], -np.round(sims[at], 12)))[:k]]
+        return at, sims[at]
+
+    def products(self, places: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Products of some examples with a vector."""
+        dense = np.zeros(len(self.idf))
+        dense[terms] = w
+        length = self.lengths[places]
+        at = _spread(self.starts[places], length)
+        return np.bincount(np.repeat(np.arange(len(places)), length), self.values[at] * dense[self.terms[at]], len(places))
 
 
 class Model:
-    """Vocabulary, index and calibration. All of it is bounded by ``Limits``."""
+    """Vocabulary, index, how much each term tells, and calibration. All of it is bounded by ``Limits``."""
 
-    def __init__(self, vocabulary: dict[str, int], index: Index, prior: float):
-        self.vocabulary, self.index, self.prior = vocabulary, index, prior
+    def __init__(self, vocabulary: dict[str, int], index: Index, telling: np.ndarray, prior: float):
+        self.vocabulary, self.index, self.telling, self.prior = vocabulary, index, telling, prior
         self.raw_at, self.score_at = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
-    def raw(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]]]:
-        """Votes of the nearest examples, each by its squared similarity, with the prior as one weak vote."""
-        at, sims = self.index.nearest(counts)
-        w = sims * sims
-        vote = (float(w @ self.index.toxic[at]) + 0.5 * self.prior) / (float(w.sum()) + 0.5)
-        shown = [(int(self.index.ids[i]), float(s), int(self.index.toxic[i])) for i, s in zip(at[:EVIDENCE], sims[:EVIDENCE], strict=True)]
-        return vote, shown
+    def counts(self, text: str | None) -> tuple[dict[int, int], list[int]]:
+        """Term numbers with their counts, and the counts of all other words."""
+        known, others = {}, []
+        for w, n in words_in(text).items():
+            k = self.vocabulary.get(w)
+            if k is None:
+                others.append(n)
+            else:
+                known[k] = n
+        return known, others
+
+    def raw(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
+        """Votes of the nearest examples with the prior as one weak vote, and the examples that voted with most weight."""
+        terms, w = self.index.weights(*self.counts(text))
+        at, sims = self.index._nearest(terms, w, NEIGHBOURS)
+        votes = self.index.products(at, terms, w * self.telling[terms]) + PLAIN_VOTE * sims
+        vote = (float(votes @ self.index.toxic[at]) + PRIOR_VOTE * self.prior) / (float(votes.sum()) + PRIOR_VOTE)
+        first = np.argsort(-np.round(votes, 12), kind="stable")[:EVIDENCE]
+        return vote, [(int(self.index.ids[at[i]]), float(sims[i]), int(self.index.toxic[at[i]])) for i in first]
 
     def calibrate(self, raws: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
         """Monotone fit of label frequency on votes (pool adjacent violators)."""
@@ -174,20 +203,6 @@ class Model:
         return float(min(1.0, max(0.0, 0.99 * np.interp(raw, self.raw_at, self.score_at) + 0.01 * raw)))
 
 
-def _counted(vocabulary: dict[str, int]) -> Callable:
-    """Partial document frequencies, one row per term and batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, df = Finder(vocabulary), np.zeros(len(vocabulary), np.int64)
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                for term in finder.counts(text):
-                    df[term] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "n"])
-
-    return run
-
-
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms with the number of toxic and other texts that hold them, summed by batch."""
     for batch in slices(batches):
@@ -218,54 +233,84 @@ def _sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> DataFrame:
     return cut(texts.groupBy("doc_id", "toxic", "role").agg(F.min("text").alias("text")), "sample")
 
 
-def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
-    """Learns from labels outside fold 1. Without usable labels every score is near 0."""
-    sample = _sample(docs, labels, limits)
-    sizes = {(r["role"], r["toxic"]): r["n"] for r in sample.groupBy("role", "toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get((0, 0), 0), sizes.get((0, 1), 0)
+def _counted(vocabulary: Broadcast) -> Callable:
+    """Partial document frequencies, one row per term and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = vocabulary.value
+        df = np.zeros(len(number), np.int64)
+        for batch in slices(batches):
+            for text in batch.column("text"):
+                found = [k for k in map(number.get, words_in(text.as_py())) if k is not None]
+                df[found] += 1  # distinct numbers
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], names=["term", "n"])
+
+    return run
+
+
+def _telling(sample: DataFrame, n0: int, n1: int, limits: Limits) -> DataFrame:
+    """(term, telling) for every word of the examples: 0 to 1, the most of the word and its beginnings."""
     seen = sample.where("role = 0").mapInArrow(_term_rows, "term string, a double, b double").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     rate1, rate0 = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
-    both = (F.col("a") + F.col("b")) / max(1, n0 + n1)
+    both = (F.col("a") + F.col("b")) / (n0 + n1)
     part = lambda x, n: F.when(x > 0, x * F.log(x / (n * both))).otherwise(0.0)
     g = 2 * (part(F.col("a"), n1) + part(F.col("b"), n0) + part(n1 - F.col("a"), n1 * (1 - both) / both) + part(n0 - F.col("b"), n0 * (1 - both) / both))
     lift = F.greatest(rate1 / rate0, rate0 / rate1)
-    chosen = []
-    if n0 and n1:
-        chosen = seen.withColumn("g", g).where((F.col("g") >= limits.g + limits.g_row * (n0 + n1)) & (lift >= limits.lift)).orderBy(F.desc("g"), "term").limit(limits.terms).collect()
-    vocabulary = {w: k for k, w in enumerate(sorted(r["term"] for r in chosen))}
+    r = F.pow(F.greatest(g, F.lit(0.0)) / (limits.g + limits.g_row * (n0 + n1)), 4)
+    rated = seen.select("term", F.when(lift >= limits.lift, r / (1 + r)).otherwise(0.0).alias("telling"))
+    word = F.col("term")
+    roots = F.array(word, *(F.when(F.length(word) > n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in ROOTS))
+    words = rated.where(~word.endswith("*")).select(word.alias("word"), F.explode(roots).alias("term"))
+    return words.join(rated, "term").groupBy(F.col("word").alias("term")).agg(F.max("telling").alias("telling"))
 
-    frequencies = docs.select("text").mapInArrow(_counted(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+
+def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
+    """Learns from labels outside fold 1. Without examples of both labels every score is near their frequency."""
+    spark = docs.sparkSession
+    sample = _sample(docs, labels, limits)
+    sizes = {(r["role"], r["toxic"]): r["n"] for r in sample.groupBy("role", "toxic").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = sizes.get((0, 0), 0), sizes.get((0, 1), 0)
+    # what reaches the driver from here on is the examples' words, 2 * limits.rows texts
+    rated = _telling(sample, n0, n1, limits).toArrow().sort_by("term") if n0 and n1 else None
+    vocabulary = {w: k for k, w in enumerate(rated["term"].to_pylist())} if rated else {}
+    telling = rated["telling"].to_numpy() if rated else np.empty(0)
+
+    numbers = spark.sparkContext.broadcast(vocabulary)
+    found = docs.select("text").mapInArrow(_counted(numbers), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(vocabulary))
-    for r in frequencies:
-        df[r["term"]] = r["n"]
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
     total = docs.count()
     idf = np.log((1 + total) / (1 + df)) + 1
 
     population = {r["toxic"]: r["n"] for r in labels.where((fold(F.col("doc_id")) != 1) & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = population.get(1, 0) / max(1, sum(population.values()))
-    rows = sample.mapInArrow(_features(vocabulary), "doc_id long, toxic int, role int, terms array<int>, counts array<int>").collect()  # 4 * limits.rows
-    rows.sort(key=lambda r: r["doc_id"])
-    vector = lambda r: dict(zip(r["terms"], r["counts"], strict=True))
-    examples = [r for r in rows if r["role"] == 0]
-    model = Model(vocabulary, Index([vector(r) for r in examples], [r["doc_id"] for r in examples], [r["toxic"] for r in examples], idf, limits.block), prior)
-    held = [r for r in rows if r["role"] == 2]
-    toxic = np.array([r["toxic"] for r in held], float)
+    rows = sample.where("role = 0").mapInArrow(_features(numbers), "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    vectors = (dict(zip(t.as_py(), n.as_py(), strict=True)) for t, n in zip(rows["terms"], rows["counts"], strict=True))
+    index = Index(vectors, rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), idf, limits.block, float(np.log(1 + total) + 1))
+    numbers.unpersist()
+    model = Model(vocabulary, index, telling, prior)
+
+    voted = F.col("v").getField("score")
+    held = sample.where("role = 2").select("toxic", _verdict(spark.sparkContext.broadcast(model), calibrated=False)(F.col("text")).alias("v"))
+    held = held.select("toxic", voted.alias("raw")).toArrow()  # 2 * limits.rows pairs of numbers
+    raw, toxic = held["raw"].to_numpy(), held["toxic"].to_numpy().astype(float)
     share = {y: population.get(y, 0) / max(1, int((toxic == y).sum())) for y in (0, 1)}
-    model.calibrate(np.array([model.raw(vector(r))[0] for r in held]), toxic, np.array([share[int(y)] for y in toxic]))
-    if not held:
+    model.calibrate(raw, toxic, np.array([share[int(y)] for y in toxic]))
+    if not len(raw):
         model.score_at = np.array([prior, prior])
     return model
 
 
-def _features(vocabulary: dict[str, int]) -> Callable:
+def _features(vocabulary: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(vocabulary)
+        number = vocabulary.value
         for batch in slices(batches):
-            counts = [finder.counts(t) for t in batch.column("text").to_pylist()]
+            counts = [{number[w]: n for w, n in words_in(t.as_py()).items() if w in number} for t in batch.column("text")]
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "toxic")] + [batch.column("role").cast(pa.int32()), pa.array([list(c) for c in counts], kind), pa.array([list(c.values()) for c in counts], kind)],
-                names=["doc_id", "toxic", "role", "terms", "counts"],
+                [batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in counts], kind), pa.array([list(c.values()) for c in counts], kind)],
+                names=["doc_id", "toxic", "terms", "counts"],
             )
 
     return run
@@ -276,20 +321,20 @@ VERDICT = "struct<score: double, evidence: array<struct<doc_id: bigint, similari
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A function of a text column that gives score and evidence, for use in any projection."""
-    held = spark.sparkContext.broadcast(model)  # bounded by Limits: 512 terms by 4,000 examples
+    return _verdict(spark.sparkContext.broadcast(model), calibrated=True)  # bounded by Limits: the words of 4,000 examples
 
+
+def _verdict(held: Broadcast, calibrated: bool) -> Callable[[Column], Column]:
     @F.arrow_udf(VERDICT)
     def verdict(texts: pa.Array) -> pa.Array:
-        m = held.value
-        finder, memo = Finder(m.vocabulary), {}
+        m, memo = held.value, {}
         scores, evidence = [], []
         for t in texts:
-            counts = finder.counts(t.as_py())
-            key = tuple(counts.items())
-            if key not in memo:
-                raw, shown = m.raw(counts)
-                memo[key] = m.score(raw), [{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in shown]
-            score, shown = memo[key]
+            text = t.as_py()
+            if text not in memo:
+                raw, shown = m.raw(text)
+                memo[text] = m.score(raw) if calibrated else raw, [{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in shown]
+            score, shown = memo[text]
             scores.append(score)
             evidence.append(shown)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
@@ -301,8 +346,8 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
 def score_documents(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence of every row.
 
-    Empty and null texts, and texts without a term that tells the labels apart, get what
-    the calibration rows of that kind got. Rows without doc_id are scored, never learnt
+    Empty and null texts, and texts that share no word with an example, get what the
+    calibration rows of that kind got. Evidence are the examples whose votes weigh most. Rows without doc_id are scored, never learnt
     from. Equal texts get equal scores. An empty table gives no rows. No other columns
     are read.
     """
@@ -312,6 +357,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows whose score is below ``REJECT``, with all their columns. Nothing is joined or moved."""
+    """The rows whose score is below ``REJECT``, with all their columns. Nothing is joined or moved.
+
+    Rows without text or doc_id are judged like all others; equal texts go or stay together.
+    """
     verdict = scorer(docs.sparkSession, fit(docs, labels, limits))
     return docs.where(verdict(F.col("text")).getField("score") < REJECT)

@@ -1,6 +1,9 @@
 """Operators that learn, against brute force, held-out accuracy and targets."""
 
 import math
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,6 +97,32 @@ def test_toxicity_learns_from_labels(spark, docs, no_docs, labels):
     assert all(r.predicted == 0 for r in nothing)
 
 
+def test_toxicity_neighbours_are_those_of_whole_texts(spark):
+    """Every word of every text counts, also words that no example holds; nobody's label has a part in it."""
+    texts = {i: prose(i, 5 + i % 40) + f" only{i} " * (i % 3) + (" Grubble" if i % 4 == 0 else "") for i in range(240)} | {900: None, 901: "", 902: "zzz", 903: "! ?"}
+    made = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marked = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.fit(made, marked, toxicity.Limits(block=8))
+    words = {i: Counter(re.findall(r"[^\W_]+", (t or "").lower())) for i, t in texts.items()}
+    df = Counter(w for c in words.values() for w in c)
+    examples = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 0]
+    known = {w for i in examples for w in words[i]}
+
+    def vector(i):
+        v = {w: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + (df[w] if w in known else 0))) + 1) for w, n in words[i].items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(i) for i in examples}
+    for i in texts:
+        v = vector(i)
+        sims = {e: sum(x * vectors[e].get(w, 0.0) for w, x in v.items()) for e in examples}
+        want = sorted((e for e in examples if sims[e] > 0), key=lambda e: (-round(sims[e], 12), e))[:10]
+        at, got = model.index.nearest(*model.counts(texts[i])[:1], 10, model.counts(texts[i])[1])
+        assert model.index.ids[at].tolist() == want and np.allclose(got, [sims[e] for e in want])
+        assert bool(want) == bool(known & words[i].keys())
+
+
 def test_rates_meet_targets(spark):
     r = np.random.default_rng(4)
     p = r.dirichlet([0.3, 0.3, 0.3], 500)
