@@ -97,15 +97,11 @@ class Index:
         self.ids = np.array([ids[k] for k in order], np.int64)
         self.toxic = np.array([toxic[k] for k in order], float)
         self.blocks = -(-len(order) // block)
-        # by example
-        self.lengths = np.array([len(rows[k][0]) for k in order], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.terms = np.concatenate([rows[k][0] for k in order] or [np.empty(0, np.int64)]).astype(np.int32)
-        self.values = np.concatenate([rows[k][1] for k in order] or [np.empty(0)])
-        # by term, then example
-        place = np.repeat(np.arange(len(order), dtype=np.int32), self.lengths)
-        by_term = np.argsort(self.terms, kind="stable")
-        term, self.place, self.weight = self.terms[by_term], place[by_term], self.values[by_term]
+        term = np.concatenate([rows[k][0] for k in order] or [np.empty(0, np.int64)]).astype(np.int32)
+        place = np.repeat(np.arange(len(order), dtype=np.int32), [len(rows[k][0]) for k in order])
+        by_term = np.argsort(term, kind="stable")
+        term, self.place = term[by_term], place[by_term]
+        self.weight = np.concatenate([rows[k][1] for k in order] or [np.empty(0)])[by_term]
         where = self.place // block
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (where[1:] != where[:-1])
@@ -124,15 +120,17 @@ class Index:
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, others: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k nearest examples, of those that share a term."""
-        return self._nearest(*self.weights(counts, others), k)
+        terms, w = self.weights(counts, others)
+        return self.find(terms, w, np.zeros(len(terms)), k)[:2]
 
-    def _nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, terms: np.ndarray, w: np.ndarray, part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and similarities of the k nearest examples, and how much of each comes from ``part`` of every term's weight."""
         if not len(terms) or not self.blocks:
-            return np.empty(0, np.int64), np.empty(0)
+            return np.empty(0, np.int64), np.empty(0), np.empty(0)
         length = self.entries[terms + 1] - self.entries[terms]
-        entry, weight = _spread(self.entries[terms], length), np.repeat(w, length)
+        entry, weight, part = _spread(self.entries[terms], length), np.repeat(w, length), np.repeat(part, length)
         bounds = np.bincount(self.entry_block[entry], weight * self.maxima[entry], self.blocks)
-        sims = np.zeros(len(self.ids))
+        sims, parts = np.zeros(len(self.ids)), np.zeros(len(self.ids))
         now = np.zeros(self.blocks, bool)
         now[np.argsort(-bounds, kind="stable")[: self.FIRST]] = True
         done = now | (bounds <= 0)
@@ -140,22 +138,16 @@ class Index:
             here = now[self.entry_block[entry]]
             these, length = entry[here], self.entry_length[entry[here]]
             at = _spread(self.entry[these], length)
-            sims += np.bincount(self.place[at], np.repeat(weight[here], length) * self.weight[at], len(sims))
+            place, product = self.place[at], np.repeat(weight[here], length) * self.weight[at]
+            sims += np.bincount(place, product, len(sims))
+            parts += np.bincount(place, product * np.repeat(part[here], length), len(sims))
             least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
             now = ~done & (bounds >= least - 1e-9)
             done |= now
         at = np.flatnonzero((sims > 0) & (sims >= least - 1e-9))
         # equal sums in another order differ by rounding; rounded they tie
         at = at[np.lexsort((self.ids[at], -np.round(sims[at], 12)))[:k]]
-        return at, sims[at]
-
-    def products(self, places: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Products of some examples with a vector."""
-        dense = np.zeros(len(self.idf))
-        dense[terms] = w
-        length = self.lengths[places]
-        at = _spread(self.starts[places], length)
-        return np.bincount(np.repeat(np.arange(len(places)), length), self.values[at] * dense[self.terms[at]], len(places))
+        return at, sims[at], parts[at]
 
 
 class Model:
@@ -179,8 +171,8 @@ class Model:
     def raw(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
         """Votes of the nearest examples with the prior as one weak vote, and the examples that voted with most weight."""
         terms, w = self.index.weights(*self.counts(text))
-        at, sims = self.index._nearest(terms, w, NEIGHBOURS)
-        votes = self.index.products(at, terms, w * self.telling[terms]) + PLAIN_VOTE * sims
+        at, sims, told = self.index.find(terms, w, self.telling[terms], NEIGHBOURS)
+        votes = told + PLAIN_VOTE * sims
         vote = (float(votes @ self.index.toxic[at]) + PRIOR_VOTE * self.prior) / (float(votes.sum()) + PRIOR_VOTE)
         first = np.argsort(-np.round(votes, 12), kind="stable")[:EVIDENCE]
         return vote, [(int(self.index.ids[at[i]]), float(sims[i]), int(self.index.toxic[at[i]])) for i in first]
