@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ REJECT = 0.7
 PLAIN_VOTE, PRIOR_VOTE = 0.01, 0.3
 #: texts beyond so many characters are read word by word instead of as one list
 LONG_TEXT = 1 << 20
+#: texts whose products with the common terms come at once
+QUERIES = 64
 
 
 @dataclass(frozen=True)
@@ -51,7 +54,7 @@ class Limits:
     g: float = 12.0
     g_row: float = 0.0045
     #: examples in a block of the index
-    block: int = 64
+    block: int = 128
 
 
 def fold(doc_id: Column) -> Column:
@@ -59,10 +62,14 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0))
 
 
+def _words(text: str | None) -> Iterable[str]:
+    text = (text or "").lower()
+    return WORD.findall(text) if len(text) < LONG_TEXT else (m.group() for m in WORD.finditer(text))
+
+
 def words_in(text: str | None) -> Counter:
     """The words of a whole text and how often each occurs."""
-    text = (text or "").lower()
-    return Counter(WORD.findall(text) if len(text) < LONG_TEXT else (m.group() for m in WORD.finditer(text)))
+    return Counter(_words(text))
 
 
 def terms_of(text: str | None) -> set[str]:
@@ -79,28 +86,30 @@ def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 class Index:
     """Examples as lists of term weights, in blocks with each term's largest weight.
 
-    A query's bound for a block is its product with the block's maxima. The blocks of the
-    best bounds are scored first, then all whose bound reaches the k-th score found, so
-    the result is the exact k nearest, ties to the smaller id. Lists are sparse: an entry
-    is a term in a block, and points to the term's weights there.
+    Terms that a share of ``COMMON`` of all examples hold are an array, whose products with
+    many queries come at once. The k-th best of them bounds the k-th score from below. All
+    other terms have sparse lists: an entry is a term in a block, with its largest weight
+    there, and points to its weights. A block's bound is its best product so far and the
+    query's product with those maxima; only blocks that reach the k-th score are read. So
+    the result is the exact k nearest, ties to the smaller id.
     """
 
-    #: blocks scored before any bound can rule one out
-    FIRST = 4
+    COMMON = 1 / 8
 
     def __init__(self, vectors: Iterable[dict[int, int]], ids: list[int], toxic: list[int], idf: np.ndarray, block: int, unseen: float = 0.0):
-        self.idf, self.block, self.unseen = idf, block, unseen
+        self.idf, self.block = np.append(idf, unseen), block
         rows = [self.weights(v) for v in vectors]
-        # texts of one language share their commonest words, which have the smallest weights
-        common = [tuple(t[np.argsort(idf[t], kind="stable")[:3]].tolist()) for t, _ in rows]
-        order = sorted((k for k in range(len(rows)) if len(rows[k][0])), key=lambda k: (common[k], toxic[k], ids[k]))
+        # a block's maxima are low if its texts have one language, so share their commonest
+        # words (those of the smallest weights), and are of about one length
+        common = [int(t[np.argmin(idf[t])]) if len(t) else -1 for t, _ in rows]
+        order = sorted((k for k in range(len(rows)) if len(rows[k][0])), key=lambda k: (common[k], len(rows[k][0]), ids[k]))
         self.ids = np.array([ids[k] for k in order], np.int64)
         self.toxic = np.array([toxic[k] for k in order], float)
         self.blocks = -(-len(order) // block)
         term = np.concatenate([rows[k][0] for k in order] or [np.empty(0, np.int64)]).astype(np.int32)
         place = np.repeat(np.arange(len(order), dtype=np.int32), [len(rows[k][0]) for k in order])
         by_term = np.argsort(term, kind="stable")
-        term, self.place = term[by_term], place[by_term]
+        term, self.place = term[by_term], place[by_term].astype(np.intp)
         self.weight = np.concatenate([rows[k][1] for k in order] or [np.empty(0)])[by_term]
         where = self.place // block
         new = np.ones(len(term), bool)
@@ -110,44 +119,60 @@ class Index:
         self.entry_block = where[self.entry]
         self.maxima = np.maximum.reduceat(self.weight, self.entry) if len(term) else np.empty(0)
         self.entries = np.searchsorted(term[self.entry], np.arange(len(idf) + 1))
+        common = np.flatnonzero(np.bincount(term, minlength=len(idf)) > len(order) * self.COMMON)
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense, held = np.zeros((len(common), self.blocks * block)), self.row[term] >= 0
+        self.dense[self.row[term[held]], self.place[held]] = self.weight[held]
+
+    def normed(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their normed weights: (1 + ln count) * idf. Words without a number are -1 and count in the norm."""
+        w = (1 + np.log(counts)) * self.idf[terms]
+        known = terms >= 0
+        return terms[known], w[known] / (np.sqrt((w * w).sum()) or 1.0)
 
     def weights(self, counts: dict[int, int], others: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and their normed weights: (1 + ln count) * idf. ``others`` are counts of words without a number."""
-        terms = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[terms]
-        rest = (1 + np.log(np.array([*others], float))) * self.unseen
-        return terms, w / np.sqrt((w * w).sum() + (rest * rest).sum()) if len(w) else w
+        """The same from term numbers with their counts, and the counts of words without a number."""
+        others = [*others]
+        return self.normed(np.array([*counts] + [-1] * len(others), np.int64), np.array([*counts.values()] + others, float))
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, others: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k nearest examples, of those that share a term."""
-        terms, w = self.weights(counts, others)
-        return self.find(terms, w, np.zeros(len(terms)), k)[:2]
-
-    def find(self, terms: np.ndarray, w: np.ndarray, part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places and similarities of the k nearest examples, and how much of each comes from ``part`` of every term's weight."""
-        if not len(terms) or not self.blocks:
-            return np.empty(0, np.int64), np.empty(0), np.empty(0)
+        return next(self.find([self.weights(counts, others)], np.zeros(len(self.idf)), k))[:2]
+
+    def find(self, queries: list[tuple[np.ndarray, np.ndarray]], telling: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each query: places and similarities of its k nearest examples, and the part of each that ``telling`` has of its terms."""
+        common = np.zeros((len(queries), len(self.dense)))
+        for line, (terms, w) in zip(common, queries, strict=True):
+            rows = self.row[terms]
+            line[rows[rows >= 0]] = w[rows >= 0]
+        size = len(self.ids)
+        for total, (terms, w) in zip(common @ self.dense, queries, strict=True):
+            sims, rare = total[:size], self.row[terms] < 0
+            least = np.partition(sims, -k)[-k] if size > k else 0.0
+            entry, weight = self._entries(terms[rare], w[rare])
+            where = self.entry_block[entry]
+            bounds = total.reshape(self.blocks, self.block).max(axis=1, initial=0.0) + np.bincount(where, weight * self.maxima[entry], self.blocks)
+            read = bounds >= least - 1e-9
+            sims += self._summed(entry[read[where]], weight[read[where]])
+            at = np.flatnonzero(sims > 0)
+            if len(at) > k:
+                at = at[sims[at] >= np.partition(sims, -k)[-k] - 1e-9]
+            # equal sums in another order differ by rounding; rounded they tie
+            at = at[np.lexsort((self.ids[at], -np.round(sims[at], 12)))[:k]]
+            told = telling[terms] > 0
+            yield at, sims[at], self._summed(*self._entries(terms[told], (w * telling[terms])[told]))[at]
+
+    def _entries(self, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms' entries, and each one's weight in the query."""
         length = self.entries[terms + 1] - self.entries[terms]
-        entry, weight, part = _spread(self.entries[terms], length), np.repeat(w, length), np.repeat(part, length)
-        bounds = np.bincount(self.entry_block[entry], weight * self.maxima[entry], self.blocks)
-        sims, parts = np.zeros(len(self.ids)), np.zeros(len(self.ids))
-        now = np.zeros(self.blocks, bool)
-        now[np.argsort(-bounds, kind="stable")[: self.FIRST]] = True
-        done = now | (bounds <= 0)
-        while now.any():
-            here = now[self.entry_block[entry]]
-            these, length = entry[here], self.entry_length[entry[here]]
-            at = _spread(self.entry[these], length)
-            place, product = self.place[at], np.repeat(weight[here], length) * self.weight[at]
-            sims += np.bincount(place, product, len(sims))
-            parts += np.bincount(place, product * np.repeat(part[here], length), len(sims))
-            least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
-            now = ~done & (bounds >= least - 1e-9)
-            done |= now
-        at = np.flatnonzero((sims > 0) & (sims >= least - 1e-9))
-        # equal sums in another order differ by rounding; rounded they tie
-        at = at[np.lexsort((self.ids[at], -np.round(sims[at], 12)))[:k]]
-        return at, sims[at], parts[at]
+        return _spread(self.entries[terms], length), np.repeat(w, length)
+
+    def _summed(self, entry: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Products with the entries, by example."""
+        length = self.entry_length[entry]
+        at = _spread(self.entry[entry], length)
+        return np.bincount(self.place[at], np.repeat(weight, length) * self.weight[at], len(self.ids))
 
 
 class Model:
@@ -168,14 +193,20 @@ class Model:
                 known[k] = n
         return known, others
 
-    def raw(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
-        """Votes of the nearest examples with the prior as one weak vote, and the examples that voted with most weight."""
-        terms, w = self.index.weights(*self.counts(text))
-        at, sims, told = self.index.find(terms, w, self.telling[terms], NEIGHBOURS)
-        votes = told + PLAIN_VOTE * sims
-        vote = (float(votes @ self.index.toxic[at]) + PRIOR_VOTE * self.prior) / (float(votes.sum()) + PRIOR_VOTE)
-        first = np.argsort(-np.round(votes, 12), kind="stable")[:EVIDENCE]
-        return vote, [(int(self.index.ids[at[i]]), float(sims[i]), int(self.index.toxic[at[i]])) for i in first]
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text with their weights, normed over the whole text."""
+        seen = words_in(text)
+        numbers = np.fromiter(map(self.vocabulary.get, seen, repeat(-1)), np.int64, len(seen))
+        return self.index.normed(numbers, np.fromiter(seen.values(), float, len(seen)))
+
+    def raw(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
+        """Of each text: votes of its nearest examples with the prior as one weak vote, and the examples that voted with most weight."""
+        for start in range(0, len(texts), QUERIES):
+            for at, sims, told in self.index.find([self.vector(t) for t in texts[start : start + QUERIES]], self.telling, NEIGHBOURS):
+                votes, toxic = told + PLAIN_VOTE * sims, self.index.toxic[at]
+                vote = (float((votes * toxic).sum()) + PRIOR_VOTE * self.prior) / (float(votes.sum()) + PRIOR_VOTE)
+                first = np.argsort(-np.round(votes, 12), kind="stable")[:EVIDENCE]
+                yield vote, list(zip(self.index.ids[at[first]].tolist(), sims[first].tolist(), toxic[first].astype(int).tolist(), strict=True))
 
     def calibrate(self, raws: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
         """Monotone fit of label frequency on votes (pool adjacent violators)."""
@@ -230,11 +261,12 @@ def _counted(vocabulary: Broadcast) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = vocabulary.value
-        df = np.zeros(len(number), np.int64)
+        df = np.zeros(len(number) + 1, np.int64)  # the last counts words without a number
         for batch in slices(batches):
-            for text in batch.column("text"):
-                found = [k for k in map(number.get, words_in(text.as_py())) if k is not None]
-                df[found] += 1  # distinct numbers
+            for text in batch.column("text").to_pylist():
+                words = set(_words(text))
+                df[np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))] += 1  # numbers are distinct
+        df = df[:-1]
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], names=["term", "n"])
 
@@ -319,16 +351,15 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
 def _verdict(held: Broadcast, calibrated: bool) -> Callable[[Column], Column]:
     @F.arrow_udf(VERDICT)
     def verdict(texts: pa.Array) -> pa.Array:
-        m, memo = held.value, {}
-        scores, evidence = [], []
-        for t in texts:
-            text = t.as_py()
-            if text not in memo:
-                raw, shown = m.raw(text)
-                memo[text] = m.score(raw) if calibrated else raw, [{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in shown]
-            score, shown = memo[text]
-            scores.append(score)
-            evidence.append(shown)
+        m, scores, evidence = held.value, [], []
+        for batch in slices([pa.RecordBatch.from_arrays([texts], names=["text"])]):
+            every = batch.column("text").to_pylist()
+            once = list(dict.fromkeys(every))
+            found = {}
+            for text, (raw, shown) in zip(once, m.raw(once), strict=True):
+                found[text] = m.score(raw) if calibrated else raw, [{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in shown]
+            scores += [found[t][0] for t in every]
+            evidence += [found[t][1] for t in every]
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["score", "evidence"])
 
