@@ -30,13 +30,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP_PATTERN), "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces whose texts are short together, so that Python copies stay small."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         start, size = 0, 0
         for i, n in enumerate(lengths):
-            if i > start and size + n > SLICE_BYTES:
+            if i > start and size + n > most:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += int(n)

@@ -38,6 +38,8 @@ REJECT = 0.7
 PLAIN_VOTE, PRIOR_VOTE = 0.01, 0.3
 #: texts beyond so many characters are read word by word instead of as one list
 LONG_TEXT = 1 << 20
+#: words and beginnings are counted in so many bytes of text at a time: there are many of them
+TERM_BYTES = 1 << 20
 #: texts whose products with the common terms come at once
 QUERIES = 64
 
@@ -94,7 +96,7 @@ class Index:
     the result is the exact k nearest, ties to the smaller id.
     """
 
-    COMMON = 1 / 8
+    COMMON = 1 / 16
 
     def __init__(self, vectors: Iterable[dict[int, int]], ids: list[int], toxic: list[int], idf: np.ndarray, block: int, unseen: float = 0.0):
         self.idf, self.block = np.append(idf, unseen), block
@@ -227,8 +229,8 @@ class Model:
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms with the number of toxic and other texts that hold them, summed by batch."""
-    for batch in slices(batches):
+    """Terms with the number of toxic and other texts that hold them, summed by slice."""
+    for batch in slices(batches, most=TERM_BYTES):
         seen = (Counter(), Counter())
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seen[toxic].update(terms_of(text))
