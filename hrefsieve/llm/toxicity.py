@@ -117,7 +117,7 @@ class Index:
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (where[1:] != where[:-1])
         self.entry = np.flatnonzero(new)
-        self.entry_length = np.diff(np.append(self.entry, len(term)))
+        self.entry_length = np.diff(np.append(self.entry, len(term))).astype(np.int32)
         self.entry_block = where[self.entry]
         self.maxima = np.maximum.reduceat(self.weight, self.entry) if len(term) else np.empty(0)
         self.entries = np.searchsorted(term[self.entry], np.arange(len(idf) + 1))
@@ -318,8 +318,10 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     model = Model(vocabulary, index, telling, prior)
 
     voted = F.col("v").getField("score")
-    held = sample.where("role = 2").select("toxic", _verdict(spark.sparkContext.broadcast(model), calibrated=False)(F.col("text")).alias("v"))
+    voters = spark.sparkContext.broadcast(model)
+    held = sample.where("role = 2").select("toxic", _verdict(voters, calibrated=False)(F.col("text")).alias("v"))
     held = held.select("toxic", voted.alias("raw")).toArrow()  # 2 * limits.rows pairs of numbers
+    voters.unpersist()
     raw, toxic = held["raw"].to_numpy(), held["toxic"].to_numpy().astype(float)
     share = {y: population.get(y, 0) / max(1, int((toxic == y).sum())) for y in (0, 1)}
     model.calibrate(raw, toxic, np.array([share[int(y)] for y in toxic]))
