@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hrefsieve.operators import matching
+from hrefsieve.operators.links import page_blobs
 from hrefsieve.operators.matching import find_patterns, matcher
 from tests.test_matching import PATTERNS, TEXTS, brute
 
@@ -63,3 +64,11 @@ def test_gram_slots_of_short_and_empty_values():
     column = pa.array([b"", b"ab", None, b"abcdefgh"], pa.binary())
     within, rows, _, _ = matching._grams(column)
     assert rows.tolist() == [1, 3, 3, 3] and within.tolist() == [0, 0, 1, 2]
+
+
+def test_anchors_are_chosen_on_texts_made_by_lambdas(spark):
+    """Blobs of the regex mode: their links come from higher-order functions."""
+    pages = spark.createDataFrame([("https://h.test/a", '<a href="/one">1</a> two'), ("https://h.test/b", "three")], "url string, html string")
+    patterns = spark.createDataFrame([("h.test/one",), ("three",), ("four",)], "pattern string")
+    hits = find_patterns(page_blobs(pages, "regex"), patterns, "windows")
+    assert sorted(map(tuple, hits.collect())) == [("https://h.test/a", "h.test/one"), ("https://h.test/b", "three")]
