@@ -4,6 +4,7 @@ import itertools
 import unicodedata
 from urllib.parse import parse_qs, quote, unquote, urldefrag, urljoin, urlparse
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
@@ -167,3 +168,19 @@ def test_host_suffixes(spark):
 
 def test_looks_like_xml(spark):
     assert column(spark, ["  \n<a", "﻿<a", "x<a", ""], text.looks_like_xml) == [True, False, False, False]
+
+
+def test_bodies_visit_python_once_and_in_pieces(spark, tmp_path, monkeypatch):
+    from hrefsieve.plans.derived import byte_docs
+    from hrefsieve.sources.landed import text_documents
+
+    spark.createDataFrame([(i, f"https://h.test/{i}", f"<p>{i} é") for i in range(16)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    texts = text_documents(byte_docs(spark, str(tmp_path)))
+    plan = texts._jdf.queryExecution().optimizedPlan().toString() + texts._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert [plan.count(f"ArrowEvalPython [{name}(") for name in ("_gzipped", "_gunzip")] == [2, 2]  # once in each of the plans
+    assert plan.count("_gunzip(") == 2
+    want = {f"https://h.test/{i}" + (".gz" if i % 8 in (1, 4) else ""): ("ab" if i % 8 == 5 else "") + f"<p>{i} é" for i in range(16) if i % 8 not in (3, 6, 7)}
+    assert {r["url"]: r["text"] for r in texts.collect()} == want
+    monkeypatch.setattr(arrow, "PIECE_BYTES", 8)
+    pieces = list(arrow.in_pieces(iter([pa.array([b"abcd", b"abcd", None, b"x"], pa.binary()), pa.array([], pa.binary())]), lambda b: b + b"!"))
+    assert [p.to_pylist() for p in pieces] == [[b"abcd!", b"abcd!"], [None, b"x!"]]
