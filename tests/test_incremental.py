@@ -148,3 +148,20 @@ def test_bodies_as_files(spark, tmp_path):
     assert raw.count() == 4  # an empty file has no row
     got = {r["url"]: (r["html"], r["size_bytes"]) for r in landed_pages(raw).collect()}
     assert got == {"https://h/a": ("<p>café ", 9), "https://h/b": ("<p>packed", 9), "https://h/e.gz": ("<p>plain", 8)}
+
+
+def test_small_files_are_many_to_a_task(spark, tmp_path, monkeypatch):
+    from hrefsieve.sources import raw_files
+
+    for i in range(100):
+        (tmp_path / f"{i}.body").write_bytes(b"<p>%d" % i)
+    sidecar = spark.createDataFrame([(f"{i}.body", f"https://h/{i}", 200, {}) for i in range(100)], "file string, url string, status int, headers map<string,string>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")  # two files to a split
+    try:
+        raw = read_raw_files(spark, str(tmp_path), sidecar)
+        assert raw.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < 50
+        assert {(r["url"], bytes(r["body"])) for r in raw.collect()} == {(f"https://h/{i}", b"<p>%d" % i) for i in range(100)}
+        monkeypatch.setattr(raw_files, "TASK_BYTES", 1)  # as if the files were large
+        assert read_raw_files(spark, str(tmp_path), sidecar).rdd.getNumPartitions() == 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
