@@ -8,14 +8,15 @@ merged exactly.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain
 from pathlib import Path
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from hrefsieve.llm.tables import slices
 #: words whose tokens a task remembers
 MEMO = 150_000
 NEVER = 1 << 30
+#: words of fewer tokens than that are packed without an array
+PACKED = 32
 
 
 def byte_letters() -> list[str]:
@@ -114,7 +117,7 @@ class WordBpe:
         vocab = spec["vocab"]
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.rank = {pair: k for k, pair in reversed(list(enumerate(spec["merges"])))}
-        self.letters = byte_letters()
+        self.letters = "".join(byte_letters())
         pattern = spec["pattern"]
         for theirs, ours in CLASSES.items():
             pattern = pattern.replace(theirs, ours)
@@ -150,11 +153,29 @@ class WordBpe:
                 continue
             i = usable[token] = self.vocab[token]
             self.made[i], self.left[i], self.right[i] = k, self.vocab[a], self.vocab[b]
-        self.usable = usable
-        self.longest = max(map(len, usable), default=1)
+        self._list_usable(usable)
         pairs = {(self.vocab[a] * size + self.vocab[b]): k for (a, b), k in self.rank.items() if a in self.vocab and b in self.vocab}
         keys = np.array(sorted(pairs), np.int64)
         self.size, self.pair_keys, self.pair_ranks = size, keys, np.array([pairs[int(k)] for k in keys], np.int64)
+        #: the same for one word at a time: rank of a pair of ids, and the id that a merge makes
+        self.pair_rank = pairs
+        self.makes = [self.vocab.get(a + b) for a, b in merges]
+        letters = {*self.letters, *(c + self.suffix for c in self.letters)}
+        self.by_ids = letters <= self.vocab.keys() and None not in self.makes and len(pairs) == len(self.rank)
+
+    def _list_usable(self, usable: dict[str, int]) -> None:
+        """Tokens within words, tokens that end words (spelt without the end), and the lengths
+        worth trying where a word goes on with certain three letters, longest first."""
+        cut = len(self.suffix)
+        ends = {t: i for t, i in usable.items() if t.endswith(self.suffix) and t != self.suffix}
+        self.inner = {t: i for t, i in usable.items() if t not in ends}
+        self.final = {t[:-cut] if cut else t: i for t, i in ends.items()}
+        self.longest_final = max(map(len, self.final), default=0)
+        lengths: dict[str, set[int]] = {}
+        for t in self.inner:
+            if len(t) >= 3:
+                lengths.setdefault(t[:3], set()).add(len(t))
+        self.lengths = {start: (*sorted(found, reverse=True), 2, 1) for start, found in lengths.items()}
 
     def _letters(self, token: str) -> list[str]:
         """The letters of a token; the end of a word belongs to its last letter."""
@@ -211,54 +232,82 @@ class WordBpe:
             live = live[~done]
         return good
 
-    def _greedy(self, word: str) -> list[int] | None:
-        """Longest usable token at each place, the last one with the end of the word."""
-        out, at, n = [], 0, len(word)
-        usable, suffix, longest = self.usable, self.suffix, self.longest
+    def _greedy(self, word: str, out: list[int]) -> bool:
+        """Add the longest usable token at each place, the last one with the end of the word. Is there one everywhere?"""
+        at, n = 0, len(word)
+        inner, final, longest, lengths = self.inner.get, self.final.get, self.longest_final, self.lengths.get
         while at < n:
-            if n - at <= longest and (i := usable.get(word[at:] + suffix)) is not None:
+            if n - at <= longest and (i := final(word[at:])) is not None:
                 out.append(i)
                 break
-            for end in range(min(n - 1, at + longest), at, -1):
-                if (i := usable.get(word[at:end])) is not None:
+            for size in lengths(word[at : at + 3], (2, 1)):
+                if at + size < n and (i := inner(word[at : at + size])) is not None:
                     out.append(i)
-                    at = end
+                    at += size
                     break
             else:
-                return None
-        return out
+                return False
+        return True
+
+    def _merged(self, spelt: str) -> list[int]:
+        """Ids of a word by exact merging; the same as ``merge``, on ids instead of letters."""
+        if not self.by_ids:
+            return [self.vocab[t] for t in self.merge([*spelt[:-1], spelt[-1] + self.suffix])]
+        get, size, makes = self.pair_rank.get, self.size, self.makes
+        parts = [*map(self.vocab.__getitem__, spelt[:-1]), self.vocab[spelt[-1] + self.suffix]]
+        ranks = [get(a * size + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
+                break
+            at = ranks.index(best)
+            made = parts[at] = makes[best]
+            del parts[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] * size + made, NEVER)
+            if at < len(ranks):
+                ranks[at] = get(made * size + parts[at + 1], NEVER)
+        return parts
 
     def learn(self, words: set[str]) -> None:
-        """Tokens of new words, as the pattern cut them."""
-        letters, merged = self.letters, []
-        guesses: list[tuple[str, list[int]]] = []
+        """Tokens of new words, as the pattern cut them.
+
+        All guesses lie in one list: an object for each word would keep the garbage collector busy.
+        """
+        letters, spell = self.letters, codecs.charmap_decode
+        guessed: list[str] = []
+        ends: list[int] = []
+        merged: list[str] = []
+        flat: list[int] = []
         for w in words:
-            spelt = w if w.isascii() and w.isprintable() else "".join([letters[x] for x in w.encode("utf-8")])
-            guess = self._greedy(spelt)
-            if guess is None:
-                merged.append((w, spelt))
+            if self._greedy(w if w.isascii() and w.isprintable() else spell(w.encode("utf-8"), "strict", letters)[0], flat):
+                guessed.append(w)
+                ends.append(len(flat))
             else:
-                guesses.append((w, spelt, guess))
-        lengths = np.array([len(g) for _, _, g in guesses], np.int64)
-        flat = np.fromiter(chain.from_iterable(g for _, _, g in guesses), np.int64, int(lengths.sum()))
-        if len(flat) > 1:
-            word = np.repeat(np.arange(len(guesses)), lengths)
+                del flat[ends[-1] if ends else 0 :]
+                merged.append(w)
+        tokens = np.array(flat, np.int64)
+        if len(tokens) > 1:
+            word = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
             inner = word[1:] == word[:-1]
-            pairs, back = np.unique(flat[:-1][inner] * self.size + flat[1:][inner], return_inverse=True)
+            pairs, back = np.unique(tokens[:-1][inner] * self.size + tokens[1:][inner], return_inverse=True)
             good = self.compatible(pairs // self.size, pairs % self.size)[back]
             failed = set(word[1:][inner][~good].tolist())
         else:
             failed = set()
-        packed, ends = flat.astype("<u4").tobytes(), np.cumsum(lengths) * 4
-        for k, (w, spelt, guess) in enumerate(guesses):
+        packed, start = tokens.astype("<u4").tobytes(), 0
+        for k, (w, end) in enumerate(zip(guessed, ends, strict=True)):
             if k in failed:
-                merged.append((w, spelt))
+                merged.append(w)
             else:
-                self.memo[w] = packed[ends[k] - 4 * len(guess) : ends[k]]
-                self.spelt[w] = self.decode(guess)
-        for w, spelt in merged:
-            ids = [self.vocab[t] for t in self.merge([*spelt[:-1], spelt[-1] + self.suffix])]
-            self.memo[w], self.spelt[w] = np.array(ids, "<u4").tobytes(), self.decode(ids)
+                self.memo[w] = packed[4 * start : 4 * end]
+                self.spelt[w] = self.decode(flat[start:end])
+            start = end
+        pack = [Struct(f"<{n}I").pack for n in range(PACKED)]
+        for w in merged:
+            ids = self._merged(w if w.isascii() and w.isprintable() else spell(w.encode("utf-8"), "strict", letters)[0])
+            self.memo[w] = pack[len(ids)](*ids) if len(ids) < PACKED else np.array(ids, "<u4").tobytes()
+            self.spelt[w] = self.decode(ids)
 
     def words(self, text: str) -> list[str]:
         """Normal form, then the pieces that the pattern keeps."""
