@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrefsieve.llm.tables import cut, small
+from hrefsieve.session import cut_counted
 
 
-def _is_stars(edges: DataFrame) -> bool:
-    """Does every u have one v, and is no v a u?"""
-    ends = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")))
-    seen = ends.groupBy("u").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
-    return seen.where("up > 1 or (up = 1 and n > 1)").isEmpty()
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """The smallest neighbour of each u. Written, so that joins on a hub are broadcast or can be split."""
-    return small(cut(edges.groupBy("u").agg(F.min("v").alias("m")), "least"))
+def _neighbours(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The smallest neighbour of each node, and is the graph made of stars about their smallest nodes?
+
+    It is if no node with a smaller neighbour has another one. Written, so that joins on a
+    hub are broadcast or can be split; the same write tells about stars.
+    """
+    least = _both_ways(edges).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links"))
+    least, seen = cut_counted(least, "least", crossed=F.count_if((F.col("m") < F.col("u")) & (F.col("links") > 1)))
+    return least.select("u", "m"), not seen["crossed"]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,16 +29,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round links a node's larger neighbours, then its smaller ones, to its smallest
     neighbour. Edges shrink to one per node in a number of rounds that grows with the
-    logarithm of a component's width. Nothing but two numbers a round reaches the driver.
+    logarithm of a component's width. A round takes three shuffles. Nothing but two
+    numbers a round reaches the driver.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
-    while not _is_stars(e):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both)
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = cut(large.distinct(), "large")
-        least = _least(large)
+    least, stars = _neighbours(e)
+    while not stars:
+        large = _both_ways(e).join(small(least), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = cut(large, "large")  # a row for each edge
+        least = small(cut(large.groupBy("u").agg(F.min("v").alias("m")), "least"))
         pointed = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = cut(pointed.where("u > v").distinct(), "small")
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return cut(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+        least, stars = _neighbours(e)
+    return least.select(F.col("u").alias("node"), F.least("u", "m").alias("component"))

@@ -349,9 +349,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     smallest text. Rows without doc_id stay. Texts don't shuffle while the ids that go
     are small, but for rows that share their id.
     """
-    found = cut(near_duplicates(docs, width, percent).select("doc_id", "kept"), "verdicts").where("doc_id is not null")
-    gone = cut(found.where("not kept").select("doc_id").distinct(), "gone")
-    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    found = near_duplicates(docs, width, percent).where("doc_id is not null")
+    fates = found.groupBy("doc_id").agg(F.bool_or(~F.col("kept")).alias("gone"), F.count("*").alias("n"))
+    fates = cut(fates.where("gone or n > 1"), "fates")
+    gone, again = fates.where("gone").select("doc_id"), fates.where("n > 1").select("doc_id")
     left = docs.join(small(gone), "doc_id", "left_anti")
     once = left.join(small(again), "doc_id", "left_anti")
     if again.isEmpty():

@@ -21,6 +21,20 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_take_three_shuffles_a_round(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20, 60)] + [(100, k) for k in range(101, 160)], "a long, b long")
+    stars = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    jobs = []
+    for name, frame in (("chain", edges), ("stars", stars)):
+        spark.sparkContext.setJobGroup(f"components of {name}", name)
+        try:
+            components(frame)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components of {name}")))
+    assert jobs[0] <= 60 and jobs[1] <= 4  # with shuffles for distinct rows and for a check apart: 78 and 6
+
+
 def brute_neighbours(rows, k):
     out = {}
     for q, x in rows:

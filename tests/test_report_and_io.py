@@ -197,3 +197,19 @@ def test_scans_read_only_what_they_need(spark):
 
     assert "html" not in plan("domain_of_page") and "html" not in plan("domain_pages") and "html" not in plan("input_variants")
     assert "lang" not in plan("passage_containment")
+
+
+def test_the_driver_lets_go_of_what_nothing_uses(spark):
+    import gc
+
+    from hrefsieve.session import cut
+
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    byte, full = spark._jvm.byte, 0.7 * heap.maxMemory()
+    held = []
+    while heap.totalMemory() - heap.freeMemory() < full:
+        held.append(spark.sparkContext._gateway.new_array(byte, 64 << 20))
+    held.clear()
+    gc.collect()
+    cut(spark.range(10)).count()
+    assert heap.totalMemory() < full
