@@ -199,17 +199,24 @@ def test_scans_read_only_what_they_need(spark):
     assert "lang" not in plan("passage_containment")
 
 
-def test_the_driver_lets_go_of_what_nothing_uses(spark):
-    import gc
-
-    from hrefsieve.session import cut
-
-    heap = spark._jvm.java.lang.Runtime.getRuntime()
-    byte, full = spark._jvm.byte, 0.7 * heap.maxMemory()
-    held = []
-    while heap.totalMemory() - heap.freeMemory() < full:
-        held.append(spark.sparkContext._gateway.new_array(byte, 64 << 20))
-    held.clear()
-    gc.collect()
-    cut(spark.range(10)).count()
-    assert heap.totalMemory() < full
+def test_the_driver_lets_go_of_what_nothing_uses(spark, monkeypatch):
+    from types import SimpleNamespace as Fake
+
+    from hrefsieve import session
+
+    collected = []
+
+    def driver(taken):
+        heap = Fake(totalMemory=lambda: taken, maxMemory=lambda: 100)
+        lang = Fake(Runtime=Fake(getRuntime=lambda: heap), System=Fake(gc=lambda: collected.append(taken)))
+        return Fake(_jvm=Fake(java=Fake(lang=lang)))
+
+    for taken in (10, 59, 61, 100):
+        session.release_unused(driver(taken))
+    assert collected == [61, 100]
+
+    asked = []
+    monkeypatch.setattr(session, "release_unused", asked.append)
+    assert session.cut(spark.range(3)).count() == 3
+    assert session.cut_counted(spark.range(3))[1]["n"] == 3
+    assert len(asked) == 2
